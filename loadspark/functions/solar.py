@@ -1,4 +1,4 @@
-"""Plane-of-array irradiance from global horizontal irradiance, as one column expression.
+"""Plane-of-array irradiance from global horizontal irradiance, as a few projections.
 
 Sun position: Spencer (1971) Fourier series. Direct/diffuse split: Erbs, Klein and Duffie (1982).
 Transposition: Liu and Jordan (1962) isotropic sky. Refraction is left out.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fourier coefficients (constant, then cos/sin pairs of rising order).
 DECLINATION = [0.006918, -0.399912, 0.070257, -0.006758, 0.000907, -0.002697, 0.00148]
@@ -38,36 +38,8 @@ def _polynomial(x: Column, coef: Sequence[float]) -> Column:
     return out
 
 
-def _day_angle(utc: Column) -> Column:
-    return (F.dayofyear(utc) - 1) * (2 * math.pi / 365)
-
-
-def _sun(utc: Column, lon: float) -> tuple[Column, Column]:
-    """Declination and hour angle in radians."""
-    angle = _day_angle(utc)
-    correction = _fourier(angle, EQUATION_OF_TIME) * 229.18
-    hours = F.hour(utc) + F.minute(utc) / 60.0 + F.second(utc) / 3600.0
-    hour_angle = F.radians((hours + lon / 15.0 + correction / 60.0 - 12.0) * 15.0)
-    return _fourier(angle, DECLINATION), hour_angle
-
-
-def cos_zenith(utc: Column, lat: float = 46.23, lon: float = 7.36) -> Column:
-    decl, hour_angle = _sun(utc, lon)
-    phi = math.radians(lat)
-    return F.sin(decl) * math.sin(phi) + F.cos(decl) * F.cos(hour_angle) * math.cos(phi)
-
-
-def cos_incidence(utc: Column, tilt: float, azimuth: float, lat: float = 46.23, lon: float = 7.36) -> Column:
-    """Cosine of the angle between the sun and the panel normal; azimuth is clockwise from north."""
-    decl, hour_angle = _sun(utc, lon)
-    phi, beta, facing = math.radians(lat), math.radians(tilt), math.radians(azimuth)
-    north = F.sin(decl) * math.cos(phi) - F.cos(decl) * F.cos(hour_angle) * math.sin(phi)
-    west = F.cos(decl) * F.sin(hour_angle)
-    tilted = north * math.cos(facing) - west * math.sin(facing)
-    return cos_zenith(utc, lat, lon) * math.cos(beta) + tilted * math.sin(beta)
-
-
 def diffuse_share(clearness: Column) -> Column:
+    """Diffuse part of the irradiance by clearness of the sky."""
     return (
         F.when(clearness <= 0.22, 1.0 - clearness * 0.09)
         .when(clearness <= 0.8, _polynomial(clearness, ERBS_MIDDLE))
@@ -75,31 +47,63 @@ def diffuse_share(clearness: Column) -> Column:
     )
 
 
-def poa_irradiance(
-    utc: Column,
-    ghi: Column,
+def _floor0(c: Column) -> Column:
+    return F.when(c < 0, F.lit(0.0)).otherwise(c)
+
+
+def add_sun_position(
+    df: DataFrame, utc: str, tilt: float = 30.0, azimuth: float = 180.0, lat: float = 46.23, lon: float = 7.36
+) -> DataFrame:
+    """Add `_extra` (irradiance outside the atmosphere), `_cos_z` (zenith) and `_cos_i` (angle to the panel normal).
+
+    Azimuth is clockwise from north. Each step is its own projection, because every step uses the one before several
+    times: as one expression the generated code would repeat the series dozens of times.
+    """
+    t = F.col(utc)
+    hours = F.hour(t) + F.minute(t) / 60.0 + F.second(t) / 3600.0
+    phi, beta, facing = math.radians(lat), math.radians(tilt), math.radians(azimuth)
+    out = df.withColumns({"_angle": (F.dayofyear(t) - 1) * (2 * math.pi / 365), "_hours": hours})
+    angle = F.col("_angle")
+    correction = _fourier(angle, EQUATION_OF_TIME) * 229.18
+    out = out.withColumns(
+        {
+            "_decl": _fourier(angle, DECLINATION),
+            "_hour_angle": F.radians((F.col("_hours") + lon / 15.0 + correction / 60.0 - 12.0) * 15.0),
+            "_extra": _fourier(angle, ECCENTRICITY) * SOLAR_CONSTANT,
+        }
+    )
+    up, south = F.sin("_decl"), F.cos("_decl") * F.cos("_hour_angle")
+    west = F.cos("_decl") * F.sin("_hour_angle")
+    out = out.withColumns({"_up": up, "_south": south, "_west": west})
+    cos_z = F.col("_up") * math.sin(phi) + F.col("_south") * math.cos(phi)
+    to_north = F.col("_up") * math.cos(phi) - F.col("_south") * math.sin(phi)
+    tilted = to_north * math.cos(facing) - F.col("_west") * math.sin(facing)
+    return out.withColumns(
+        {"_cos_z": cos_z, "_cos_i": cos_z * math.cos(beta) + tilted * math.sin(beta)}
+    ).drop("_angle", "_hours", "_decl", "_hour_angle", "_up", "_south", "_west")
+
+
+def add_poa_irradiance(
+    df: DataFrame,
+    utc: str = "utc_timestamp",
+    ghi: str = "sion_forecast_global_radiation",
+    out: str = "poa_irradiance",
     tilt: float = 30.0,
     azimuth: float = 180.0,
     lat: float = 46.23,
     lon: float = 7.36,
     albedo: float = 0.25,
-) -> Column:
-    """Irradiance in W/m2 on a tilted panel; null where `ghi` is null, never negative."""
-    cz = cos_zenith(utc, lat, lon)
-    top = _fourier(_day_angle(utc), ECCENTRICITY) * SOLAR_CONSTANT
-    clear = F.when(cz < MIN_COS_ZENITH, F.lit(MIN_COS_ZENITH)).otherwise(cz)
-    raw = ghi / (top * clear)
-    clearness = F.when(raw < 0, F.lit(0.0)).when(raw > 1, F.lit(1.0)).otherwise(raw)
-    sun_up = cz >= math.cos(math.radians(MAX_ZENITH))
-    diffuse = F.when(sun_up, ghi * diffuse_share(clearness)).otherwise(ghi)
-    direct = F.when(sun_up, (ghi - diffuse) / cz).otherwise(F.lit(0.0))
-    ci = cos_incidence(utc, tilt, azimuth, lat, lon)
-    facing = F.when(ci < 0, F.lit(0.0)).otherwise(ci)
+) -> DataFrame:
+    """Irradiance in W/m2 on a tilted panel; null where `ghi` is null, never negative. No shuffle, JVM only."""
+    g, cos_z = F.col(ghi), F.col("_cos_z")
+    clear = F.when(cos_z < MIN_COS_ZENITH, F.lit(MIN_COS_ZENITH)).otherwise(cos_z)
+    sunned = add_sun_position(df, utc, tilt, azimuth, lat, lon).withColumn("_kt", g / (F.col("_extra") * clear))
+    sunned = sunned.withColumn("_kt", F.when(F.col("_kt") > 1, F.lit(1.0)).otherwise(_floor0(F.col("_kt"))))
+    sun_up = cos_z >= math.cos(math.radians(MAX_ZENITH))
+    split = sunned.withColumn("_dhi", F.when(sun_up, g * diffuse_share(F.col("_kt"))).otherwise(g))
+    split = split.withColumn("_dni", F.when(sun_up, (g - F.col("_dhi")) / cos_z).otherwise(F.lit(0.0)))
     sky = (1 + math.cos(math.radians(tilt))) / 2
     ground = albedo * (1 - math.cos(math.radians(tilt))) / 2
-
-    def floor0(c: Column) -> Column:
-        return F.when(c < 0, F.lit(0.0)).otherwise(c)
-
-    total = floor0(direct) * facing + floor0(diffuse) * sky + ghi * ground
-    return F.when(ghi.isNotNull(), floor0(total))
+    beam = _floor0(F.col("_dni")) * _floor0(F.col("_cos_i"))
+    total = split.withColumn(out, beam + _floor0(F.col("_dhi")) * sky + g * ground)
+    return total.withColumn(out, _floor0(F.col(out))).drop("_extra", "_cos_z", "_cos_i", "_kt", "_dhi", "_dni")

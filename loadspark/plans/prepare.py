@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from loadspark.functions.calendar import add_cyclical, add_dst, add_holidays, add_temporal, add_working_day
-from loadspark.functions.solar import poa_irradiance
+from loadspark.functions.solar import add_poa_irradiance
 from loadspark.operators.capacity import GHI, POA, estimate_capacity
 from loadspark.operators.clean import clean
 from loadspark.operators.fills import fill_both
@@ -59,7 +59,7 @@ def build_features(
     """All features of a clean table, in the order their inputs need."""
     out = add_working_day(add_holidays(add_temporal(df)))
     out = add_cyclical(add_dst(out, spec.ts), spec.ts)
-    out = out.withColumn(POA, poa_irradiance(F.col(spec.ts), F.col(GHI), tilt, azimuth))
+    out = add_poa_irradiance(out, spec.ts, GHI, POA, tilt, azimuth)
     out = estimate_capacity(out, spec, 200.0, 30, 96, fit_until=fit_until)
     out = add_yield_ratio(out, spec, window_days=30, mode=yield_mode)
     return add_lag_features(out, spec, lag_variables)

@@ -20,7 +20,7 @@ def month_of(ts: Column) -> Column:
 
 
 def write_readings(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Store readings by month; rows of a month are spread by hash, so a busy month is written by many tasks."""
+    """Store readings by month. There is no shuffle: every task writes its own files, so a busy month has many writers."""
     df.withColumn("month", month_of(F.col("ts"))).write.mode(mode).partitionBy("month").parquet(path)
 
 
