@@ -47,11 +47,17 @@ from loadspark.operators.rolling import (
 )
 from loadspark.operators.split import between_dates
 from loadspark.series import SeriesSpec, with_row_index
+from loadspark.session import materialise
 
 Spark, Frame = SparkSession, DataFrame
 VALUES = ["load", "forecast_load", "solar_remote"]
 
 
+def _users(spark: Spark, sf: str, *cols: str) -> Frame:
+    """User series as a stored table, for queries that go over it more than once."""
+    return materialise(user_hourly(spark, sf).select("user_id", "ts", *(cols or ("load",))))
+
+
 def _r(df: Frame, keep: list[str], rounded: list[str], digits: int = 6) -> Frame:
     return df.select(*keep, *(r6(c, digits).alias(c) for c in rounded))
 
@@ -89,7 +95,7 @@ def persistence_mae(spark: Spark, sf: str) -> Frame:
     GROUP BY 1""",
 )
 def persistence_by_user(spark: Spark, sf: str) -> Frame:
-    filled = forward_fill(user_hourly(spark, sf).select("user_id", "ts", "load"), USER, ["load"])
+    filled = materialise(forward_fill(_users(spark, sf), USER, ["load"]))
     past = add_persistence(filled, USER, "load", 7)
     pred = past.select("user_id", F.col("load").alias("y_true"), F.col("load_persistence_7d").alias("y_pred"))
     return _r(error_metrics(pred, "user_id"), ["user_id", "n"], ["mae", "rmse"])
@@ -103,7 +109,7 @@ def persistence_by_user(spark: Spark, sf: str) -> Frame:
 )
 def forward_fill_query(spark: Spark, sf: str) -> Frame:
     cols = ["load", "solar_remote"]
-    return _r(forward_fill(user_hourly(spark, sf), USER, cols), ["user_id", "ts"], cols)
+    return _r(forward_fill(_users(spark, sf, *cols), USER, cols), ["user_id", "ts"], cols)
 
 
 @query(
@@ -114,7 +120,7 @@ def forward_fill_query(spark: Spark, sf: str) -> Frame:
     SELECT user_id, ts, {q6("CASE WHEN ts - seen <= INTERVAL 12 HOUR THEN v END")} AS load FROM l""",
 )
 def forward_fill_limited(spark: Spark, sf: str) -> Frame:
-    return _r(forward_fill(user_hourly(spark, sf), USER, ["load"], timedelta(hours=12)), ["user_id", "ts"], ["load"])
+    return _r(forward_fill(_users(spark, sf), USER, ["load"], timedelta(hours=12)), ["user_id", "ts"], ["load"])
 
 
 _BACK = "first_value(load IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
@@ -123,12 +129,12 @@ _FORW = "last_value(load IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts)"
 
 @query("backward_fill", f"WITH {UH} SELECT user_id, ts, {q6(_BACK)} AS load FROM uh")
 def backward_fill_query(spark: Spark, sf: str) -> Frame:
-    return _r(backward_fill(user_hourly(spark, sf), USER, ["load"]), ["user_id", "ts"], ["load"])
+    return _r(backward_fill(_users(spark, sf), USER, ["load"]), ["user_id", "ts"], ["load"])
 
 
 @query("bfill_ffill", f"WITH {UH} SELECT user_id, ts, {q6(f'coalesce({_BACK}, {_FORW})')} AS load FROM uh")
 def bfill_ffill(spark: Spark, sf: str) -> Frame:
-    return _r(fill_both(user_hourly(spark, sf), USER, ["load"]), ["user_id", "ts"], ["load"])
+    return _r(fill_both(_users(spark, sf), USER, ["load"]), ["user_id", "ts"], ["load"])
 
 
 @query(
@@ -182,7 +188,7 @@ def event_lag_rows(spark: Spark, sf: str) -> Frame:
     LEFT JOIN uh c ON c.user_id = a.user_id AND c.ts = a.ts - INTERVAL 7 DAY""",
 )
 def lag_time(spark: Spark, sf: str) -> Frame:
-    series = user_hourly(spark, sf).select("user_id", "ts", "load")
+    series = _users(spark, sf)
     out = add_lag(series, USER, "load", timedelta(days=1), out="day_before")
     out = add_lag(out, USER, "load", timedelta(days=7), out="week_before")
     return _r(out, ["user_id", "ts"], ["day_before", "week_before"])
@@ -196,8 +202,8 @@ def lag_time(spark: Spark, sf: str) -> Frame:
     WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""",
 )
 def rolling_mae(spark: Spark, sf: str) -> Frame:
-    filled = forward_fill(user_hourly(spark, sf).select("user_id", "ts", "load"), USER, ["load"])
-    past = add_lag(filled, USER, "load", 24, "rows", "day_before")
+    filled = materialise(forward_fill(_users(spark, sf), USER, ["load"]))
+    past = materialise(add_lag(filled, USER, "load", 24, "rows", "day_before"))
     errors = past.withColumn("err", F.abs(F.col("day_before") - F.col("load")))
     return _r(rolling(errors, USER, "err", 24, out="mae"), ["user_id", "ts"], ["mae"])
 
@@ -215,7 +221,7 @@ def _frame(rows: int, order: str = "PARTITION BY user_id ORDER BY ts") -> str:
 )
 def rolling_quantiles_by_user(spark: Spark, sf: str) -> Frame:
     rolls = [Roll("load", "med", "median"), Roll("load", "p90", "quantile", 0.9)]
-    series = user_hourly(spark, sf).select("user_id", "ts", "load")
+    series = _users(spark, sf)
     return _r(rolling_many(series, USER, rolls, 168, 6), ["user_id", "ts"], ["med", "p90"])
 
 
@@ -249,7 +255,7 @@ def rolling_p90(spark: Spark, sf: str) -> Frame:
 )
 def rolling_mean_std(spark: Spark, sf: str) -> Frame:
     rolls = [Roll("load", "m", "mean"), Roll("load", "s", "std")]
-    out = rolling_many(user_hourly(spark, sf).select("user_id", "ts", "load"), USER, rolls, 72, 2)
+    out = rolling_many(_users(spark, sf), USER, rolls, 72, 2)
     return out.select("user_id", "ts", r6("m").alias("m"), r6("s", 4).alias("s"))
 
 
@@ -261,7 +267,7 @@ def rolling_mean_std(spark: Spark, sf: str) -> Frame:
     SELECT user_id, ts, high FROM p WHERE high <> prev""",
 )
 def flag_transitions(spark: Spark, sf: str) -> Frame:
-    filled = forward_fill(user_hourly(spark, sf).select("user_id", "ts", "load"), USER, ["load"])
+    filled = materialise(forward_fill(_users(spark, sf), USER, ["load"]))
     return transitions(filled.select("user_id", "ts", (F.col("load") > 100).alias("high")), USER, "high")
 
 
@@ -357,7 +363,7 @@ _LAG_SQL, _LAG_NAMES = _lag_sql("user_id", "uh", "lf")
 
 @query("lag_features", f"WITH {UH}, {_LAG_SQL} SELECT * FROM lf")
 def lag_features(spark: Spark, sf: str) -> Frame:
-    out = add_lag_features(user_hourly(spark, sf), USER, ["load", "solar_remote"])
+    out = add_lag_features(_users(spark, sf, "load", "solar_remote"), USER, ["load", "solar_remote"])
     return out.select(
         "user_id", "ts", *(r6(c, 8).alias(c) for c in _LAG_NAMES)
     )
@@ -437,7 +443,7 @@ def lag_autocorr_query(spark: Spark, sf: str) -> Frame:
     SELECT user_id, ts, {q6('load')} AS load FROM i WHERE i % 24 = 0 AND i < 24 * 20""",
 )
 def systematic_sample(spark: Spark, sf: str) -> Frame:
-    sampled = every_nth(user_hourly(spark, sf).select("user_id", "ts", "load"), USER, 24, 20)
+    sampled = every_nth(_users(spark, sf), USER, 24, 20)
     return _r(sampled, ["user_id", "ts"], ["load"])
 
 
@@ -543,7 +549,7 @@ def full_outer_merge(spark: Spark, sf: str) -> Frame:
     SELECT CAST(dd AS VARCHAR) AS dd, {q6('f', 3)} AS fitted FROM s JOIN fit USING (i)""",
 )
 def isotonic_daily(spark: Spark, sf: str) -> Frame:
-    out = isotonic_fit(daily_orders(spark, sf), DAILY, "load", "fitted")
+    out = isotonic_fit(daily_orders(spark, sf), DAILY, {"load": "fitted"})
     return out.select(F.col("dd").cast("string").alias("dd"), r6("fitted", 3).alias("fitted"))
 
 

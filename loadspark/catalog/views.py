@@ -12,6 +12,7 @@ from loadspark.operators.fills import forward_fill
 from loadspark.operators.metrics import long_predictions
 from loadspark.operators.rolling import add_lag
 from loadspark.series import SeriesSpec, resample
+from loadspark.session import materialise
 
 SPEC15 = SeriesSpec(ts="ts", step=timedelta(minutes=15), bucket_rows=960)
 USER = SeriesSpec(ts="ts", keys=("user_id",), step=timedelta(hours=1), bucket_rows=240)
@@ -84,7 +85,7 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The week-ago load and the operator's forecast against the load."""
-    filled = forward_fill(series15(spark, sf_dir), SPEC15, ["load"])
+    filled = materialise(forward_fill(series15(spark, sf_dir), SPEC15, ["load"]))
     past = add_lag(filled, SPEC15, "load", timedelta(days=7), out="week_ago")
     return long_predictions(past, "ts", "load", {"persistence": "week_ago", "operator": "forecast_load"})
 

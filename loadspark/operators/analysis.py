@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loadspark.functions.columns import scaled_corr
 from loadspark.operators.reshape import normalise, to_long
 from loadspark.series import SeriesSpec, attach_stats, interval, with_row_index
+from loadspark.session import materialise
 
 
 def profile_mean(df: DataFrame, by: Mapping[str, Column] | Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -80,7 +81,7 @@ def lag_autocorr(
     kept = df.select(*spec.keys, spec.ts, *spec.tie, col, weekend)
     place = "_at"
     if mode == "rows":
-        now = with_row_index(kept, spec, place)
+        now = materialise(with_row_index(kept, spec, place))
         ahead = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col(place) + k * spec.rows_per_day).alias("at")) for k in days)))
     else:
         now = kept.withColumn(place, F.col(spec.ts))

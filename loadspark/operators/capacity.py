@@ -20,6 +20,8 @@ from loadspark.session import materialise
 
 GHI, POA = "sion_forecast_global_radiation", "poa_irradiance"
 FIT_ROWS = 16384
+PIECE_POOLS = 65536
+SLOPES = 64
 
 
 def pool_violators(means: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -50,64 +52,105 @@ def _pool_pools(block: pd.DataFrame) -> pd.DataFrame:
     return block.assign(_fit=(sums["s"] / sums["n"]).to_numpy())
 
 
-def isotonic_fit(df: DataFrame, spec: SeriesSpec, col: str, out: str, splits: int = 64) -> DataFrame:
-    """Non-decreasing least-squares fit of `col` over the rows of each series in time order.
+def _cut_at_hull(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """Split every piece at points known to lie on the lower hull of its running sums.
 
-    The fit is the slope of the lower convex hull of the running sums. Each block of rows is pooled on its own
-    first, which cannot merge rows the whole fit keeps apart. For any slope t the point that minimises
-    `running sum - t * rows` lies on the hull, and the fit on either side of a hull point does not depend on the
-    other; so a few slopes per series give cut points by plain aggregation, and the pieces between them are
-    finished independently. Rows with a null in `col` get a null.
+    For a slope t the point with the least `sum - t * rows` lies on the hull. Slopes tried are quantiles of the pool
+    means and the slope of the piece's own chord. If not even the chord has a point below it, the whole piece is one
+    pool: it is marked with its mean and done. So every round splits or finishes each piece.
     """
-    keys = list(spec.keys)
-    indexed = materialise(with_row_index(df, spec, "_idx"))
-    rows = indexed.where(F.col(col).isNotNull()).select(
-        *keys, "_idx", F.expr(f"_idx div {FIT_ROWS}").alias("_blk"), F.col(col).cast("double").alias("_y")
+    start = F.col("_sum_y") - F.col("_s")
+    chord = F.col("_rise") / F.col("_run")
+    ends = pieces.groupBy(*by, "_piece").agg(
+        F.min_by(start, "_rows").alias("_base"),
+        (F.max_by("_sum_y", "_rows") - F.min_by(start, "_rows")).alias("_rise"),
+        (F.max("_rows") - F.col("_piece")).alias("_run"),
+        F.percentile_approx(F.col("_s") / F.col("_n"), [i / SLOPES for i in range(1, SLOPES)], 1000).alias("_means"),
     )
-    pooled = materialise(
-        rows.groupBy(*keys, "_blk").applyInPandas(
-            _pool_rows, T.StructType([*rows.schema.fields, T.StructField("_pool", T.LongType())])
-        )
+    lines = ends.select(
+        *by, "_piece", "_base", chord.alias("_chord"), F.array_distinct(F.array_append("_means", chord)).alias("_slopes")
     )
-    pools = pooled.groupBy(*keys, "_blk", "_pool").agg(F.sum("_y").alias("_s"), F.count("_y").alias("_n"))
-    hull = with_running_totals(
-        pools, keys, "_blk", [F.col("_pool")], {"_sum_y": F.col("_s"), "_rows": F.col("_n")}
+    tried = attach_per_key(pieces, lines, [*by, "_piece"], ["_pool"]).withColumn("_t", F.explode("_slopes"))
+    gap = (F.col("_sum_y") - F.col("_base")) - F.col("_t") * (F.col("_rows") - F.col("_piece"))
+    touching = tried.groupBy(*by, "_piece", "_t").agg(
+        F.min(gap).alias("_gap"), F.min_by("_rows", gap).alias("_at"), F.max("_rows").alias("_last")
     )
-
-    slopes = hull.groupBy(*keys).agg(
-        F.array_distinct(
-            F.percentile_approx(F.col("_s") / F.col("_n"), [i / splits for i in range(1, splits)], 10000)
-        ).alias("_slopes")
+    inner = (F.col("_gap") < 0) & (F.col("_at") < F.col("_last"))
+    cuts = touching.groupBy(*by, "_piece").agg(F.collect_set(F.when(inner, F.col("_at"))).alias("_cuts"))
+    known = lines.select(*by, "_piece", "_chord").join(cuts, [*by, "_piece"])
+    joined = attach_per_key(pieces.drop("_mean"), known, [*by, "_piece"], ["_pool"])
+    latest = F.array_max(F.filter("_cuts", lambda c: c < F.col("_rows")))
+    return joined.select(
+        *by,
+        F.coalesce(latest, F.col("_piece")).alias("_piece"),
+        "_pool",
+        "_s",
+        "_n",
+        "_sum_y",
+        "_rows",
+        F.when(F.size("_cuts") == 0, F.col("_chord")).alias("_mean"),
     )
 
-    def per_series(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
-        if keys:
-            return attach_per_key(left, right, keys, ["_pool"])
-        return left.withColumn(name, right.select(name).scalar())
 
-    tried = per_series(hull, slopes, "_slopes").select(
-        *keys, "_rows", "_sum_y", F.explode("_slopes").alias("_t")
+def isotonic_fit(df: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> DataFrame:
+    """Non-decreasing least-squares fit over the rows of each series in time order: `cols` maps column to output.
+
+    The fit is the slope of the lower convex hull of the running sums. Each block of rows is pooled on its own first,
+    which never merges rows the whole fit keeps apart. What is left is cut at hull points, which are found by plain
+    aggregation, until every piece is small enough for one task; the fit on one side of a hull point does not depend
+    on the other. All columns are fitted together. Rows with a null get a null.
+    """
+    by = [*spec.keys, "_col"]
+    indexed = materialise(with_row_index(df, spec, "_idx"))
+    values = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("y")) for i, c in enumerate(cols)))
+    rows = (
+        indexed.select(*spec.keys, "_idx", F.explode(values).alias("_v"))
+        .where("_v.y is not null")
+        .select(
+            *spec.keys,
+            F.col("_v.c").alias("_col"),
+            F.expr(f"_idx div {FIT_ROWS}").alias("_blk"),
+            "_idx",
+            F.col("_v.y").alias("_y"),
+        )
     )
-    gap = F.col("_sum_y") - F.col("_t") * F.col("_rows")
-    touching = tried.groupBy(*keys, "_t").agg(F.min(gap).alias("_gap"), F.min_by("_rows", gap).alias("_cut"))
-    # The hull starts at (0, 0), whose gap is 0: a slope touching there cuts nothing off.
-    cuts = touching.groupBy(*keys).agg(
-        F.collect_set(F.when(F.col("_gap") < 0, F.col("_cut"))).alias("_cuts")
+    pooled = materialise(
+        rows.groupBy(*by, "_blk").applyInPandas(
+            _pool_rows, T.StructType([*rows.schema.fields, T.StructField("_pool", T.LongType())])
+        )
     )
-    pieces = per_series(hull, cuts, "_cuts").select(
-        *keys,
-        F.size(F.filter("_cuts", lambda c: c < F.col("_rows"))).alias("_piece"),
-        "_pool",
-        "_s",
-        "_n",
+    pools = pooled.groupBy(*by, "_blk", "_pool").agg(F.sum("_y").alias("_s"), F.count("_y").alias("_n"))
+    running = with_running_totals(pools, by, "_blk", [F.col("_pool")], {"_sum_y": F.col("_s"), "_rows": F.col("_n")})
+    pieces = materialise(
+        running.select(
+            *by,
+            F.lit(0).cast("long").alias("_piece"),
+            *("_pool", "_s", "_n", "_sum_y", "_rows"),
+            F.lit(None).cast("double").alias("_mean"),
+        )
     )
-    fitted = pieces.groupBy(*keys, "_piece").applyInPandas(
-        _pool_pools, T.StructType([*pieces.schema.fields, T.StructField("_fit", T.DoubleType())])
+    while True:
+        largest = pieces.where("_mean is null").groupBy(*by, "_piece").count().agg(F.max("count")).head()[0] or 0
+        if largest <= PIECE_POOLS:
+            break
+        open_pieces = _cut_at_hull(pieces.where("_mean is null"), by)
+        pieces = materialise(open_pieces.unionByName(pieces.where("_mean is not null")))
+
+    last = pieces.select(*by, "_piece", "_pool", "_s", "_n").where(pieces["_mean"].isNull())
+    solved = last.groupBy(*by, "_piece").applyInPandas(
+        _pool_pools, T.StructType([*last.schema.fields, T.StructField("_fit", T.DoubleType())])
     )
-    per_row = pooled.select(*keys, "_pool", "_idx").join(
-        fitted.select(*keys, "_pool", F.col("_fit").alias(out)), [*keys, "_pool"]
+    flat = pieces.where("_mean is not null").select(*by, "_pool", F.col("_mean").alias("_fit"))
+    fitted = solved.select(*by, "_pool", "_fit").unionByName(flat)
+    per_row = (
+        pooled.select(*by, "_pool", "_idx")
+        .join(fitted, [*by, "_pool"])
+        .groupBy(*spec.keys, "_idx")
+        .pivot("_col", list(range(len(cols))))
+        .agg(F.max("_fit"))
+        .withColumnsRenamed({str(i): out for i, out in enumerate(cols.values())})
     )
-    return indexed.join(per_row.select(*keys, "_idx", out), [*keys, "_idx"], "left").drop("_idx")
+    return indexed.join(per_row, [*spec.keys, "_idx"], "left").drop("_idx")
 
 
 def isotonic_quantile(
@@ -126,17 +169,14 @@ def isotonic_quantile(
     rows cannot see the test span. All quantiles, and any `extra` rolling columns, share one rolling pass.
     """
     rolls = [Roll(c, f"_r_{out}", "quantile", q) for c, out in cols.items()]
-    rolled = rolling_many(df, spec, [*rolls, *extra], window, min_samples)
+    rolled = materialise(rolling_many(df, spec, [*rolls, *extra], window, min_samples))
     df = forward_fill(rolled, spec, [r.out for r in [*rolls, *extra]])
-    for out in cols.values():
-        source = f"_r_{out}"
-        if fit_until is not None:
-            early = F.col(spec.ts) <= F.lit(fit_until).cast("timestamp_ntz")
-            df = df.withColumn(source, F.when(early, F.col(source)))
-        df = isotonic_fit(df, spec, source, out).drop(source)
-        if fit_until is not None:
-            df = forward_fill(df, spec, [out])
-    return df
+    sources = {f"_r_{out}": out for out in cols.values()}
+    if fit_until is not None:
+        early = F.col(spec.ts) <= F.lit(fit_until).cast("timestamp_ntz")
+        df = df.withColumns({c: F.when(early, F.col(c)) for c in sources})
+    df = isotonic_fit(df, spec, sources).drop(*sources)
+    return df if fit_until is None else forward_fill(df, spec, list(cols.values()))
 
 
 def estimate_capacity(

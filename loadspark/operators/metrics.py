@@ -7,7 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadspark.series import SeriesSpec, floor_to
+from loadspark.series import SeriesSpec, step_start
 
 
 def _by(by: str | Sequence[str]) -> list[str]:
@@ -33,10 +33,9 @@ def hourly_error_metrics(
     pred: DataFrame, by: str | Sequence[str] = "model", ts: str = "ts", offset: timedelta = timedelta(0)
 ) -> DataFrame:
     """Average both sides within each hour first, then MAE and RMSE; rows without an instant are dropped."""
-    hour = floor_to(F.col(ts), timedelta(hours=1), offset)
     hourly = (
-        pred.where(F.col(ts).isNotNull())
-        .groupBy(*_by(by), hour.alias("_hour"))
+        pred.withColumn("_hour", step_start(ts, timedelta(hours=1), offset))
+        .groupBy(*_by(by), "_hour")
         .agg(F.avg("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"))
     )
     return hourly.groupBy(*_by(by)).agg(*_errors())

@@ -4,56 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loadspark.series import attach_per_key
 
+SKETCH_ACCURACY = 20000
+MARGIN = 2 / SKETCH_ACCURACY
 
-def group_quantile(
-    df: DataFrame, by: Sequence[str], col: str, q: float = 0.5, out: str = "quantile", splits: int = 256
-) -> DataFrame:
+
+def group_quantile(df: DataFrame, by: Sequence[str], col: str, q: float = 0.5, out: str = "quantile") -> DataFrame:
     """Linear-interpolated quantile per group, equal to `percentile(col, q)`.
 
-    `percentile` keeps all distinct values of a group in one aggregation state. Here a sketch proposes cut points,
-    counts per cut range say which range holds the wanted ranks, and only the (pre-counted) values of those ranges
-    are sorted: about one in `splits` of a group's rows. The sketch only steers the work; the result is exact.
+    `percentile` keeps all distinct values of a group in one aggregation state. Here a sketch names two values around
+    the wanted ranks; counting the rows below and between them shows whether it was right, and only the rows between,
+    a few thousandths of a percent of the group, are sorted, equal values counted together. A group whose sketch
+    missed keeps all its values for the sort, so the result is exact either way.
     """
     by = list(by)
+    v = F.col("_v")
     known = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
-    cuts = known.groupBy(*by).agg(
-        F.array_distinct(
-            F.percentile_approx("_v", [i / splits for i in range(1, splits)], 20 * splits)
-        ).alias("_cuts")
-    )
-    ranged = attach_per_key(known, cuts, by, ["_v"]).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    around = [max(q - MARGIN, 0.0), min(q + MARGIN, 1.0)]
+    sketch = known.groupBy(*by).agg(F.percentile_approx("_v", around, SKETCH_ACCURACY).alias("_near"))
+    fenced = attach_per_key(known, sketch, by, ["_v"])
+    low, high = F.col("_near")[0], F.col("_near")[1]
+    counts = fenced.groupBy(*by).agg(
+        F.first("_near").alias("_near"),
+        F.count_if(v < low).alias("_below"),
+        F.count_if((v >= low) & (v <= high)).alias("_inside"),
+        F.count(F.lit(1)).alias("_all"),
     )
-    per_range = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    group = W.partitionBy(*by)
-    low = F.floor((F.col("_all") - 1) * F.lit(q))
-    high = F.ceil((F.col("_all") - 1) * F.lit(q))
-    wanted = (
-        per_range.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_all", F.sum("_n").over(group))
-        .withColumn("_low", low)
-        .withColumn("_high", high)
-        .where((F.col("_high") >= F.col("_before")) & (F.col("_low") < F.col("_before") + F.col("_n")))
-        .select(*by, "_range", "_before", "_all", "_low", "_high")
+    place = (F.col("_all") - 1) * F.lit(q)
+    ranks = counts.withColumns({"_low": F.floor(place), "_high": F.ceil(place)})
+    hit = (F.col("_low") >= F.col("_below")) & (F.col("_high") < F.col("_below") + F.col("_inside"))
+    ranks = ranks.withColumn("_hit", hit).withColumn("_below", F.when(F.col("_hit"), F.col("_below")).otherwise(0))
+    kept = attach_per_key(known, ranks.drop("_inside"), by, ["_v"]).where(
+        ~F.col("_hit") | ((v >= low) & (v <= high))
     )
-    # At most two ranges per group remain; equal values are counted together before they are sorted.
-    kept = attach_per_key(ranged.drop("_cuts"), wanted, [*by, "_range"], ["_v"]).where(F.col("_all").isNotNull())
-    values = kept.groupBy(*by, "_range", "_before", "_all", "_low", "_high", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    upto = W.partitionBy(*by, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    placed = values.withColumn("_end", F.col("_before") + F.sum("_n").over(upto)).withColumn(
+    state = [*by, "_below", "_low", "_high", "_all"]
+    values = kept.groupBy(*state, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = W.partitionBy(*by).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    placed = values.withColumn("_end", F.col("_below") + F.sum("_n").over(upto)).withColumn(
         "_start", F.col("_end") - F.col("_n")
     )
 
-    def at(rank: str):
-        hit = (F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end"))
-        return F.max(F.when(hit, F.col("_v")))
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end")), v))
 
-    weight = (F.col("_all") - 1) * F.lit(q) - F.col("_low")
-    return placed.groupBy(*by, "_all", "_low").agg(at("_low").alias("_a"), at("_high").alias("_b")).select(
-        *by, (F.col("_a") * (1 - weight) + F.col("_b") * weight).alias(out)
-    )
+    weight = place - F.col("_low")
+    ends = placed.groupBy(*by, "_low", "_all").agg(at("_low").alias("_a"), at("_high").alias("_b"))
+    return ends.select(*by, (F.col("_a") * (1 - weight) + F.col("_b") * weight).alias(out))

@@ -15,7 +15,8 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from loadspark.series import SeriesSpec, floor_to, interval, with_row_index
+from loadspark.series import SeriesSpec, interval, step_start, with_row_index
+from loadspark.session import materialise
 
 IDX, BLOCK, OWNER = "_idx", "_block", "_owner"
 # Up to this many rows a window frame in the JVM beats sending the column to Python.
@@ -92,6 +93,8 @@ def rolling_many(
             .drop(IDX, OWNER, BLOCK)
         )
 
+    # The numbered rows feed the rolling pass and are then joined to its result.
+    indexed = materialise(indexed)
     sources = list(dict.fromkeys(r.col for r in rolls))
     narrow = indexed.where(F.col(IDX).isNotNull()).select(*spec.keys, IDX, *(F.col(c).cast("double") for c in sources))
     keep = [*spec.keys, IDX]
@@ -127,7 +130,7 @@ def add_lag(
 ) -> DataFrame:
     """The value `n` back. `time`: at exactly the instant that much earlier. `rows`: that many rows earlier.
 
-    Both are equi-joins whose key includes the instant or the row number, so hot series spread evenly.
+    By time this is an equi-join whose key includes the instant, by rows a window per block, so hot series spread.
     """
     name = out or f"{col}_lag"
     if mode == "time":
@@ -137,9 +140,10 @@ def add_lag(
     rows = int(n / spec.step) if isinstance(n, timedelta) else n
     if spec.bucket_rows is None:
         return df.withColumn(name, F.lag(col, rows).over(W.partitionBy(*spec.keys).orderBy(*spec.order)))
-    indexed = with_row_index(df, spec, IDX)
-    past = indexed.select(*spec.keys, (F.col(IDX) + rows).alias(IDX), F.col(col).alias(name))
-    return indexed.join(past, [*spec.keys, IDX], "left").drop(IDX)
+    blocks = _with_halo(with_row_index(df, spec, IDX), spec, rows)
+    before = F.lag(col, rows).over(W.partitionBy(*spec.keys, BLOCK).orderBy(IDX))
+    own = F.col(OWNER).eqNullSafe(F.col(BLOCK))
+    return blocks.withColumn(name, before).where(own).drop(IDX, OWNER, BLOCK)
 
 
 def add_persistence(
@@ -167,7 +171,6 @@ def broadcast_bucket_mean(
 
     A window group is one unit of one series: a handful of grid rows. Rows without an instant are dropped.
     """
-    start = floor_to(F.col(spec.ts), unit, offset)
     group = W.partitionBy(*spec.keys, "_unit")
-    timed = df.where(F.col(spec.ts).isNotNull()).withColumn("_unit", start)
+    timed = df.withColumn("_unit", step_start(spec.ts, unit, offset))
     return timed.withColumn(out or f"{col}_hourly", F.avg(col).over(group)).drop("_unit")

@@ -40,6 +40,13 @@ def floor_to(col: Column, step: timedelta, offset: timedelta = timedelta(0)) ->
     return F.timestamp_add("SECOND", start.cast("long"), F.expr("timestamp_ntz'1970-01-01'"))
 
 
+def step_start(ts: str, step: timedelta, offset: timedelta = timedelta(0)) -> Column:
+    """`floor_to` for a whole column, by Spark's own time windows; rows without an instant are dropped."""
+    text = f"{int(step.total_seconds())} seconds"
+    start = f"{int(offset.total_seconds())} seconds" if offset else None
+    return F.window(ts, text, startTime=start).start
+
+
 @dataclass(frozen=True)
 class SeriesSpec:
     """Names the time column, the key columns and the grid of a series.
@@ -74,7 +81,11 @@ class SeriesSpec:
     def bucket(self) -> Column:
         if self.bucket_rows is None:
             return F.lit(0).cast("long")
-        return F.floor(epoch_seconds(F.col(self.ts)) / int(self.step.total_seconds() * self.bucket_rows))
+        span = self.step * self.bucket_rows
+        if span >= timedelta(days=1):
+            # Whole days need one date conversion per row.
+            return F.floor(F.unix_date(F.to_date(self.ts)) / span.days)
+        return F.floor(epoch_seconds(F.col(self.ts)) / int(span.total_seconds()))
 
 
 def with_running_totals(
@@ -141,28 +152,36 @@ def resample(
 ) -> DataFrame:
     """Aggregate raw rows to the grid of `spec`; with `complete`, every key gets every step of the common span.
 
-    Rows are pre-aggregated before they are shuffled, so a hot step costs no more than any other. The span is one
-    scalar subquery; steps come from a day sequence and a within-day sequence, so no row holds a long array.
+    Rows are aggregated before they are shuffled, so a hot step costs no more than any other. Empty steps are added
+    after the last shuffle: only key-days are joined, and each day's missing steps are exploded beside the present
+    ones. The span is one scalar subquery; a day holds at most one entry per step.
     """
-    slot = floor_to(F.col(spec.ts), spec.step)
-    by = [*spec.keys, spec.ts]
-    grouped = df.where(F.col(spec.ts).isNotNull()).withColumn(spec.ts, slot).groupBy(*by)
-    out = grouped.agg(*(c.alias(n) for n, c in aggs.items()))
+    timed = df.where(F.col(spec.ts).isNotNull())
+    out = timed.withColumn(spec.ts, step_start(spec.ts, spec.step)).groupBy(*spec.keys, spec.ts).agg(*(c.alias(n) for n, c in aggs.items()))
     if not complete:
         return out
-    span = df.agg(F.struct(F.min(spec.ts).alias("lo"), F.max(spec.ts).alias("hi")).alias("_span"))
-    if spec.keys:
-        keyed = df.select(*spec.keys).distinct().withColumn("_span", span.scalar())
-    else:
-        keyed = span
     step = int(spec.step.total_seconds())
+    second = F.hour(spec.ts) * 3600 + F.minute(spec.ts) * 60 + F.second(spec.ts)
+    present = out.groupBy(*spec.keys, F.to_date(spec.ts).alias("_day")).agg(
+        F.collect_list(F.struct((second / step).cast("int").alias("i"), *aggs)).alias("_steps")
+    )
+    span = timed.agg(F.struct(F.min(spec.ts).alias("lo"), F.max(spec.ts).alias("hi")).alias("_span"))
+    days = timed.select(*spec.keys).distinct().withColumn("_span", span.scalar()) if spec.keys else span
+    days = days.where("_span.lo is not null").withColumn(
+        "_day", F.explode(F.sequence(F.to_date("_span.lo"), F.to_date("_span.hi")))
+    )
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema.fields if f.name in aggs]
+    every = F.sequence(F.lit(0), F.lit(86400 // step - 1))
+    known = F.coalesce("_steps", F.array().cast(present.schema["_steps"].dataType))
+    missing = F.transform(F.array_except(every, known["i"]), lambda i: F.struct(i.alias("i"), *empty))
+    # Every row here becomes a day of steps, so the partition count is fixed rather than left to the bytes shuffled.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grid = (
-        keyed.where("_span.lo is not null")
-        .withColumn("_day", F.explode(F.expr("sequence(to_date(_span.lo), to_date(_span.hi))")))
-        .withColumn("_i", F.explode(F.expr(f"sequence(0, {86400 // step - 1})")))
-        .withColumn(spec.ts, F.timestamp_add("SECOND", F.col("_i") * step, F.col("_day").cast("timestamp_ntz")))
+        days.repartition(tasks, *spec.keys, "_day")
+        .join(present, [*spec.keys, "_day"], "left")
+        .withColumn("_s", F.explode(F.concat(known, missing)))
+        .withColumn(spec.ts, F.timestamp_add("SECOND", F.col("_s.i") * step, F.col("_day").cast("timestamp_ntz")))
     )
     if not whole_days:
-        lo, hi = floor_to(F.col("_span.lo"), spec.step), F.col("_span.hi")
-        grid = grid.where(F.col(spec.ts).between(lo, hi))
-    return grid.select(*by).join(out, by, "left")
+        grid = grid.where(F.col(spec.ts).between(floor_to(F.col("_span.lo"), spec.step), F.col("_span.hi")))
+    return grid.select(*spec.keys, spec.ts, *(F.col(f"_s.{n}").alias(n) for n in aggs))
