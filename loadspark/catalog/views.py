@@ -25,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c: str | Column, digits: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """Rounded to even in plain double arithmetic, which both engines do alike; adding 0.0 drops the sign of zero."""
+    return F.rint((F.col(c) if isinstance(c, str) else c) * 10.0**digits) / 10.0**digits + 0.0
 
 
 def day_curve(ts: str = "ts") -> Column:
@@ -98,8 +99,9 @@ def utc_of_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q6(expr: str, digits: int = 6) -> str:
-    """Rounded, and zero without a sign."""
-    return f"CASE WHEN round({expr}, {digits}) = 0 THEN CAST(0 AS DOUBLE) ELSE round({expr}, {digits}) END"
+    """The same in SQL."""
+    r = f"round_even(({expr}) * 1e{digits}, 0) / 1e{digits}"
+    return f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END"
 
 
 def _grid(step: str) -> str:

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -61,23 +61,29 @@ def score(model: Model, df: DataFrame) -> DataFrame:
 
 
 def contiguous_folds(df: DataFrame, spec: SeriesSpec, k: int = 5, out: str = "fold") -> DataFrame:
-    """k runs of consecutive rows over the whole table; the first `rows mod k` runs are one row longer."""
-    whole = SeriesSpec(spec.ts, (), spec.step, spec.bucket_rows, (*spec.keys, *spec.tie))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    sized = with_row_index(df, whole, "_i").withColumn("_total", total)
-    short, longer = F.expr(f"_total div {k}"), F.expr(f"_total % {k}")
-    cut = longer * (short + 1)
-    fold = F.when(F.col("_i") < cut, F.floor(F.col("_i") / (short + 1))).otherwise(
-        longer + F.floor((F.col("_i") - cut) / F.when(short > 0, short).otherwise(1))
-    )
-    return sized.withColumn(out, fold.cast("int")).drop("_i", "_total")
+    """k runs of consecutive rows over the whole table; the first `rows mod k` runs are one row longer.
+
+    Only the time and tie columns are numbered, to find the k-1 rows at which a run starts. All other columns stay
+    where they are: the fold is a comparison with those starts. `tie` should tell all rows of one instant apart.
+    """
+    tie = (*spec.keys, *spec.tie)
+    whole = SeriesSpec(spec.ts, (), spec.step, spec.bucket_rows, tie)
+    clock = df.select(spec.ts, *tie)
+    n = clock.count()
+    sizes = [n // k + (i < n % k) for i in range(k)]
+    starts = [sum(sizes[: i + 1]) for i in range(k - 1)]
+    first_rows = with_row_index(clock, whole, "_i").where(F.col("_i").isin(starts)).orderBy("_i").collect()
+    place = F.struct(spec.ts, *tie)
+    types = {c: clock.schema[c].dataType for c in clock.columns}
+    later = [place >= F.struct(*(F.lit(r[c]).cast(types[c]).alias(c) for c in types)) for r in first_rows]
+    return df.withColumn(out, sum((c.cast("int") for c in later), F.lit(0)))
 
 
 @dataclass
 class Moments:
     """Row count, means and summed cross products of features followed by the label, around their means."""
 
-    n: int
+    n: float
     mean: np.ndarray
     cross: np.ndarray
 
@@ -104,26 +110,63 @@ class Moments:
         return float(1 - (weights @ self.cross @ weights + self.n * bias**2) / self.cross[p, p])
 
 
-def fold_moments(df: DataFrame, vector: str, fold: str = "fold") -> dict[int, Moments]:
-    """Moments of each fold. The driver only receives one p x p matrix per fold.
+SUMS_SCHEMA = "fold int, n double, sums array<double>, products array<double>"
+TREE_SLOTS = 64
+
 
-    Means and variances come from one grouped aggregation; the products from Spark's correlation, a tree
-    aggregation in the JVM that each fold's rows pass through once.
+def _add_sums(parts: pd.DataFrame) -> pd.DataFrame:
+    total = {c: np.sum(np.stack(parts[c].to_numpy()), axis=0) for c in ("sums", "products")}
+    return pd.DataFrame({"fold": [parts["fold"].iat[0]], "n": [parts["n"].sum()], **{c: [v] for c, v in total.items()}})
+
+
+def fold_moments(
+    df: DataFrame, cols: Sequence[str], center: np.ndarray, scale: np.ndarray, fold: str = "fold"
+) -> dict[int, Moments]:
+    """Moments per fold of the columns after centring and scaling, in one pass over the rows.
+
+    Every task reduces its rows to one sum and one product matrix per fold; these are added in two levels, so no task
+    receives more than a share of them and the driver gets one matrix per fold.
     """
-    stats = df.groupBy(fold).agg(
-        Summarizer.metrics("count", "mean", "variance").summary(F.col(vector)).alias("s")
+    cols = list(cols)
+
+    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            z = (batch[cols].to_numpy(dtype=float) - center) / scale
+            fold_of = batch[fold].to_numpy()
+            for f in np.unique(fold_of):
+                rows = z[fold_of == f]
+                part = [len(rows), rows.sum(axis=0), (rows.T @ rows).ravel()]
+                old = total.get(int(f))
+                total[int(f)] = part if old is None else [a + b for a, b in zip(old, part)]
+        if total:
+            n, sums, products = zip(*total.values())
+            yield pd.DataFrame({"fold": list(total), "n": np.array(n, dtype=float), "sums": sums, "products": products})
+
+    partial = df.select(fold, *cols).mapInPandas(reduce_rows, SUMS_SCHEMA)
+    slotted = partial.withColumn("slot", F.spark_partition_id() % TREE_SLOTS)
+    halfway = slotted.groupBy("fold", "slot").applyInPandas(
+        lambda p: _add_sums(p.drop(columns="slot")), SUMS_SCHEMA
     )
     out = {}
-    for row in stats.collect():
-        n, mean, var = row["s"]["count"], row["s"]["mean"].toArray(), row["s"]["variance"].toArray()
-        corr = Correlation.corr(df.where(F.col(fold) == row[fold]), vector).head()[0].toArray()
-        sd = np.sqrt(var)
-        out[row[fold]] = Moments(n, mean, np.nan_to_num(corr) * np.outer(sd, sd) * (n - 1))
+    for row in halfway.groupBy("fold").applyInPandas(_add_sums, SUMS_SCHEMA).collect():
+        mean = np.asarray(row["sums"]) / row["n"]
+        products = np.asarray(row["products"]).reshape(len(cols), len(cols))
+        out[row["fold"]] = Moments(row["n"], mean, products - row["n"] * np.outer(mean, mean))
     return out
 
 
+def linear_model(features: Sequence[str], coefficients: Sequence[float], intercept: float) -> PipelineModel:
+    """A saved-able model that scores by one projection, without feature vectors."""
+    terms = [f"CAST({float(c)!r} AS DOUBLE) * CAST(`{f}` AS DOUBLE)" for f, c in zip(features, coefficients)]
+    total = " + ".join([f"CAST({float(intercept)!r} AS DOUBLE)", *terms])
+    return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, {total} AS prediction FROM __THIS__")])
+
+
 @dataclass
 class RidgeFit:
+    """`coefficients` belong to the standardised features; `model` scores raw rows."""
+
     model: PipelineModel
     alpha: float
     scores: list[tuple[float, float]]
@@ -139,25 +182,27 @@ def ridge_cv(
     label: str = "load",
     alphas: Sequence[float] = tuple(ALPHAS),
     folds: int = 5,
-    handle_invalid: str = "skip",
 ) -> RidgeFit:
     """Ridge on standardised features, the penalty chosen by mean R2 over contiguous folds.
 
-    One pass gives moments per fold; every fold is then fitted on the sum of the others' moments, so 20 penalties
-    cost 100 small solves and no further pass. The final model is a saved-able pipeline of Spark stages.
+    One aggregation gives means and deviations, one pass the moments per fold. Every fold is then fitted on the sum
+    of the other folds' moments, so 20 penalties cost 100 small solves and no further pass, and so does the final
+    fit. Rows with a null feature or label are left out.
     """
     features = list(features)
-    ready = assemble(train, features, label, handle_invalid).select(*spec.keys, spec.ts, *spec.tie, "features", label)
-    scaler = fit_scaler(ready)
-    scaled = scaler.transform(ready).select(*spec.keys, spec.ts, *spec.tie, "scaled", label)
-    joint = VectorAssembler(inputCols=["scaled", label], outputCol="_joint").transform(
-        contiguous_folds(scaled, spec, folds)
+    cols = [*features, label]
+    typed = train.select(
+        *spec.keys, spec.ts, *spec.tie, *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols))
     )
-    joint = joint.select("fold", "_joint").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        per_fold = fold_moments(joint, "_joint")
-    finally:
-        joint.unpersist()
+    names = [f"_x{i}" for i in range(len(cols))]
+    known = typed.where(" and ".join(f"{c} is not null" for c in names))
+    stats = known.agg(*(F.avg(c) for c in names), *(F.stddev_pop(c) for c in names)).head()
+    if stats is None or stats[0] is None:
+        raise ValueError("no complete training row")
+    center, spread = np.array(stats[: len(names)]), np.array(stats[len(names) :])
+    scale = np.where(spread > 0, spread, 1.0)
+    per_fold = fold_moments(contiguous_folds(known, spec, folds), names, center, scale)
+
     means = []
     for alpha in alphas:
         r2 = []
@@ -167,22 +212,11 @@ def ridge_cv(
         means.append(float(np.mean(r2)))
     best = float(alphas[int(np.argmax(means))])
     parts = list(per_fold.values())
-    whole = sum(parts[1:], parts[0])
-    # Spark divides the loss by 2n and scales the label by its deviation, so the same penalty reads alpha*sd/n.
-    spread = float(np.sqrt(whole.cross[-1, -1] / whole.n))
-    linear = LinearRegression(
-        featuresCol="scaled",
-        labelCol=label,
-        elasticNetParam=0.0,
-        standardization=False,
-        solver="normal" if len(features) <= 4096 else "l-bfgs",
-        regParam=best * spread / whole.n,
-    ).fit(scaled)
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid=handle_invalid)
-    model = PipelineModel(stages=[assembler, *scaler.stages, linear])
-    return RidgeFit(
-        model, best, list(zip(alphas, means)), features, linear.coefficients.toArray(), float(linear.intercept)
-    )
+    coef, intercept = sum(parts[1:], parts[0]).ridge(best)
+    coef, intercept = coef * scale[-1], intercept * scale[-1] + center[-1]
+    raw = coef / scale[:-1]
+    model = linear_model(features, raw, intercept - float(raw @ center[:-1]))
+    return RidgeFit(model, best, list(zip(alphas, means)), features, coef, float(intercept))
 
 
 # Boosted tree defaults.
