@@ -13,11 +13,11 @@ from loadspark.series import BUCKET, SeriesSpec, epoch_seconds
 def _nearest_known(
     df: DataFrame, spec: SeriesSpec, cols: Sequence[str], directions: Sequence[str], with_instant: bool
 ) -> DataFrame:
-    """Add `_prev_{c}` / `_next_{c}`: the nearest known value at or before / at or after each row.
+    """Add `_prev_{c}` / `_next_{c}`: the nearest known value at or before / at or after each row with an instant.
 
     Buckets are filled on their own; a value carried in from another bucket comes from one row per bucket.
     """
-    d = df.withColumn(BUCKET, spec.bucket())
+    d = df.withColumn(BUCKET, F.when(F.col(spec.ts).isNotNull(), spec.bucket()))
     by = spec.bucket_keys
     inside = {
         "prev": (F.last, W.partitionBy(*by).orderBy(*spec.order).rowsBetween(W.unboundedPreceding, 0)),
@@ -45,7 +45,7 @@ def _nearest_known(
     )
     if spec.bucket_rows is None:
         return filled.drop(BUCKET)
-    edges = d.groupBy(*by).agg(
+    edges = d.where(F.col(BUCKET).isNotNull()).groupBy(*by).agg(
         *(
             edge[side](value, F.when(F.col(c).isNotNull(), spec.order_value)).alias(f"_e_{side}_{n}")
             for side in directions
@@ -74,7 +74,7 @@ def _fill(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], sides: Sequence[
 
     def candidate(side: str, c: str) -> Column:
         if max_gap is None:
-            return F.col(f"_{side}_{c}")
+            return F.when(F.col(spec.ts).isNotNull(), F.col(f"_{side}_{c}"))
         away = F.abs(epoch_seconds(F.col(spec.ts)) - epoch_seconds(F.col(f"_{side}_{c}_at")))
         return F.when(away <= int(max_gap.total_seconds()), F.col(f"_{side}_{c}"))
 

@@ -114,10 +114,12 @@ def with_running_totals(
 def with_row_index(df: DataFrame, spec: SeriesSpec, out: str = "row_idx") -> DataFrame:
     """Number the rows of every series from 0 in time order; rows without an instant get NULL."""
     if spec.bucket_rows is None:
-        position = F.row_number().over(W.partitionBy(*spec.keys).orderBy(*spec.order)).cast("long") - 1
-        return df.withColumn(out, F.when(F.col(spec.ts).isNotNull(), position))
+        known = F.col(spec.ts).isNotNull()
+        position = F.row_number().over(W.partitionBy(*spec.keys, known).orderBy(*spec.order)).cast("long") - 1
+        return df.withColumn(out, F.when(known, position))
     bucketed = df.withColumn(BUCKET, spec.bucket())
-    counted = with_running_totals(bucketed, spec.keys, BUCKET, spec.order, {out: F.lit(1).cast("long")})
+    one = F.when(F.col(spec.ts).isNotNull(), 1).otherwise(0).cast("long")
+    counted = with_running_totals(bucketed, spec.keys, BUCKET, spec.order, {out: one})
     return counted.withColumn(out, F.col(out) - 1).drop(BUCKET)
 
 
