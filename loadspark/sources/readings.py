@@ -59,7 +59,7 @@ def select_readings(
         if start is not None:
             out = out.where(F.col("month") >= f"{start:%Y-%m}")
         if stop is not None:
-            out = out.where(F.col("month") <= f"{stop:%Y-%m}")
+            out = out.where(F.col("month") <= f"{stop - timedelta(microseconds=1):%Y-%m}")
     if site is not None:
         out = out.where(F.col("site") == site)
     if field is not None:

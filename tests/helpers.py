@@ -38,3 +38,8 @@ def rows(spark, data, schema: str, *ts: str) -> DataFrame:
 
 def plan(df: DataFrame) -> str:
     return df._jdf.queryExecution().toString()
+
+
+def formatted(df: DataFrame) -> str:
+    """The physical plan with scan filters in full."""
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
