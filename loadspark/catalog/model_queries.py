@@ -56,13 +56,13 @@ def clean_table(spark: Spark, sf: str) -> Frame:
 
 
 def feature_table(spark: Spark, sf: str) -> Frame:
-    return materialise(build_features(clean_table(spark, sf), UTC))
+    return materialise(build_features(materialise(clean_table(spark, sf)), UTC))
 
 
 @query("capacity")
 def capacity(spark: Spark, sf: str) -> Frame:
     """Capacity by both irradiances and the median yield."""
-    out = estimate_capacity(add_poa_irradiance(clean_table(spark, sf)), UTC)
+    out = estimate_capacity(add_poa_irradiance(materialise(clean_table(spark, sf))), UTC)
     made = ["estimated_solar_capacity_ghi", "estimated_solar_capacity_poa", "solar_yield_30d"]
     return out.select("utc_timestamp", *(r6(c).alias(c) for c in made))
 
@@ -70,12 +70,12 @@ def capacity(spark: Spark, sf: str) -> Frame:
 @query("production_errors")
 def production_errors_query(spark: Spark, sf: str) -> Frame:
     """Production rebuilt by four methods, with a second capacity pass by month."""
-    return production_errors(add_poa_irradiance(clean_table(spark, sf)), UTC)
+    return production_errors(add_poa_irradiance(materialise(clean_table(spark, sf))), UTC)
 
 
 @query("featured_table")
 def featured_table(spark: Spark, sf: str) -> Frame:
-    return build_features(clean_table(spark, sf), UTC)
+    return build_features(materialise(clean_table(spark, sf)), UTC)
 
 
 @query("prepared_baselines")

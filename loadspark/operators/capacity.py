@@ -15,7 +15,7 @@ from loadspark.operators.fills import forward_fill
 from loadspark.operators.quantiles import group_quantile
 from loadspark.operators.reshape import SOLAR_COLUMNS
 from loadspark.operators.rolling import Roll, rolling_many
-from loadspark.series import SeriesSpec, attach_per_key, with_row_index, with_running_totals
+from loadspark.series import SeriesSpec, attach_per_bucket, beside, with_row_index, with_running_totals
 from loadspark.session import materialise
 
 GHI, POA = "sion_forecast_global_radiation", "poa_irradiance"
@@ -70,7 +70,7 @@ def _cut_at_hull(pieces: DataFrame, by: list[str]) -> DataFrame:
     lines = ends.select(
         *by, "_piece", "_base", chord.alias("_chord"), F.array_distinct(F.array_append("_means", chord)).alias("_slopes")
     )
-    tried = attach_per_key(pieces, lines, [*by, "_piece"], ["_pool"]).withColumn("_t", F.explode("_slopes"))
+    tried = attach_per_bucket(pieces, lines, [*by, "_piece"], "_blk").withColumn("_t", F.explode("_slopes"))
     gap = (F.col("_sum_y") - F.col("_base")) - F.col("_t") * (F.col("_rows") - F.col("_piece"))
     touching = tried.groupBy(*by, "_piece", "_t").agg(
         F.min(gap).alias("_gap"), F.min_by("_rows", gap).alias("_at"), F.max("_rows").alias("_last")
@@ -78,11 +78,12 @@ def _cut_at_hull(pieces: DataFrame, by: list[str]) -> DataFrame:
     inner = (F.col("_gap") < 0) & (F.col("_at") < F.col("_last"))
     cuts = touching.groupBy(*by, "_piece").agg(F.collect_set(F.when(inner, F.col("_at"))).alias("_cuts"))
     known = lines.select(*by, "_piece", "_chord").join(cuts, [*by, "_piece"])
-    joined = attach_per_key(pieces.drop("_mean"), known, [*by, "_piece"], ["_pool"])
+    joined = attach_per_bucket(pieces.drop("_mean"), known, [*by, "_piece"], "_blk")
     latest = F.array_max(F.filter("_cuts", lambda c: c < F.col("_rows")))
     return joined.select(
         *by,
         F.coalesce(latest, F.col("_piece")).alias("_piece"),
+        "_blk",
         "_pool",
         "_s",
         "_n",
@@ -100,6 +101,10 @@ def isotonic_fit(df: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> DataF
     aggregation, until every piece is small enough for one task; the fit on one side of a hull point does not depend
     on the other. All columns are fitted together. Rows with a null get a null.
     """
+    return beside(df, spec, list(cols), lambda narrow: _isotonic_fit(narrow, spec, cols))
+
+
+def _isotonic_fit(df: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> DataFrame:
     by = [*spec.keys, "_col"]
     indexed = materialise(with_row_index(df, spec, "_idx"))
     values = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("y")) for i, c in enumerate(cols)))
@@ -125,7 +130,7 @@ def isotonic_fit(df: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> DataF
         running.select(
             *by,
             F.lit(0).cast("long").alias("_piece"),
-            *("_pool", "_s", "_n", "_sum_y", "_rows"),
+            *("_blk", "_pool", "_s", "_n", "_sum_y", "_rows"),
             F.lit(None).cast("double").alias("_mean"),
         )
     )
@@ -199,17 +204,22 @@ def estimate_capacity(
         r: guarded_ratio(total, F.col(light) / 1000 * 0.25, F.col(light), threshold) for r, (light, _) in sources.items()
     }
     ratios["_yield_raw"] = guarded_ratio(total, F.col(ghi), F.col(ghi), threshold)
-    out = isotonic_quantile(
-        df.withColumns(ratios),
-        spec,
-        {r: name for r, (_, name) in sources.items()},
-        0.9,
-        window_days * spec.rows_per_day,
-        min_samples,
-        fit_until,
-        [Roll("_yield_raw", "solar_yield_30d", "median")],
-    )
-    return out.drop(*ratios)
+    needed = [*production, *(light for light, _ in sources.values())]
+
+    def work(narrow: DataFrame) -> DataFrame:
+        out = isotonic_quantile(
+            narrow.select(*spec.row_id, *(c.alias(n) for n, c in ratios.items())),
+            spec,
+            {r: name for r, (_, name) in sources.items()},
+            0.9,
+            window_days * spec.rows_per_day,
+            min_samples,
+            fit_until,
+            [Roll("_yield_raw", "solar_yield_30d", "median")],
+        )
+        return out.drop(*ratios)
+
+    return beside(df, spec, needed, work)
 
 
 def monthly_factor(
@@ -239,8 +249,13 @@ def add_monthly_capacity(
     with_eta = df.withColumn("month", F.month(spec.ts)).join(factors, "month", "left").drop("month")
     gate = F.when(F.col("eta_month").isNotNull(), F.col(ghi))
     ratio = guarded_ratio(F.col(production), F.col("eta_month") * F.col(ghi) / 1000 * 0.25, gate, threshold)
-    fitted = isotonic_quantile(with_eta.withColumn("_ratio_eta", ratio), spec, {"_ratio_eta": out}, 0.9, window, min_samples)
-    return fitted.drop("_ratio_eta")
+    made = beside(
+        with_eta.withColumn("_ratio_eta", ratio),
+        spec,
+        ["_ratio_eta"],
+        lambda narrow: isotonic_quantile(narrow, spec, {"_ratio_eta": out}, 0.9, window, min_samples),
+    )
+    return made.drop("_ratio_eta")
 
 
 def reconstruct(

@@ -6,6 +6,7 @@ Everything is computed on one small table, a row per series and day, and joined
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -72,9 +73,14 @@ def add_lag_features(
     `{var}_{min,max,mean,std,cv}_{k}d` describe day D-k. `{var}_week_*` average the daily values of the `week`
     present days that end at D-`week_end`; `week_std` is the deviation of their daily means.
     """
-    table = lag_table(df, spec, variables, days, week, week_end)
-    joined = df.withColumn(DAY, F.to_date(spec.ts)).join(table, [*spec.keys, DAY], "left")
-    return joined.drop(DAY)
+    return join_daily(df, spec, [lag_table(df, spec, variables, days, week, week_end)])
+
+
+def join_daily(df: DataFrame, spec: SeriesSpec, tables: Sequence[DataFrame]) -> DataFrame:
+    """Add the columns of per-day tables to the rows of each day; the rows are joined once, whatever the tables."""
+    by = [*spec.keys, DAY]
+    daily = reduce(lambda a, b: a.join(b, by, "full"), tables)
+    return df.withColumn(DAY, F.to_date(spec.ts)).join(daily, by, "left").drop(DAY)
 
 
 def daily_yield(
@@ -103,18 +109,23 @@ def add_yield_ratio(
     `days`: over the `window_days` calendar days that end at D-2, on the daily table. `rows`: the daily ratio put
     back on the rows, moved 2 rows and averaged over `window_days` rows.
     """
-    daily = daily_yield(df, spec, prod, ghi, threshold, DAY)
-    with_day = df.withColumn(DAY, F.to_date(spec.ts))
     if mode == "days":
-        past = W.partitionBy(*spec.keys).orderBy(F.unix_date(DAY)).rangeBetween(-(window_days + 1), -2)
-        table = daily.select(*spec.keys, DAY, F.avg("daily_yield_ratio").over(past).alias(out))
-        return with_day.join(table, [*spec.keys, DAY], "left").drop(DAY)
-    joined = with_day.join(daily, [*spec.keys, DAY], "left").drop(DAY)
+        return join_daily(df, spec, [yield_table(df, spec, prod, ghi, threshold, window_days, out)])
+    joined = join_daily(df, spec, [daily_yield(df, spec, prod, ghi, threshold, DAY)])
     return rolling(joined, spec, "daily_yield_ratio", window_days, "mean", min_samples=1, out=out, shift=2).drop(
         "daily_yield_ratio"
     )
 
 
+def yield_table(
+    df: DataFrame, spec: SeriesSpec, prod: str, ghi: str, threshold: float = 200.0, window_days: int = 30, out: str = "yield"
+) -> DataFrame:
+    """Per day, the mean daily yield ratio of the `window_days` calendar days that end at D-2."""
+    past = W.partitionBy(*spec.keys).orderBy(F.unix_date(DAY)).rangeBetween(-(window_days + 1), -2)
+    daily = daily_yield(df, spec, prod, ghi, threshold, DAY)
+    return daily.select(*spec.keys, DAY, F.avg("daily_yield_ratio").over(past).alias(out))
+
+
 def mean_over_days(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], day: str = "day") -> DataFrame:
     """Daily mean of several columns."""
     return df.groupBy(*spec.keys, F.to_date(spec.ts).alias(day)).agg(*(F.avg(c).alias(c) for c in cols))

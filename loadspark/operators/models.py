@@ -20,6 +20,7 @@ from pyspark.storagelevel import StorageLevel
 from loadspark.operators.fills import fill_both
 from loadspark.operators.split import expanding_folds
 from loadspark.series import SeriesSpec, with_row_index
+from loadspark.session import ensure_checkpoint_dir
 
 GAP_COLUMN = "solar_remote_yield_ratio"
 # 20 penalties evenly spaced on a log scale from 1e-2 to 1e3.
@@ -255,6 +256,7 @@ def fit_gbt(
 
     Missing features are filled with the training median, as Spark's trees take no nulls.
     """
+    ensure_checkpoint_dir(train.sparkSession)  # long boosting runs cut their lineage there
     casts = {c: F.col(c).cast("double") for c in features}
     typed = train.withColumns(casts).where(F.col(label).isNotNull())
     filled = [f"{c}__filled" for c in features]

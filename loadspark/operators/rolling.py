@@ -15,7 +15,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from loadspark.series import SeriesSpec, interval, step_start, with_row_index
+from loadspark.series import SeriesSpec, beside, interval, step_start, with_row_index
 from loadspark.session import materialise
 
 IDX, BLOCK, OWNER = "_idx", "_block", "_owner"
@@ -82,31 +82,33 @@ def rolling_many(
         frame = W.partitionBy(*spec.keys).orderBy(*spec.order).rowsBetween(-(n - 1) - shift, -shift)
         return df.withColumns({r.out: _frame(r, frame, need) for r in rolls})
 
-    indexed = with_row_index(df, spec, IDX)
     reach = n - 1 + shift
     if in_jvm:
         frame = W.partitionBy(*spec.keys, BLOCK).orderBy(IDX).rowsBetween(-(n - 1) - shift, -shift)
         return (
-            _with_halo(indexed, spec, reach)
+            _with_halo(with_row_index(df, spec, IDX), spec, reach)
             .withColumns({r.out: _frame(r, frame, need) for r in rolls})
             .where(F.col(OWNER).eqNullSafe(F.col(BLOCK)))
             .drop(IDX, OWNER, BLOCK)
         )
 
-    # The numbered rows feed the rolling pass and are then joined to its result.
-    indexed = materialise(indexed)
     sources = list(dict.fromkeys(r.col for r in rolls))
-    narrow = indexed.where(F.col(IDX).isNotNull()).select(*spec.keys, IDX, *(F.col(c).cast("double") for c in sources))
     keep = [*spec.keys, IDX]
-    schema = T.StructType(
-        [*(narrow.schema[c] for c in keep), *(T.StructField(r.out, T.DoubleType()) for r in rolls)]
-    )
-    rolled = (
-        _with_halo(narrow, spec, reach)
-        .groupBy(*spec.keys, BLOCK)
-        .applyInPandas(_roll_block(rolls, n, need, shift, keep), schema)
-    )
-    return indexed.join(rolled, keep, "left").drop(IDX)
+
+    def in_python(narrow: DataFrame) -> DataFrame:
+        # The numbered rows feed the rolling pass and are then joined to its result.
+        indexed = materialise(with_row_index(narrow, spec, IDX))
+        values = indexed.where(F.col(IDX).isNotNull()).select(*keep, *(F.col(c).cast("double") for c in sources))
+        outs = (T.StructField(r.out, T.DoubleType()) for r in rolls)
+        schema = T.StructType([*(values.schema[c] for c in keep), *outs])
+        rolled = (
+            _with_halo(values, spec, reach)
+            .groupBy(*spec.keys, BLOCK)
+            .applyInPandas(_roll_block(rolls, n, need, shift, keep), schema)
+        )
+        return indexed.join(rolled, keep, "left").drop(IDX)
+
+    return beside(df, spec, sources, in_python)
 
 
 def rolling(

@@ -14,12 +14,13 @@ from loadspark.operators.capacity import GHI, POA, estimate_capacity
 from loadspark.operators.clean import clean
 from loadspark.operators.fills import fill_both
 from loadspark.operators.joins import merge_sources
-from loadspark.operators.lags import LAG_VARIABLES, add_lag_features, add_yield_ratio
+from loadspark.operators.lags import LAG_VARIABLES, add_lag_features, add_yield_ratio, join_daily, lag_table, yield_table
 from loadspark.operators.models import GAP_COLUMN
 from loadspark.operators.reshape import ENERGY_NAMES, STATIONS, model_features, rename_map
 from loadspark.operators.rolling import add_persistence
 from loadspark.operators.split import clip_warmup, exclude_intervals, split_temporal
 from loadspark.series import SeriesSpec
+from loadspark.session import materialise
 from loadspark.sources.files import read_energy_csv, read_forecasts, read_measurements
 from loadspark.sources.prepared import read_prepared, run_stamp, write_features, write_versioned
 
@@ -61,8 +62,11 @@ def build_features(
     out = add_cyclical(add_dst(out, spec.ts), spec.ts)
     out = add_poa_irradiance(out, spec.ts, GHI, POA, tilt, azimuth)
     out = estimate_capacity(out, spec, 200.0, 30, 96, fit_until=fit_until)
-    out = add_yield_ratio(out, spec, window_days=30, mode=yield_mode)
-    return add_lag_features(out, spec, lag_variables)
+    if yield_mode != "days":
+        return add_lag_features(add_yield_ratio(out, spec, window_days=30, mode=yield_mode), spec, lag_variables)
+    # The daily tables need raw columns only, and meet the rows in one join.
+    yields = yield_table(df, spec, "solar_remote", GHI, window_days=30, out=GAP_COLUMN)
+    return join_daily(out, spec, [yields, lag_table(df, spec, lag_variables)])
 
 
 def split_prepared(
@@ -91,7 +95,8 @@ def prepare(spark: SparkSession, config: PrepareConfig) -> tuple[DataFrame, Data
     energy = rename_map(read_energy_csv(spark, config.energy_csv), ENERGY_NAMES)
     forecasts = read_forecasts(spark, config.weather_dir, config.stations)
     measured = read_measurements(spark, config.weather_dir, config.stations)
-    write_versioned(clean(merge_sources(energy, [forecasts, measured], gap=config.gap), spec), f"{out}/clean", run)
+    merged = materialise(merge_sources(energy, [forecasts, measured], gap=config.gap))
+    write_versioned(clean(merged, spec), f"{out}/clean", run)
 
     cleaned = read_prepared(spark, f"{out}/clean", run)
     featured = build_features(cleaned, spec, config.tilt, config.azimuth, config.yield_mode, config.fit_until)

@@ -8,7 +8,7 @@ holds a third of all rows is therefore spread over as many tasks as it has bucke
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -70,6 +70,11 @@ class SeriesSpec:
         """One comparable value with the same order as `order`."""
         return F.struct(*self.order) if self.tie else F.col(self.ts)
 
+    @property
+    def row_id(self) -> list[str]:
+        """The columns that tell rows apart; rows that share an instant of a series need a `tie`."""
+        return [*self.keys, self.ts, *self.tie]
+
     @property
     def rows_per_day(self) -> int:
         return int(timedelta(days=1) / self.step)
@@ -128,7 +133,8 @@ def attach_per_key(
 ) -> DataFrame:
     """Left join one row per key onto the rows of that key, each key spread over `spread` join groups.
 
-    The small side is repeated `spread` times, so no task receives all the rows of a hot key.
+    For groups without an inner order to cut them by. The small side is repeated `spread` times, so no task receives
+    all the rows of a hot key; beyond that adaptive execution splits skewed join partitions.
     """
     slots = F.sequence(F.lit(0), F.lit(spread - 1))
     right = per_key.withColumn("_slot", F.explode(slots))
@@ -136,17 +142,43 @@ def attach_per_key(
     return df.withColumn("_slot", slot).join(right, [*keys, "_slot"], "left").drop("_slot")
 
 
+def attach_per_bucket(df: DataFrame, per_key: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
+    """Left join one row per key onto the rows of that key, one join group per bucket.
+
+    The small side is repeated once per bucket that exists, so a join group is never larger than a bucket.
+    """
+    by = [*keys, bucket]
+    return df.join(df.select(*by).distinct().join(per_key, list(keys)), by, "left")
+
+
 def attach_stats(df: DataFrame, spec: SeriesSpec, stats: Mapping[str, Column], of: DataFrame | None = None) -> DataFrame:
     """Add aggregates of the whole series (of `of`, by default `df`) to every row.
 
-    Without keys the aggregates are one scalar subquery; with keys they are joined on, spread over each key.
+    Without keys the aggregates are one scalar subquery; with keys they are joined on, bucket by bucket.
     """
     source = df if of is None else of
     exprs = [c.alias(n) for n, c in stats.items()]
     if not spec.keys:
         one = source.agg(F.struct(*exprs).alias("_stats")).scalar()
         return df.withColumn("_stats", one).select("*", *(F.col(f"_stats.{n}") for n in stats)).drop("_stats")
-    return attach_per_key(df, source.groupBy(*spec.keys).agg(*exprs), spec.keys, [spec.ts])
+    per_key = source.groupBy(*spec.keys).agg(*exprs)
+    order = [*df.columns, *stats]
+    return attach_per_bucket(df.withColumn(BUCKET, spec.bucket()), per_key, spec.keys, BUCKET).select(*order)
+
+
+def beside(
+    df: DataFrame, spec: SeriesSpec, needed: Sequence[str], work: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Let `work` see only the identifying and the `needed` columns, and join the columns it adds back to the rows.
+
+    Work that stores or reshuffles its input then moves a few columns; a wide table is moved once, for this join.
+    """
+    ids = spec.row_id
+    made = work(df.select(*ids, *(c for c in dict.fromkeys(needed) if c not in ids)))
+    if set(df.columns) <= set(made.columns):
+        return made
+    new = [c for c in made.columns if c not in df.columns]
+    return df.join(made.select(*ids, *new).dropDuplicates(ids), ids, "left").select(*df.columns, *new)
 
 
 def resample(
