@@ -28,7 +28,7 @@ from loadspark.catalog.views import (
 )
 from loadspark.functions.solar import add_poa_irradiance
 from loadspark.operators.analysis import efficiency_profile, ghi_correlation, lag_autocorr, production_profile
-from loadspark.operators.capacity import isotonic_fit, reconstruct
+from loadspark.operators.capacity import estimate_capacity, isotonic_fit, reconstruct
 from loadspark.operators.clean import cells_filled, clean
 from loadspark.operators.fills import backward_fill, fill_both, forward_fill
 from loadspark.operators.joins import full_merge
@@ -569,6 +569,27 @@ _POA = f"""a AS (SELECT ts, ghi, 2 * pi() * (dayofyear(ts) - 1) / 365 AS b,
   x AS (SELECT *, CASE WHEN up THEN part ELSE ghi END AS dhi, CASE WHEN up THEN (ghi - part) / cz ELSE 0 END AS dni FROM d)"""
 
 
+@query(
+    "capacity_curve",
+    f"""WITH {S15}, r AS (SELECT ts, CASE WHEN ghi > 200 THEN coalesce(solar_remote, 0) / (ghi / 1000 * 0.25) END AS ratio,
+      CASE WHEN ghi > 200 THEN coalesce(solar_remote, 0) / ghi END AS y FROM s15),
+    q AS (SELECT ts, CASE WHEN count(ratio) OVER w >= 96 THEN quantile_cont(ratio, 0.9) OVER w END AS p,
+      CASE WHEN count(y) OVER w >= 96 THEN quantile_cont(y, 0.5) OVER w END AS m FROM r {_frame(960, 'ORDER BY ts')}),
+    g AS (SELECT ts, last_value(p IGNORE NULLS) OVER (ORDER BY ts) AS p, last_value(m IGNORE NULLS) OVER (ORDER BY ts) AS m FROM q),
+    s AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i, sum(p) OVER (ORDER BY ts) AS t FROM g WHERE p IS NOT NULL),
+    z AS (SELECT i, t FROM s UNION ALL SELECT 0, 0),
+    pairs AS (SELECT a.i + 1 AS a, b.i AS b, (b.t - a.t) / (b.i - a.i) AS v FROM z a JOIN z b ON b.i > a.i),
+    low AS (SELECT a, b, min(v) OVER (PARTITION BY a ORDER BY b DESC) AS v FROM pairs),
+    fit AS (SELECT b AS i, max(v) AS f FROM low GROUP BY 1)
+    SELECT g.ts, {q6('fit.f', 4)} AS capacity, {q6('g.m')} AS yield FROM g LEFT JOIN s USING (ts) LEFT JOIN fit USING (i)""",
+)
+def capacity_curve(spark: Spark, sf: str) -> Frame:
+    out = estimate_capacity(series15(spark, sf), SPEC15, 200.0, 10, 96, ["solar_remote"], "ghi")
+    return out.select(
+        "ts", r6("estimated_solar_capacity_ghi", 4).alias("capacity"), r6("solar_yield_30d").alias("yield")
+    )
+
+
 @query(
     "poa_irradiance",
     f"""WITH {S15}, {_POA} SELECT ts, {q6(f'''greatest(0, greatest(dni, 0) * greatest(ci, 0)

@@ -14,7 +14,7 @@ from loadspark.operators.clean import drop_null_rows
 from loadspark.operators.fills import forward_fill
 from loadspark.operators.quantiles import group_quantile
 from loadspark.operators.reshape import SOLAR_COLUMNS
-from loadspark.operators.rolling import Roll, rolling_many
+from loadspark.operators.rolling import IDX, Roll, roll_indexed, rolling_many
 from loadspark.series import SeriesSpec, attach_per_bucket, beside, with_row_index, with_running_totals
 from loadspark.session import materialise
 
@@ -101,12 +101,16 @@ def isotonic_fit(df: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> DataF
     aggregation, until every piece is small enough for one task; the fit on one side of a hull point does not depend
     on the other. All columns are fitted together. Rows with a null get a null.
     """
-    return beside(df, spec, list(cols), lambda narrow: _isotonic_fit(narrow, spec, cols))
+
+    def work(narrow: DataFrame) -> DataFrame:
+        return fit_indexed(materialise(with_row_index(narrow, spec, IDX)), spec, cols).drop(IDX)
+
+    return beside(df, spec, list(cols), work)
 
 
-def _isotonic_fit(df: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> DataFrame:
+def fit_indexed(indexed: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> DataFrame:
+    """The fit on stored rows that are already numbered (`_idx`)."""
     by = [*spec.keys, "_col"]
-    indexed = materialise(with_row_index(df, spec, "_idx"))
     values = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("y")) for i, c in enumerate(cols)))
     rows = (
         indexed.select(*spec.keys, "_idx", F.explode(values).alias("_v"))
@@ -155,7 +159,7 @@ def _isotonic_fit(df: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> Data
         .agg(F.max("_fit"))
         .withColumnsRenamed({str(i): out for i, out in enumerate(cols.values())})
     )
-    return indexed.join(per_row, [*spec.keys, "_idx"], "left").drop("_idx")
+    return indexed.join(per_row, [*spec.keys, IDX], "left")
 
 
 def isotonic_quantile(
@@ -174,14 +178,21 @@ def isotonic_quantile(
     rows cannot see the test span. All quantiles, and any `extra` rolling columns, share one rolling pass.
     """
     rolls = [Roll(c, f"_r_{out}", "quantile", q) for c, out in cols.items()]
-    rolled = materialise(rolling_many(df, spec, [*rolls, *extra], window, min_samples))
-    df = forward_fill(rolled, spec, [r.out for r in [*rolls, *extra]])
+    every = [*rolls, *extra]
     sources = {f"_r_{out}": out for out in cols.values()}
-    if fit_until is not None:
-        early = F.col(spec.ts) <= F.lit(fit_until).cast("timestamp_ntz")
-        df = df.withColumns({c: F.when(early, F.col(c)) for c in sources})
-    df = isotonic_fit(df, spec, sources).drop(*sources)
-    return df if fit_until is None else forward_fill(df, spec, list(cols.values()))
+
+    def work(narrow: DataFrame) -> DataFrame:
+        # Rows are numbered once; the numbers serve the rolling pass and the fit.
+        indexed = materialise(with_row_index(narrow, spec, IDX))
+        rolled = materialise(roll_indexed(indexed, spec, every, window, min_samples))
+        filled = forward_fill(rolled, spec, [r.out for r in every])
+        if fit_until is not None:
+            early = F.col(spec.ts) <= F.lit(fit_until).cast("timestamp_ntz")
+            filled = filled.withColumns({c: F.when(early, F.col(c)) for c in sources})
+        fitted = fit_indexed(materialise(filled), spec, sources).drop(IDX, *sources)
+        return fitted if fit_until is None else forward_fill(fitted, spec, list(cols.values()))
+
+    return beside(df, spec, [r.col for r in every], work)
 
 
 def estimate_capacity(

@@ -92,23 +92,29 @@ def rolling_many(
             .drop(IDX, OWNER, BLOCK)
         )
 
-    sources = list(dict.fromkeys(r.col for r in rolls))
-    keep = [*spec.keys, IDX]
-
     def in_python(narrow: DataFrame) -> DataFrame:
         # The numbered rows feed the rolling pass and are then joined to its result.
-        indexed = materialise(with_row_index(narrow, spec, IDX))
-        values = indexed.where(F.col(IDX).isNotNull()).select(*keep, *(F.col(c).cast("double") for c in sources))
-        outs = (T.StructField(r.out, T.DoubleType()) for r in rolls)
-        schema = T.StructType([*(values.schema[c] for c in keep), *outs])
-        rolled = (
-            _with_halo(values, spec, reach)
-            .groupBy(*spec.keys, BLOCK)
-            .applyInPandas(_roll_block(rolls, n, need, shift, keep), schema)
-        )
-        return indexed.join(rolled, keep, "left").drop(IDX)
+        return roll_indexed(materialise(with_row_index(narrow, spec, IDX)), spec, rolls, n, need, shift).drop(IDX)
+
+    return beside(df, spec, [r.col for r in rolls], in_python)
+
 
-    return beside(df, spec, sources, in_python)
+def roll_indexed(
+    indexed: DataFrame, spec: SeriesSpec, rolls: Sequence[Roll], n: int, need: int, shift: int = 0
+) -> DataFrame:
+    """Pandas rolling on rows that are already numbered (`_idx`)."""
+    keep = [*spec.keys, IDX]
+    sources = dict.fromkeys(r.col for r in rolls)
+    values = indexed.where(F.col(IDX).isNotNull()).select(*keep, *(F.col(c).cast("double") for c in sources))
+    outs = (T.StructField(r.out, T.DoubleType()) for r in rolls)
+    rolled = (
+        _with_halo(values, spec, n - 1 + shift)
+        .groupBy(*spec.keys, BLOCK)
+        .applyInPandas(
+            _roll_block(rolls, n, need, shift, keep), T.StructType([*(values.schema[c] for c in keep), *outs])
+        )
+    )
+    return indexed.join(rolled, keep, "left")
 
 
 def rolling(
