@@ -16,7 +16,7 @@ from loadspark.operators.quantiles import group_quantile
 from loadspark.operators.reshape import SOLAR_COLUMNS
 from loadspark.operators.rolling import IDX, Roll, roll_indexed, rolling_many
 from loadspark.series import SeriesSpec, attach_per_bucket, beside, with_row_index, with_running_totals
-from loadspark.session import materialise
+from loadspark.session import materialise, spread_groups
 
 GHI, POA = "sion_forecast_global_radiation", "poa_irradiance"
 FIT_ROWS = 16384
@@ -48,8 +48,8 @@ def _pool_pools(block: pd.DataFrame) -> pd.DataFrame:
     block = block.sort_values("_pool")
     weight, total = block["_n"].to_numpy(dtype=float), block["_s"].to_numpy()
     pools = pool_violators(total / weight, weight)
-    sums = pd.DataFrame({"g": pools, "s": total, "n": weight}).groupby("g")[["s", "n"]].transform("sum")
-    return block.assign(_fit=(sums["s"] / sums["n"]).to_numpy())
+    first, of = np.unique(pools, return_inverse=True)
+    return block.assign(_fit=(np.add.reduceat(total, first) / np.add.reduceat(weight, first))[of])
 
 
 def _cut_at_hull(pieces: DataFrame, by: list[str]) -> DataFrame:
@@ -101,30 +101,28 @@ def isotonic_fit(df: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> DataF
     aggregation, until every piece is small enough for one task; the fit on one side of a hull point does not depend
     on the other. All columns are fitted together. Rows with a null get a null.
     """
-
-    def work(narrow: DataFrame) -> DataFrame:
-        return fit_indexed(materialise(with_row_index(narrow, spec, IDX)), spec, cols).drop(IDX)
-
-    return beside(df, spec, list(cols), work)
+    narrow = df.select(*spec.row_id, *(c for c in cols if c not in spec.row_id))
+    fitted = fit_indexed(materialise(with_row_index(narrow, spec, IDX)), spec, cols)
+    return df.join(fitted, spec.row_id, "left").select(*df.columns, *cols.values())
 
 
 def fit_indexed(indexed: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> DataFrame:
-    """The fit on stored rows that are already numbered (`_idx`)."""
+    """The fit on stored rows that are already numbered (`_idx`): one row per identified row with a fitted value."""
     by = [*spec.keys, "_col"]
     values = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("y")) for i, c in enumerate(cols)))
     rows = (
-        indexed.select(*spec.keys, "_idx", F.explode(values).alias("_v"))
+        indexed.select(*spec.row_id, IDX, F.explode(values).alias("_v"))
         .where("_v.y is not null")
         .select(
-            *spec.keys,
+            *spec.row_id,
             F.col("_v.c").alias("_col"),
-            F.expr(f"_idx div {FIT_ROWS}").alias("_blk"),
-            "_idx",
+            F.expr(f"{IDX} div {FIT_ROWS}").alias("_blk"),
+            IDX,
             F.col("_v.y").alias("_y"),
         )
     )
     pooled = materialise(
-        rows.groupBy(*by, "_blk").applyInPandas(
+        spread_groups(rows, *by, "_blk").groupBy(*by, "_blk").applyInPandas(
             _pool_rows, T.StructType([*rows.schema.fields, T.StructField("_pool", T.LongType())])
         )
     )
@@ -146,20 +144,18 @@ def fit_indexed(indexed: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> D
         pieces = materialise(open_pieces.unionByName(pieces.where("_mean is not null")))
 
     last = pieces.select(*by, "_piece", "_pool", "_s", "_n").where(pieces["_mean"].isNull())
-    solved = last.groupBy(*by, "_piece").applyInPandas(
+    solved = spread_groups(last, *by, "_piece").groupBy(*by, "_piece").applyInPandas(
         _pool_pools, T.StructType([*last.schema.fields, T.StructField("_fit", T.DoubleType())])
     )
     flat = pieces.where("_mean is not null").select(*by, "_pool", F.col("_mean").alias("_fit"))
     fitted = solved.select(*by, "_pool", "_fit").unionByName(flat)
-    per_row = (
-        pooled.select(*by, "_pool", "_idx")
+    of = {out: F.max(F.when(F.col("_col") == i, F.col("_fit"))) for i, out in enumerate(cols.values())}
+    return (
+        pooled.select(*spec.row_id, "_col", "_pool")
         .join(fitted, [*by, "_pool"])
-        .groupBy(*spec.keys, "_idx")
-        .pivot("_col", list(range(len(cols))))
-        .agg(F.max("_fit"))
-        .withColumnsRenamed({str(i): out for i, out in enumerate(cols.values())})
+        .groupBy(*spec.row_id)
+        .agg(*(c.alias(out) for out, c in of.items()))
     )
-    return indexed.join(per_row, [*spec.keys, IDX], "left")
 
 
 def isotonic_quantile(
@@ -189,7 +185,8 @@ def isotonic_quantile(
         if fit_until is not None:
             early = F.col(spec.ts) <= F.lit(fit_until).cast("timestamp_ntz")
             filled = filled.withColumns({c: F.when(early, F.col(c)) for c in sources})
-        fitted = fit_indexed(materialise(filled), spec, sources).drop(IDX, *sources)
+        filled = materialise(filled)
+        fitted = filled.join(fit_indexed(filled, spec, sources), spec.row_id, "left").drop(IDX, *sources)
         return fitted if fit_until is None else forward_fill(fitted, spec, list(cols.values()))
 
     return beside(df, spec, [r.col for r in every], work)

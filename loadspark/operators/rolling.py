@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from loadspark.series import SeriesSpec, beside, interval, step_start, with_row_index
-from loadspark.session import materialise
+from loadspark.session import materialise, spread_groups
 
 IDX, BLOCK, OWNER = "_idx", "_block", "_owner"
 # Up to this many rows a window frame in the JVM beats sending the column to Python.
@@ -107,9 +107,10 @@ def roll_indexed(
     sources = dict.fromkeys(r.col for r in rolls)
     values = indexed.where(F.col(IDX).isNotNull()).select(*keep, *(F.col(c).cast("double") for c in sources))
     outs = (T.StructField(r.out, T.DoubleType()) for r in rolls)
+    by = [*spec.keys, BLOCK]
     rolled = (
-        _with_halo(values, spec, n - 1 + shift)
-        .groupBy(*spec.keys, BLOCK)
+        spread_groups(_with_halo(values, spec, n - 1 + shift), *by)
+        .groupBy(*by)
         .applyInPandas(
             _roll_block(rolls, n, need, shift, keep), T.StructType([*(values.schema[c] for c in keep), *outs])
         )

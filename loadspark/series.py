@@ -14,6 +14,8 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from loadspark.session import spread_groups
+
 BUCKET = "_bucket"
 SPREAD = 32
 
@@ -163,7 +165,8 @@ def attach_stats(df: DataFrame, spec: SeriesSpec, stats: Mapping[str, Column], o
         return df.withColumn("_stats", one).select("*", *(F.col(f"_stats.{n}") for n in stats)).drop("_stats")
     per_key = source.groupBy(*spec.keys).agg(*exprs)
     order = [*df.columns, *stats]
-    return attach_per_bucket(df.withColumn(BUCKET, spec.bucket()), per_key, spec.keys, BUCKET).select(*order)
+    cut = df.withColumn(BUCKET, F.coalesce(spec.bucket(), F.lit(-1).cast("long")))
+    return attach_per_bucket(cut, per_key, spec.keys, BUCKET).select(*order)
 
 
 def beside(
@@ -208,10 +211,8 @@ def resample(
     every = F.sequence(F.lit(0), F.lit(86400 // step - 1))
     known = F.coalesce("_steps", F.array().cast(present.schema["_steps"].dataType))
     missing = F.transform(F.array_except(every, known["i"]), lambda i: F.struct(i.alias("i"), *empty))
-    # Every row here becomes a day of steps, so the partition count is fixed rather than left to the bytes shuffled.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grid = (
-        days.repartition(tasks, *spec.keys, "_day")
+        spread_groups(days, *spec.keys, "_day")
         .join(present, [*spec.keys, "_day"], "left")
         .withColumn("_s", F.explode(F.concat(known, missing)))
         .withColumn(spec.ts, F.timestamp_add("SECOND", F.col("_s.i") * step, F.col("_day").cast("timestamp_ntz")))

@@ -50,3 +50,12 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_groups(df: DataFrame, *by: str) -> DataFrame:
+    """Hash rows by group into the configured number of shuffle partitions.
+
+    Before work whose cost is not in its bytes (Python per group, rows that unfold later), where adaptive execution
+    would merge small partitions into a few long tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
