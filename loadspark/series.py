@@ -54,7 +54,8 @@ class SeriesSpec:
     """Names the time column, the key columns and the grid of a series.
 
     `bucket_rows` is how many grid steps one bucket spans; None says every single series is known to fit one
-    task, and plain windows per key are used. `tie` orders rows that share an instant.
+    task, and plain windows per key are used. `tie` orders rows that share an instant. Keys must not be null; rows
+    without an instant are kept and take no part.
     """
 
     ts: str = "utc_timestamp"

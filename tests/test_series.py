@@ -9,6 +9,7 @@ from loadspark.operators.fills import backward_fill, fill_both, forward_fill
 from loadspark.operators.reshape import every_nth
 from loadspark.operators.rolling import (
     Roll,
+    _with_halo,
     add_lag,
     add_persistence,
     broadcast_bucket_mean,
@@ -176,3 +177,17 @@ def test_long_series_never_enter_one_task(data):
     assert single and all("Exchange" in line for line in single)
     before = final[: final.index("SinglePartition")]
     assert "hashpartitioning(_bucket" in before or "hashpartitioning(_bucket" in final
+
+
+def test_hot_key_is_cut_into_small_groups(spark):
+    """One key with almost all rows: no bucket or block is larger than the spec allows, halo included."""
+    hot, _ = series(spark, n=2000, keys=1)
+    cold, _ = series(spark, n=5, keys=3)
+    both = hot.unionByName(cold.where("k > 0"))
+    largest = both.groupBy("k", KEYED.bucket().alias("b")).count().agg(F.max("count")).head()[0]
+    assert largest <= KEYED.bucket_rows
+    reach = 20
+    blocks = _with_halo(with_row_index(both, KEYED, "_idx"), KEYED, reach)
+    size = max(4 * reach, KEYED.bucket_rows)
+    assert blocks.groupBy("k", "_block").count().agg(F.max("count")).head()[0] <= size + reach
+    assert blocks.where("_owner = _block").count() == both.count()
