@@ -1,6 +1,6 @@
 """All queries of this folder; importing the modules registers them."""
 
-from loadspark.llm import quality_rules  # noqa: F401
+from loadspark.llm import mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentence_pieces, sharding  # noqa: F401
 from loadspark.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
