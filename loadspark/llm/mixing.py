@@ -181,6 +181,21 @@ def mix(
     )
 
 
+def take_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of the mix, whole: each as often as a block the mix takes begins it; columns as given.
+
+    Rows are found again by two 64-bit hashes over all columns, so that texts move once. Rows equal in all columns are
+    one row with the sum of their times. Texts without words are not in a mix of words.
+    """
+    marks = {f"__row_{i}": F.xxhash64(F.lit(i), *(F.col(f"`{c}`") for c in df.columns)) for i in (1, 2)}
+    rows = df.withColumns(marks)
+    pieces = mix(rows, [key, *marks], text, source)
+    times = pieces.where("slot IS NOT NULL AND start = 0").groupBy(*marks).agg(F.count(F.lit(1)).alias("__times"))
+    whole = rows.dropDuplicates([*marks]).join(times, [*marks])
+    again = whole.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    return again.select(*(f"`{c}`" for c in df.columns))
+
+
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
