@@ -36,9 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
     vocabulary = sentence_pieces.load_vocabulary()
-    out = sentence_pieces.decode(sentence_pieces.encode(docs, vocabulary), vocabulary)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select("doc_id", "source", F.size("ids").alias("n_ids"), "ids", same.alias("round_trip"))
+    out = sentence_pieces.encode(docs, vocabulary, same="round_trip")
+    return out.select("doc_id", "source", F.size("ids").alias("n_ids"), "ids", "round_trip")
 
 
 STAGES = [

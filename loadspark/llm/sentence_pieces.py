@@ -20,7 +20,8 @@ whole; repeated rows give the same ids; ids outside the model are an error.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import astuple, dataclass
 
 import numpy as np
@@ -32,21 +33,37 @@ from loadspark.llm.registry import query, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units and pairs of pieces remembered by a worker; beyond that it starts afresh.
-CACHE_UNITS = 200_000
-CACHE_PAIRS = 500_000
+#: Runs, and pairs of pieces, that a worker remembers in each of two generations; what is not met again is dropped.
+CACHE_RUNS = 150_000
+CACHE_PAIRS = 300_000
 CACHED_LENGTH = 48
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces by id, their scores, the ids of the 256 byte pieces, and the ids that are ordinary pieces."""
+    """Pieces by id, their scores, the ids of the 256 byte pieces, of ordinary pieces, and of those that merging reaches."""
 
     pieces: list[str]
     scores: list[float]
     byte_ids: list[int]
     ordinary: list[int]
+    standing: list[int]
+
+
+def merged(text: str, ids: dict[str, int], scores: list[float]) -> list[str]:
+    """The merge procedure itself, on the few characters of one or two pieces."""
+    parts = list(text)
+    while len(parts) > 1:
+        best, at = None, -1
+        for k in range(len(parts) - 1):
+            i = ids.get(parts[k] + parts[k + 1])
+            if i is not None and (best is None or scores[i] > best):
+                best, at = scores[i], k
+        if at < 0:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
 
 
 def load_vocabulary(path: str = MODEL_PATH) -> Vocabulary:
@@ -64,7 +81,9 @@ def load_vocabulary(path: str = MODEL_PATH) -> Vocabulary:
     inner = [p for i in ordinary if SPACE in (p := pieces[i]).lstrip(SPACE)]
     if inner or len(set(byte_ids)) != 256:
         raise ValueError("the model must have byte pieces and spaces in front of pieces only")
-    return Vocabulary(pieces, [model.get_score(i) for i in range(size)], byte_ids, ordinary)
+    scores, ids = [model.get_score(i) for i in range(size)], {pieces[i]: i for i in ordinary}
+    standing = [i for i in ordinary if merged(pieces[i], ids, scores) == [pieces[i]]]
+    return Vocabulary(pieces, scores, byte_ids, ordinary, standing)
 
 
 class Encoder:
@@ -72,123 +91,129 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.ids = {vocabulary.pieces[i]: i for i in vocabulary.ordinary}
-        self.pieces = vocabulary.pieces
+        #: Pieces by id; characters without a piece get ids of their own behind them.
+        self.pieces = list(vocabulary.pieces)
+        self.size = len(self.pieces)
+        self.lone: dict[str, int] = {}
         self.scores = vocabulary.scores
         self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = vocabulary.byte_ids
         self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.runs = _Runs(self)
-        self.words = _Words(self)
+        self.pairs: dict[int, bool] = {}
+        #: The pieces as a tree: per character the id of a piece that the merge procedure reaches, and what may follow.
+        self.root: dict[str, list] = {}
+        for i in vocabulary.standing:
+            node = [None, self.root]
+            for char in self.pieces[i]:
+                node = node[1].setdefault(char, [None, {}])
+            node[0] = i
+        self.runs = _Cache(self.ids_of)
+        self.words = _Cache(self.word)
         as_bytes = [p.replace(SPACE, " ").encode() for p in vocabulary.pieces]
         for b, i in enumerate(vocabulary.byte_ids):
             as_bytes[i] = bytes([b])
         self.as_bytes = as_bytes
 
-    def merged(self, text: str) -> list[str]:
-        """The merge procedure itself, on the few characters of one or two pieces."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def stands(self, piece: str) -> bool:
-        """The merge procedure reaches this piece at all."""
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = len(self.merged(piece)) == 1
-        return known
-
-    def follows(self, left: str, right: str) -> bool:
+    def follows(self, left: int, right: int) -> bool:
         """`right` may come after `left`: merging both from scratch gives them again."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+        a, b = self.pieces[left], self.pieces[right]
+        known = merged(a + b, self.ids, self.scores) == [a, b]
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        self.pairs[left << 32 | right] = known
         return known
 
-    def segment(self, unit: str) -> Iterator[str]:
-        """Pieces (or single characters without a piece) of a unit, committed as soon as they are certain."""
-        ids, longest = self.ids, self.longest
-        done = 0
-        # Last piece of the best chain to each node after `done`; None where no chain ends yet.
-        last: dict[int, str] = {}
-        for end in range(1, len(unit) + 1):
-            chosen = None
-            for start in range(max(done, end - longest), end):
-                piece = unit[start:end]
-                if piece not in ids:
-                    if end - start > 1:
-                        continue
-                elif not self.stands(piece):
-                    continue
-                if start == done:
-                    before = self.tail
-                else:
-                    before = last.get(start)
-                    if before is None:
-                        continue
-                if before is None or self.follows(before, piece):
-                    chosen = piece
+    def lone_id(self, char: str) -> int:
+        i = self.lone.get(char)
+        if i is None:
+            i = self.lone[char] = len(self.pieces)
+            self.pieces.append(char)
+        return i
+
+    def segment(self, run: str) -> Iterator[int]:
+        """Ids of pieces (or of lone characters) of a run, committed as soon as they are certain."""
+        root, pairs, pieces, longest = self.root, self.pairs, self.pieces, self.longest
+        length, window = len(run), 4 * longest
+        done, tail = 0, None
+        # Last piece of the chain to each node from `done` on; None where no chain ends (yet).
+        last: list[int | None] = [None] * (min(length, window + longest) + 1)
+        for start in range(length):
+            left = last[start - done] if start > done else tail
+            if left is None and start > done:
+                continue
+            tree, at = root, start - done
+            if last[at + 1] is None and (run[start] not in root or root[run[start]][0] is None):
+                last[at + 1] = self.lone_id(run[start])
+            for char in run[start : start + longest]:
+                found = tree.get(char)
+                if found is None:
                     break
-            if chosen is not None:
-                last[end] = chosen
-            if end - done >= 4 * longest:
-                # One boundary that the chains of all live nodes pass.
-                chains = []
-                for node in range(max(done + 1, end - longest + 1), end + 1):
-                    if node in last:
-                        path, at = [], node
-                        while at > done:
-                            path.append(at)
-                            at -= len(last[at])
-                        chains.append(set(path))
-                common = set.intersection(*chains) if chains else set()
-                if common:
-                    upto = max(common)
-                    yield from self._chain(last, done, upto)
-                    last = {n: p for n, p in last.items() if n > upto}
-                    done = upto
-        yield from self._chain(last, done, len(unit))
-
-    #: Last committed piece, which the next one must be able to follow.
-    tail: str | None = None
-
-    def _chain(self, last: dict[int, str], done: int, end: int) -> Iterator[str]:
-        path, at = [], end
-        while at > done:
-            path.append(last[at])
-            at -= len(last[at])
-        if path:
-            self.tail = path[0]
-        yield from reversed(path)
-
-    def ids_of(self, run: str) -> list[int]:
-        """Ids of a run between two certain boundaries."""
-        self.tail = None
+                right, tree = found
+                at += 1
+                if right is not None and last[at] is None:
+                    if left is not None:
+                        fits = pairs.get(left << 32 | right)
+                        if not (self.follows(left, right) if fits is None else fits):
+                            continue
+                    last[at] = right
+            if start - done >= window:
+                # Any longer chain passes one of the nodes behind `start`: where theirs meet, all meet.
+                upto = self._common(last, start - done + 1)
+                if upto:
+                    path = self._path(last, upto)
+                    yield from path
+                    tail = path[-1]
+                    done += upto
+                    last = last[upto:] + [None] * upto
+                else:
+                    window += longest
+                    last += [None] * longest
+        if done < length:
+            yield from self._path(last, length - done)
+
+    def _path(self, last: list[int | None], node: int) -> list[int]:
+        out = []
+        while node > 0:
+            out.append(last[node])
+            node -= len(self.pieces[last[node]])
+        return out[::-1]
+
+    def _common(self, last: list[int | None], first: int) -> int:
+        """The last node that the chains of all nodes from `first` on pass; 0 if there is none."""
+        shared: set[int] | None = None
+        for node in range(first, len(last)):
+            if last[node] is not None:
+                passed, at = set(), node
+                while at > 0:
+                    passed.add(at)
+                    at -= len(self.pieces[last[at]])
+                shared = passed if shared is None else shared & passed
+        return max(shared, default=0) if shared else 0
+
+    def ids_of(self, run: str) -> bytes:
+        """Ids of a run between two certain boundaries, as 32-bit integers."""
         out: list[int] = []
-        for piece in self.segment(run):
-            i = self.ids.get(piece)
-            if i is not None:
+        for i in self.segment(run):
+            if i < self.size:
                 out.append(i)
             else:
-                out.extend(self.byte_ids[b] for b in piece.encode("utf-8", "replace"))
-        return out
+                out.extend(self.byte_ids[b] for b in self.pieces[i].encode("utf-8", "replace"))
+        return array("i", out).tobytes()
 
-    def unit(self, unit: str) -> bytes:
-        """Ids of a unit, cut where two characters meet that stand side by side in no piece."""
-        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.inner]
+    def word(self, word: str) -> bytes:
+        """Ids of a word behind one space; it is cut where two characters meet that stand side by side in no piece."""
+        unit, inner = SPACE + word, self.inner
+        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in inner]
         if not cuts:
-            return self.runs[unit]
+            return self.ids_of(unit)
+        first = self.words[unit[1 : cuts[0]]] if cuts[0] > 1 else self.runs[SPACE]
+        rest = [self.runs[unit[i:k]] for i, k in zip(cuts, [*cuts[1:], len(unit)], strict=True)]
+        return b"".join([first, *rest])
+
+    def unit(self, unit: str) -> bytes:
+        """Ids of spaces and what comes behind them."""
+        inner = self.inner
+        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in inner]
         return b"".join([self.runs[unit[i:k]] for i, k in zip([0, *cuts], [*cuts, len(unit)], strict=True)])
 
     def encode(self, text: str) -> np.ndarray:
@@ -202,7 +227,7 @@ class Encoder:
 
     def _encode_spaces(self, text: str) -> bytes:
         """A text with runs of spaces, or with U+2581, which goes to byte pieces."""
-        mark = np.asarray([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()
+        mark = array("i", [self.byte_ids[b] for b in SPACE.encode()]).tobytes()
         first, *rest = text.split(SPACE)
         parts = (SPACE + first.replace(" ", SPACE), *(p.replace(" ", SPACE) for p in rest))
         return mark.join(b"".join(map(self.unit, UNITS.findall(p))) for p in parts)
@@ -213,42 +238,44 @@ class Encoder:
         return text.decode("utf-8", "replace")[1:]
 
 
-class _Runs(dict):
-    """Ids of runs as bytes, bounded."""
+class _Cache(dict):
+    """Ids of runs, filled on demand; of two generations the older is dropped when the younger is full."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.encoder = encoder
+        self.make = make
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, run: str) -> bytes:
-        return self.keep(run, np.asarray(self.encoder.ids_of(run), np.int32).tobytes())
-
-    def keep(self, run: str, data: bytes) -> bytes:
+        data = self.older.get(run)
+        if data is None:
+            data = self.make(run)
         if len(run) <= CACHED_LENGTH:
-            if len(self) >= CACHE_UNITS:
+            if len(self) >= CACHE_RUNS:
+                self.older = dict(self)
                 self.clear()
             self[run] = data
         return data
 
 
-class _Words(_Runs):
-    """Ids of words after one space."""
-
-    def __missing__(self, word: str) -> bytes:
-        return self.keep(word, self.encoder.unit(SPACE + word))
-
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids", same: str | None = None) -> DataFrame:
+    """Add the ids of each text, and in column `same`, if named, whether they decode to the text again.
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of each text; a column of that name is replaced."""
+    Columns of these names are replaced.
+    """
     shared = df.sparkSession.sparkContext.broadcast(astuple(vocabulary))
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids array<int>, same boolean")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(Vocabulary(*shared.value))
         for texts in batches:
-            yield pd.Series([encoder.encode(t) for t in texts], dtype=object)
+            found = [encoder.encode(t) for t in texts]
+            again = [same is not None and encoder.decode(i.tolist()) == t for i, t in zip(found, texts, strict=True)]
+            yield pd.DataFrame({"ids": pd.Series(found, dtype=object), "same": again})
 
-    return df.withColumn(out, ids(clean_text(text)))
+    both = df.withColumn("__pieces", ids(clean_text(text)))
+    added = {out: F.col("__pieces.ids")} | ({same: F.col("__pieces.same")} if same else {})
+    return both.withColumns(added).drop("__pieces")
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -269,10 +296,5 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives its text again."""
     vocabulary = load_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, vocabulary), vocabulary)
-    return out.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        "ids",
-        (F.col("decoded") == clean_text("text")).alias("round_trip"),
-    )
+    out = encode(docs, vocabulary, same="round_trip")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
