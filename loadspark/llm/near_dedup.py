@@ -7,8 +7,10 @@
    share of equal low bits, corrected for chance collisions, estimates the similarity, and pairs clearly below the
    limit (by MARGIN, over five standard deviations) are left out.
 4. What remains is confirmed on the full sets, and confirmed links are joined into components.
-5. A bucket that still holds several components has its remaining pairs across components tested in the same way. Pairs
-   inside a component cannot change it. So no link that the bands can see is lost, and no bucket is listed pair by pair.
+5. In buckets that still hold several components, the members outside the main one are paired with LEADERS of its members,
+   other ones each round, as long as that joins many of them. At last all pairs across components that share a bucket are
+   tested in the same way. Pairs inside a component cannot change it. So no link that the bands can see is lost, and a
+   group of copies is not listed pair by pair.
 
 At a similarity of exactly 0.8 two classes share no band with a chance of 4e-7 (32 bands of 4); hashes of 64 bits make two
 different shingles of one pair equal with a chance of about (words)^2 / 2^64.
@@ -28,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadspark.llm.common import clean_text
+from loadspark.llm.hashing import BYTE_VALUES, POWER, SEED, mix, seeded
 from loadspark.llm.links import connected_components
 from loadspark.llm.registry import query, table
 from loadspark.session import materialise
@@ -36,24 +39,13 @@ HASHES = 128
 ROWS = 4
 BITS = 4
 MARGIN = 0.2
+#: Members of the main component that the others in a bucket are compared with in one round.
+LEADERS = 4
 PIECE = 1 << 22
-SEED = 77
-
-
-def _seeded(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spread 64-bit values (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BYTE_VALUES = _seeded(256, SEED)
-POWER = np.uint64(0x9E3779B97F4A7C15)
+FACTOR = np.uint64(POWER)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -70,10 +62,10 @@ def word_hashes(text: str) -> np.ndarray:
             starts = np.flatnonzero(np.diff(inside, prepend=-2) != 1)
             lengths = np.diff(starts, append=len(inside))
             place = np.arange(len(inside)) - np.repeat(starts, lengths)
-            powers = np.full(int(lengths.max()), POWER)
+            powers = np.full(int(lengths.max()), FACTOR)
             powers[0] = 1
             values = BYTE_VALUES[code[inside]] * np.cumprod(powers, dtype=np.uint64)[place]
-            found.append(_mix(np.add.reduceat(values, starts, dtype=np.uint64) + lengths.astype(np.uint64)))
+            found.append(mix(np.add.reduceat(values, starts, dtype=np.uint64) + lengths.astype(np.uint64)))
         at = end
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
@@ -86,13 +78,13 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     n = min(words, len(w))
     h = np.full(len(w) - n + 1, np.uint64(n))
     for i in range(n):
-        h = _mix(h * POWER + w[i : len(w) - n + 1 + i])
+        h = mix(h * FACTOR + w[i : len(w) - n + 1 + i])
     return np.unique(h)
 
 
 def minima(hashes: np.ndarray, n: int) -> np.ndarray:
     """Smallest value of each of n seeded hash functions over a set."""
-    factors, shifts = _seeded(n, SEED + 1) | np.uint64(1), _seeded(n, SEED + 2)
+    factors, shifts = seeded(n, SEED + 1) | np.uint64(1), seeded(n, SEED + 2)
     out = np.full(n, np.iinfo(np.uint64).max)
     for i in range(0, len(hashes), 1024):
         values = hashes[i : i + 1024, None] * factors + shifts
@@ -105,7 +97,7 @@ def band_keys(mins: np.ndarray, rows: int) -> np.ndarray:
     groups = mins.reshape(-1, rows)
     h = np.arange(len(groups), dtype=np.uint64)
     for i in range(rows):
-        h = _mix(h * POWER + groups[:, i])
+        h = mix(h * FACTOR + groups[:, i])
     return h.view(np.int64)
 
 
@@ -172,6 +164,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * either).select("a", "b")
 
 
+def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with their component and that of the bucket's first member, in buckets of several components."""
+    labels = found.select(F.col("node").alias("n"), "component")
+    placed = shared.join(labels, F.col("node") == F.col("n"), "left")
+    placed = placed.select("band", "first", "node", F.coalesce("component", "node").alias("component"))
+    firsts = found.select(F.col("node").alias("f"), F.col("component").alias("main"))
+    placed = placed.join(firsts, F.col("first") == F.col("f"), "left")
+    placed = placed.select("band", "node", "component", F.coalesce("main", "first").alias("main"))
+    open_bands = placed.where("component <> main").select("band").distinct()
+    return placed.join(open_bands, "band", "left_semi")
+
+
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -201,24 +205,33 @@ def near_duplicates(
         .mapInPandas(_sets(words), "node long, hashes array<long>")
         .dropDuplicates(["node"])
     )
-    links = materialise(confirmed(stars, sets, percent))
-    found = materialise(connected_components(links))
-    # Members of a bucket outside the component of its first class, against all others of other components.
-    labels = found.select(F.col("node").alias("n"), "component")
-    placed = shared.join(labels, F.col("node") == F.col("n"), "left")
-    placed = placed.select("band", "first", "node", F.coalesce("component", "node").alias("component"))
-    firsts = found.select(F.col("node").alias("f"), F.col("component").alias("main"))
-    placed = placed.join(firsts, F.col("first") == F.col("f"), "left").where("node <> first")
-    placed = materialise(placed.select("band", "node", "component", F.coalesce("main", "first").alias("main")))
-    outside = placed.where("component <> main")
-    inside = placed.select("band", F.col("node").alias("other"), F.col("component").alias("its"), "main")
-    across = outside.drop("main").join(inside, "band").where(
+    links, before, turn = confirmed(stars, sets, percent), None, 0
+    while True:
+        found = materialise(connected_components(links))
+        tied = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+        placed = materialise(_placed(shared, found))
+        per_bucket = placed.groupBy("band").agg(
+            F.count(F.lit(1)).alias("n"), F.sum((F.col("component") != F.col("main")).cast("long")).alias("out")
+        )
+        rows, out, pairs = (int(x or 0) for x in per_bucket.agg(F.sum("n"), F.sum("out"), F.sum(F.col("n") * F.col("out"))).first())
+        if pairs <= rows or (before is not None and out > 0.9 * before):
+            break
+        before, turn = out, turn + 1
+        seen = [F.min_by("node", F.xxhash64("node", F.lit(turn * LEADERS + i))).alias(f"l{i}") for i in range(LEADERS)]
+        leaders = placed.where("component = main").groupBy("band").agg(*seen)
+        tried = placed.where("component <> main").join(leaders, "band").select(
+            "node", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l")
+        )
+        tried = tried.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
+        links = tied.unionByName(materialise(confirmed(likely(tried, classes, percent), sets, percent)))
+    inside = placed.select("band", F.col("node").alias("other"), F.col("component").alias("its"))
+    across = placed.where("component <> main").join(inside, "band").where(
         "component <> its AND (its = main OR node < other)"
     )
     rest = across.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     more = materialise(confirmed(likely(rest, classes, percent), sets, percent))
     if more.limit(1).count():
-        found = connected_components(links.unionByName(more))
+        found = connected_components(tied.unionByName(more))
     of_class = classes.select("digest", "node").join(
         found.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left"
     )
