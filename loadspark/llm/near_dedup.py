@@ -7,10 +7,10 @@
    share of equal low bits, corrected for chance collisions, estimates the similarity, and pairs clearly below the
    limit (by MARGIN, over five standard deviations) are left out.
 4. What remains is confirmed on the full sets, and confirmed links are joined into components.
-5. In buckets that still hold several components, the members outside the main one are paired with LEADERS of its members,
-   other ones each round, as long as that joins many of them. At last all pairs across components that share a bucket are
-   tested in the same way. Pairs inside a component cannot change it. So no link that the bands can see is lost, and a
-   group of copies is not listed pair by pair.
+5. Confirmed links make components, likely ones make groups of components. In a group of several components, members
+   outside the main one are compared with all others, sets against sets, in blocks of BLOCK rows that report links only.
+   Pairs that share a bucket but no group are tested one by one. So no link that the bands can see is lost, and a group
+   of copies is never listed pair by pair.
 
 At a similarity of exactly 0.8 two classes share no band with a chance of 4e-7 (32 bands of 4); hashes of 64 bits make two
 different shingles of one pair equal with a chance of about (words)^2 / 2^64.
@@ -39,8 +39,10 @@ HASHES = 128
 ROWS = 4
 BITS = 4
 MARGIN = 0.2
-#: Members of the main component that the others in a bucket are compared with in one round.
-LEADERS = 4
+#: Rows of a block, and columns of the matrix that compares two blocks.
+BLOCK = 512
+COLUMNS = 4096
+#: Bytes of a text read at once.
 PIECE = 1 << 22
 
 
@@ -164,16 +166,88 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * either).select("a", "b")
 
 
-def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets with their component and that of the bucket's first member, in buckets of several components."""
-    labels = found.select(F.col("node").alias("n"), "component")
-    placed = shared.join(labels, F.col("node") == F.col("n"), "left")
-    placed = placed.select("band", "first", "node", F.coalesce("component", "node").alias("component"))
-    firsts = found.select(F.col("node").alias("f"), F.col("component").alias("main"))
-    placed = placed.join(firsts, F.col("first") == F.col("f"), "left")
-    placed = placed.select("band", "node", "component", F.coalesce("main", "first").alias("main"))
-    open_bands = placed.where("component <> main").select("band").distinct()
-    return placed.join(open_bands, "band", "left_semi")
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as products of incidence matrices over the hashes both hold."""
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def places(flat: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(shared, flat)
+        held = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == flat)
+        order = np.argsort(at[held], kind="stable")
+        return at[held][order], owner[held][order]
+
+    if len(shared):
+        (at_a, of_a), (at_b, of_b) = places(flat_a, a), places(flat_b, b)
+        for first in range(0, len(shared), COLUMNS):
+            sides = []
+            for at, of, n in ((at_a, of_a, len(a)), (at_b, of_b, len(b))):
+                lo, hi = np.searchsorted(at, (first, first + COLUMNS))
+                m = np.zeros((n, COLUMNS), np.float32)
+                m[of[lo:hi], at[lo:hi] - first] = 1
+                sides.append(m)
+            out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Confirmed links between the two sides of each group, one to each component a member reaches."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, group in pdf.groupby("g", sort=False):
+            left, right = group[group["outside"]], group[~group["outside"]]
+            if not len(left) or not len(right):
+                continue
+            sets_l, sets_r = list(left["hashes"]), list(right["hashes"])
+            common = _common(sets_l, sets_r)
+            sizes_l, sizes_r = np.array([len(x) for x in sets_l]), np.array([len(x) for x in sets_r])
+            near = 100 * common >= percent * (sizes_l[:, None] + sizes_r - common)
+            near &= left["c"].to_numpy()[:, None] != right["c"].to_numpy()
+            i, j = np.nonzero(near)
+            pairs = pd.DataFrame(
+                {"a": left["node"].to_numpy()[i], "b": right["node"].to_numpy()[j], "c": right["c"].to_numpy()[j]}
+            )
+            found.append(pairs.drop_duplicates(["a", "c"])[["a", "b"]])
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    return run
+
+
+def links_in_groups(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across the components `c` of each group `g`; pairs of two members are known already."""
+    parts = labelled.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
+    groups = parts.groupBy("g").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "c")).alias("m")
+    )
+    groups = groups.where("parts > 1 AND members > 2").select(
+        F.col("g").alias("of"),
+        F.col("m.c").alias("main"),
+        F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("members") - F.col("m.n")) / BLOCK).cast("int").alias("out_blocks"),
+    )
+    rows = materialise(labelled.join(groups, F.col("g") == F.col("of")).drop("of"))
+
+    def side(part: DataFrame, mine: str, theirs: str, outside: bool) -> DataFrame:
+        own = F.pmod(F.xxhash64("node"), F.col(mine)).cast("int")
+        cut = part.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias("other"))
+        # Groups of one block share a task by hash; larger ones have one for each pair of blocks.
+        small = (F.col("blocks") == 1) & (F.col("out_blocks") == 1)
+        return cut.select(
+            F.when(small, F.pmod(F.xxhash64("g"), F.lit(256))).otherwise(F.col("g")).alias("pack"),
+            small.alias("small"),
+            F.col("own" if outside else "other").alias("x"),
+            F.col("other" if outside else "own").alias("y"),
+            "g", "c", "node", F.lit(outside).alias("outside"),
+        )
+
+    both = side(rows.where("c <> main"), "out_blocks", "blocks", True).unionByName(
+        side(rows, "blocks", "out_blocks", False)
+    )
+    both = both.join(sets.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).drop("n")
+    return both.groupBy("pack", "small", "x", "y").applyInPandas(_block_links(percent), "a long, b long")
 
 
 def near_duplicates(
@@ -205,32 +279,38 @@ def near_duplicates(
         .mapInPandas(_sets(words), "node long, hashes array<long>")
         .dropDuplicates(["node"])
     )
-    links, before, turn = confirmed(stars, sets, percent), None, 0
-    while True:
-        found = materialise(connected_components(links))
-        tied = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
-        placed = materialise(_placed(shared, found))
-        per_bucket = placed.groupBy("band").agg(
-            F.count(F.lit(1)).alias("n"), F.sum((F.col("component") != F.col("main")).cast("long")).alias("out")
-        )
-        rows, out, pairs = (int(x or 0) for x in per_bucket.agg(F.sum("n"), F.sum("out"), F.sum(F.col("n") * F.col("out"))).first())
-        if pairs <= rows or (before is not None and out > 0.9 * before):
-            break
-        before, turn = out, turn + 1
-        seen = [F.min_by("node", F.xxhash64("node", F.lit(turn * LEADERS + i))).alias(f"l{i}") for i in range(LEADERS)]
-        leaders = placed.where("component = main").groupBy("band").agg(*seen)
-        tried = placed.where("component <> main").join(leaders, "band").select(
-            "node", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l")
-        )
-        tried = tried.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
-        links = tied.unionByName(materialise(confirmed(likely(tried, classes, percent), sets, percent)))
-    inside = placed.select("band", F.col("node").alias("other"), F.col("component").alias("its"))
-    across = placed.where("component <> main").join(inside, "band").where(
-        "component <> its AND (its = main OR node < other)"
+    links = materialise(confirmed(stars, sets, percent))
+    found = materialise(connected_components(links))
+    groups = connected_components(stars).select(F.col("node").alias("gn"), F.col("component").alias("group"))
+    labelled = materialise(
+        wanted.select("node")
+        .join(found.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left")
+        .join(groups, F.col("node") == F.col("gn"), "left")
+        .select("node", F.coalesce("group", "node").alias("g"), F.coalesce("component", "node").alias("c"))
     )
-    rest = across.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    more = materialise(confirmed(likely(rest, classes, percent), sets, percent))
+    inside = links_in_groups(labelled, sets, percent)
+    # Members of a bucket outside the group of its first class, against all others of other groups.
+    of_first = labelled.select(F.col("node").alias("first"), F.col("g").alias("main"))
+    placed = shared.join(labelled.drop("c"), "node").join(of_first, "first").select("band", "node", "g", "main")
+    open_bands = placed.where("g <> main").select("band").distinct()
+    placed = placed.join(open_bands, "band", "left_semi").join(classes.select("node", "bits"), "node")
+    placed = materialise(placed)
+    away = placed.where("g <> main").drop("main")
+    others = placed.select(
+        "band", F.col("node").alias("other"), F.col("g").alias("its"), "main", F.col("bits").alias("its_bits")
+    )
+    # The estimate is part of the join, so that ruled-out pairs are never rows.
+    across = (away["band"] == others["band"]) & (F.col("g") != F.col("its"))
+    across = across & ((F.col("its") == F.col("main")) | (F.col("node") < F.col("other")))
+    across = across & (estimated_similarity("bits", "its_bits") >= percent / 100 - MARGIN)
+    rest = (
+        away.join(others, across)
+        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        .distinct()
+    )
+    more = materialise(inside.unionByName(confirmed(rest, sets, percent)))
     if more.limit(1).count():
+        tied = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
         found = connected_components(tied.unionByName(more))
     of_class = classes.select("digest", "node").join(
         found.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left"
