@@ -13,6 +13,7 @@ with a chance of about (words of the text)^2 / 2^65.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -58,55 +59,81 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_stop_words", "n_loud_lines")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def repeated_words(w: Column) -> Column:
+    """Words inside windows of three that occur twice or more in an array of words."""
+    windows = F.transform(
+        F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))),
+        lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)),
+    )
+
+    def places(h: Column) -> Column:
+        """Starts of repeated windows, found as equal neighbours in hash order."""
+        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return let(
+            pairs,
+            lambda p: F.sort_array(
+                F.transform(
+                    F.filter(p, lambda x, j: (x["h"] == F.get(p, j - 1)["h"]) | (x["h"] == F.get(p, j + 1)["h"])),
+                    lambda x: x["i"],
+                )
+            ),
+        )
+
+    def covered(at: Column) -> Column:
+        steps = F.transform(at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3))))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
+
+    none = F.lit(0).cast("long")
+    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(places(h), covered)).otherwise(none))
+
+
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts in COUNTS and EXTRA (bigint) for each text."""
+    """Add the counts in COUNTS and EXTRA (bigint) for each text.
+
+    The counts come out of a generator of one row, below which no later filter on them can be moved, so they are computed
+    once per text.
+    """
     keep = [c for c in df.columns if c not in COUNTS + EXTRA]
-    kept = [F.col(f"`{c}`") for c in keep]
-    first = df.select(
-        *kept,
-        words(text).alias("__words"),
-        F.filter(F.split(clean_text(text), "\n", -1), lambda x: x.rlike(WORD)).alias("__lines"),
-        F.length(F.regexp_replace(clean_text(text), SPACE, "")).alias("__chars"),
-        F.regexp_count(clean_text(text), F.lit("[#*$%&|<>]")).alias("__symbols"),
+    t = clean_text(text)
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
+    of_words = let(
+        words(text),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            repeated_words(w).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        ),
     )
-    w, at = F.col("__words"), F.col("__at")
-    hashed = first.select(
-        "*",
-        F.transform(
-            F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))),
-            lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)),
-        ).alias("__windows"),
+    of_lines = let(
+        lines,
+        lambda x: F.struct(
+            F.size(x).cast("long").alias("n_lines"),
+            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            F.size(F.filter(x, lambda y: y.rlike(LOUD_LINE))).cast("long").alias("n_loud_lines"),
+        ),
     )
-    h, p = F.col("__windows"), F.col("__pairs")
-    sorted_pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    paired = hashed.select(
-        "*",
-        F.when(F.size(F.array_distinct(h)) < F.size(h), sorted_pairs)
-        .otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-        .alias("__pairs"),
+    all_counts = F.struct(
+        of_words.alias("words"),
+        of_lines.alias("lines"),
+        F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
+        F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
-    again = paired.select(
-        "*",
-        F.sort_array(
-            F.transform(
-                F.filter(p, lambda x, j: (x.h == F.get(p, j - 1).h) | (x.h == F.get(p, j + 1).h)), lambda x: x.i
-            )
-        ).alias("__at"),
-    )
-    return again.select(
-        *kept,
-        F.size(w).cast("long").alias("n_words"),
-        F.col("__chars").cast("long").alias("word_chars"),
-        F.col("__symbols").cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.aggregate(
-            F.transform(at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3)))),
-            F.lit(0).cast("long"),
-            lambda total, x: total + x,
-        ).alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.size(F.filter("__lines", lambda x: x.rlike(LOUD_LINE))).cast("long").alias("n_loud_lines"),
+    out = df.select(*(F.col(f"`{c}`") for c in keep), F.inline(F.array(all_counts)).alias("__w", "__l", "__c", "__s"))
+    return out.select(
+        *(F.col(f"`{c}`") for c in keep),
+        F.col("__w.n_words").alias("n_words"),
+        F.col("__c").alias("word_chars"),
+        F.col("__s").alias("n_symbols"),
+        F.col("__l.n_dup_lines").alias("n_dup_lines"),
+        F.col("__w.n_repeat_words").alias("n_repeat_words"),
+        F.col("__l.n_lines").alias("n_lines"),
+        F.col("__w.n_stop_words").alias("n_stop_words"),
+        F.col("__l.n_loud_lines").alias("n_loud_lines"),
     )
 
 
