@@ -194,7 +194,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, size: int = TUPLE) ->
     samples = docs.mapInArrow(
         _samples(length, size), f"key {kind}, digest binary, name long, run long, first int, last int"
     )
-    names = samples.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    # Stored, so that both sides of the join are dealt for it alone and a name with very many places can be split.
+    names = materialise(samples.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"))
     again = materialise(samples.join(names, "name"))
     one = F.struct("digest", "key", "first", "last")
     runs = materialise(again.groupBy("name", "run").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("one")))
