@@ -174,7 +174,7 @@ def scan(df: DataFrame, model: list[float], text: str = "text", keep: list[str]
 def redact(df: DataFrame, model: list[float], text: str = "text", mask: str = MASK) -> DataFrame:
     """The same rows and columns with every run of covered characters replaced by the mask."""
     out = scan(df, model, text)
-    cuts = F.filter("spans", lambda s: (s["start"] > s["free"]) | (s["start"] == 0))
+    cuts = F.filter("spans", lambda s, i: (s["start"] > s["free"]) | ((s["start"] == 0) & (i == 0)))
     head = F.transform(cuts, lambda s: F.substr(F.col(text), (s["free"] + 1).cast("int"), (s["start"] - s["free"]).cast("int")))
     tail = F.substr(F.col(text), F.array_max(F.transform("spans", lambda s: s["end"])).cast("int") + 1)
     clean = F.when(F.size("spans") == 0, F.col(text)).otherwise(
