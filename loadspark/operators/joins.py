@@ -64,7 +64,7 @@ def merge_in_local_time(
 
 
 def membership(df: DataFrame, col: str, values: DataFrame, out: str) -> DataFrame:
-    """Flag rows whose `col` occurs in the one-column table `values`."""
+    """Flag rows whose `col` occurs in the one-column table `values`; a null occurs in no table, so its flag is false."""
     hits = values.select(F.col(values.columns[0]).alias(col)).distinct().withColumn("_hit", F.lit(True))
     return df.join(hits, col, "left").withColumn(out, F.col("_hit").isNotNull()).drop("_hit")
 

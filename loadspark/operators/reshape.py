@@ -157,13 +157,13 @@ def to_wide(
     names: Mapping[str, str] | Sequence[str],
     on_duplicate: str = "error",
 ) -> DataFrame:
-    """One column per name. Two values for one cell fail the query, unless `on_duplicate` names an aggregate.
+    """One column per name. Two rows for one cell, nulls too, fail the query, unless `on_duplicate` names an aggregate.
 
     `names` is the list of names to expect (so no pass looks them up), or a map from name to column name.
     """
     if on_duplicate == "error":
         message = F.concat(F.lit("more than one value for "), F.any_value(F.col(name_col)))
-        cell = F.when(F.count(value_col) > 1, F.raise_error(message).cast("double")).otherwise(F.max(value_col))
+        cell = F.when(F.count(F.lit(1)) > 1, F.raise_error(message).cast("double")).otherwise(F.max(value_col))
     else:
         cell = getattr(F, on_duplicate)(value_col)
     wide = df.groupBy(*by).pivot(name_col, list(names)).agg(cell)
@@ -171,5 +171,9 @@ def to_wide(
 
 
 def top_k(df: DataFrame, col: str, k: int) -> DataFrame:
-    """The `k` rows with the largest `col` (a TakeOrderedAndProject)."""
-    return df.orderBy(F.desc(col)).limit(k)
+    """The `k` rows with the largest `col` (a TakeOrderedAndProject); equal rows by their other columns, NaN as null."""
+    top = F.col(col)
+    if df.schema[col].dataType.typeName() in ("double", "float"):
+        top = F.when(~F.isnan(top), top)
+    ties = [f.name for f in df.schema.fields if f.name != col and f.dataType.typeName() != "map"]
+    return df.orderBy(top.desc_nulls_last(), *ties).limit(k)

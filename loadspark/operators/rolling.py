@@ -43,9 +43,16 @@ def _with_halo(indexed: DataFrame, spec: SeriesSpec, reach: int) -> DataFrame:
     )
 
 
+def _finite(col: str) -> Column:
+    """The value where it is a finite number, else null: NaN and infinities count as missing for any window length."""
+    v = F.col(col).cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+
 def _frame(r: Roll, frame, min_samples: int) -> Column:
     fn = {"mean": F.avg, "std": F.stddev_samp}[r.fn]
-    return F.when(F.count(r.col).over(frame) >= min_samples, fn(r.col).over(frame))
+    v = _finite(r.col)
+    return F.when(F.count(v).over(frame) >= min_samples, fn(v).over(frame))
 
 
 def _roll_block(rolls: Sequence[Roll], n: int, min_samples: int, shift: int, keep: list[str]):
@@ -72,15 +79,17 @@ def rolling_many(
 ) -> DataFrame:
     """Rolling statistics over the last `n` rows of each series, the window ending `shift` rows back.
 
-    A result needs `min_samples` known values (default: the whole window). Short means and deviations are window
+    A result needs `min_samples` known values (default: the whole window); nulls, NaN and infinities are not known, and
+    rows without an instant take no part and get null. Short means and deviations are window
     frames in the JVM; quantiles and long windows are pandas rolling per block, all columns in one exchange.
     """
     rolls = list(rolls)
     need = n if min_samples is None else min_samples
     in_jvm = n <= FRAME_ROWS and all(r.fn in ("mean", "std") for r in rolls)
     if in_jvm and spec.bucket_rows is None:
-        frame = W.partitionBy(*spec.keys).orderBy(*spec.order).rowsBetween(-(n - 1) - shift, -shift)
-        return df.withColumns({r.out: _frame(r, frame, need) for r in rolls})
+        timed = F.col(spec.ts).isNotNull()
+        frame = W.partitionBy(*spec.keys, timed).orderBy(*spec.order).rowsBetween(-(n - 1) - shift, -shift)
+        return df.withColumns({r.out: F.when(timed, _frame(r, frame, need)) for r in rolls})
 
     reach = n - 1 + shift
     if in_jvm:
@@ -105,7 +114,7 @@ def roll_indexed(
     """Pandas rolling on rows that are already numbered (`_idx`)."""
     keep = [*spec.keys, IDX]
     sources = dict.fromkeys(r.col for r in rolls)
-    values = indexed.where(F.col(IDX).isNotNull()).select(*keep, *(F.col(c).cast("double") for c in sources))
+    values = indexed.where(F.col(IDX).isNotNull()).select(*keep, *(_finite(c).alias(c) for c in sources))
     outs = (T.StructField(r.out, T.DoubleType()) for r in rolls)
     by = [*spec.keys, BLOCK]
     rolled = (
@@ -148,7 +157,9 @@ def add_lag(
         return df.join(past, [*spec.keys, spec.ts], "left")
     rows = int(n / spec.step) if isinstance(n, timedelta) else n
     if spec.bucket_rows is None:
-        return df.withColumn(name, F.lag(col, rows).over(W.partitionBy(*spec.keys).orderBy(*spec.order)))
+        timed = F.col(spec.ts).isNotNull()
+        before = F.lag(col, rows).over(W.partitionBy(*spec.keys, timed).orderBy(*spec.order))
+        return df.withColumn(name, F.when(timed, before))
     blocks = _with_halo(with_row_index(df, spec, IDX), spec, rows)
     before = F.lag(col, rows).over(W.partitionBy(*spec.keys, BLOCK).orderBy(IDX))
     own = F.col(OWNER).eqNullSafe(F.col(BLOCK))

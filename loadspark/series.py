@@ -137,12 +137,15 @@ def attach_per_key(
     """Left join one row per key onto the rows of that key, each key spread over `spread` join groups.
 
     For groups without an inner order to cut them by. The small side is repeated `spread` times, so no task receives
-    all the rows of a hot key; beyond that adaptive execution splits skewed join partitions.
+    all the rows of a hot key; beyond that adaptive execution splits skewed join partitions. Null keys match.
     """
     slots = F.sequence(F.lit(0), F.lit(spread - 1))
-    right = per_key.withColumn("_slot", F.explode(slots))
+    right = per_key.withColumnsRenamed({k: f"_key_{k}" for k in keys}).withColumn("_at", F.explode(slots))
     slot = F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("int")
-    return df.withColumn("_slot", slot).join(right, [*keys, "_slot"], "left").drop("_slot")
+    on = F.col("_slot") == F.col("_at")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return df.withColumn("_slot", slot).join(right, on, "left").drop("_slot", "_at", *(f"_key_{k}" for k in keys))
 
 
 def attach_per_bucket(df: DataFrame, per_key: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
@@ -199,6 +202,8 @@ def resample(
     if not complete:
         return out
     step = int(spec.step.total_seconds())
+    if step < 1 or 86400 % step:
+        raise ValueError("a complete grid needs a step of whole seconds that divides a day")
     second = F.hour(spec.ts) * 3600 + F.minute(spec.ts) * 60 + F.second(spec.ts)
     present = out.groupBy(*spec.keys, F.to_date(spec.ts).alias("_day")).agg(
         F.collect_list(F.struct((second / step).cast("int").alias("i"), *aggs)).alias("_steps")

@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from loadspark.operators.fills import backward_fill, fill_both, forward_fill
+from loadspark.operators.quantiles import group_quantile
 from loadspark.operators.reshape import every_nth
 from loadspark.operators.rolling import (
     Roll,
@@ -191,3 +192,37 @@ def test_hot_key_is_cut_into_small_groups(spark):
     size = max(4 * reach, KEYED.bucket_rows)
     assert blocks.groupBy("k", "_block").count().agg(F.max("count")).head()[0] <= size + reach
     assert blocks.where("_owner = _block").count() == both.count()
+
+
+def test_rolling_treats_nan_and_infinity_as_missing_at_any_length(spark):
+    values = [float(i % 7) for i in range(400)]
+    values[3], values[4], values[5] = float("nan"), None, float("inf")
+    df = rows(spark, [(f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00", v) for i, v in enumerate(values)], "ts string, x double", "ts")
+    spec = SeriesSpec(ts="ts", step=timedelta(minutes=1))
+    for n in (24, 256, 257, 300):
+        got = rolling(df, spec, "x", n, min_samples=1, out="m").orderBy("ts").collect()
+        for i in (2, 5, 23, 255, 256, 299, 399):
+            known = [v for v in values[max(0, i - n + 1) : i + 1] if v is not None and v == v and v != float("inf")]
+            assert abs(got[i]["m"] - sum(known) / len(known)) < 1e-9, (n, i)
+
+
+def test_rows_without_an_instant_stay_out_of_unbucketed_frames(spark):
+    df = rows(spark, [(None, 100.0), ("2024-01-01 00:00:00", 1.0), ("2024-01-01 00:15:00", 3.0)], "ts string, x double", "ts")
+    spec = SeriesSpec(ts="ts", bucket_rows=None)
+    out = add_lag(rolling(df, spec, "x", 2, min_samples=1, out="m"), spec, "x", 1, mode="rows", out="l")
+    assert {(r["x"], r["m"], r["l"]) for r in out.collect()} == {(100.0, None, None), (1.0, 1.0, None), (3.0, 2.0, 1.0)}
+
+
+def test_a_null_group_keeps_its_quantile(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
+    assert {(r["g"], r["quantile"]) for r in group_quantile(df, ["g"], "x").collect()} == {(None, 2.0), ("a", 5.0)}
+
+
+def test_a_grid_step_must_divide_a_day(spark):
+
+
+
+    df = rows(spark, [("2024-01-01 00:00:00", 1.0)], "ts string, x double", "ts")
+    for step in (timedelta(hours=7), timedelta(days=2)):
+        with pytest.raises(ValueError, match="divides a day"):
+            resample(df, SeriesSpec(ts="ts", step=step), {"x": F.sum("x")})
