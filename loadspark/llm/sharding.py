@@ -2,7 +2,9 @@
 
 Rows of each source are shuffled by a seeded hash and ranked; a row of rank r among n gets the fraction (r + u) / n, where
 u in [0, 1) is fixed for the source. Sorted by that fraction all sources run evenly side by side, so cutting the order
-into equal runs gives every shard the mixture of the whole: of each source it holds n / shards rows, to within one or two.
+into equal runs gives every shard the mixture of the whole: of each source it holds n / shards rows, to within one or two while
+sources are few. Sources of a few rows lie at random places, so very many of them move the cuts by about the square root of
+their rows in a shard.
 
 Law `rows`: shard sizes differ by at most one row. Neither rank nor order is taken in one task: rows are sorted inside
 buckets of the hash (of the fraction) and shifted by the counts of the buckets before.
