@@ -101,6 +101,11 @@ def anchors(weights: dict[str, float]) -> list[str]:
     return sorted(need)
 
 
+def anchor_pattern(weights: dict[str, float]) -> str:
+    """Finds an anchor that stands alone, as every term does."""
+    return f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, anchors(weights)))})(?![a-z0-9])"
+
+
 def _notice_weights(spark: SparkSession, weights: dict[str, float]) -> DataFrame:
     """notice, license, term, weight (unit length), idf: one row per term of a notice."""
     rows = []
@@ -131,7 +136,7 @@ def own_licences(marked: DataFrame, weights: dict[str, float], text: str = "text
     spark = marked.sparkSession
     known = F.array(*(F.lit(t) for t in TERMS))
     hit = marked.where("__hit").dropDuplicates(["__digest"])
-    anchor = "|".join(map(re.escape, anchors(weights)))
+    anchor = anchor_pattern(weights)
     segments = hit.select("__digest", F.posexplode(_segments(F.col(text), anchor)).alias("segment", "part"), F.length(text).alias("length"))
     # The whole text comes last; it alone decides about licence files.
     counted = segments.select(
@@ -174,7 +179,7 @@ def scan_licences(df: DataFrame, path: str, text: str = "text", keep: list[str]
     """Kept columns, own_license, cosine, inherited_license (only without one's own), license."""
     kept = [c for c in (df.columns if keep is None else keep)]
     weights = term_weights(df, text)
-    anchor = "|".join(map(re.escape, anchors(weights)))
+    anchor = anchor_pattern(weights)
     t = clean_text(text)
     marked = df.select(
         *(F.col(f"`{c}`").alias(f"k_{c}") for c in kept),
