@@ -1,13 +1,15 @@
 """Licence scans: TF-IDF cosine to licence statements, then inheritance from the nearest directory with a licence file.
 
-The terms of the statements in TEMPLATES are the features. Their document frequencies are counted over all documents; the
-weights of a statement are its term counts times log((1 + N) / (1 + df)) + 1. A text is read line by line. Lines, and runs of
-HEADER_LINES lines for statements that are wrapped, become term counts, and a join with the statements' weights sums their
-cosines. A line without any anchor is left out exactly: the anchors of a statement are its heaviest terms, enough of them
-that all other terms together cannot reach MIN_COSINE. Only terms of such lines leave their row.
+The document frequencies of all terms are counted once over all documents; a term weighs its count times
+log((1 + N) / (1 + df)) + 1. A text is read line by line. Lines, and runs of HEADER_LINES lines for statements of TEMPLATES
+that are wrapped, become term counts, and a join with the statements' weights sums their cosines. A line without any anchor
+is left out exactly: the anchors of a statement are its heaviest terms, enough of them that all other terms together cannot
+reach MIN_COSINE. Only terms of such lines leave their row.
 
-A file whose words nearly all belong to a licence statement is a licence file. A document without a licence of its own takes
-the one of the nearest directory at or above its own that holds a licence file, found by joining directories, not rows.
+A text whose cosine to a whole licence text (BODIES) reaches MIN_COSINE is a licence file of that licence; so is one whose
+words nearly all belong to a statement. Texts with too few rare terms of every licence text are left out, again exactly. A
+document without a licence of its own takes the one of the nearest directory at or above its own that holds a licence file,
+found by joining directories, not rows.
 
 Equal texts share their cosines. Defined results: null and empty texts have no licence; a null path inherits nothing; on
 equal cosines the first licence name wins, also between licence files of one directory; repeated rows stay.
@@ -18,6 +20,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from importlib.resources import files
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -53,10 +58,13 @@ TEMPLATES = (
 )
 MIN_COSINE = 0.8
 HEADER_LINES = 4
-#: A licence file: this share of its words are terms of the licence it is closest to.
+#: A statement alone is a licence file: this share of its words are terms of the statement it is closest to.
 FILE_SHARE = 0.9
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 DIGITS = 6
+#: Words by which titles of one family differ, looked for in the first terms: a licence file has those of its licence text.
+TITLE = "affero|lesser|library|noncommercial|sharealike|noderiv"
+TITLE_TERMS = 40
 
 
 def terms_of(text: str) -> list[str]:
@@ -73,17 +81,34 @@ NOTICES = _notices()
 TERMS = sorted({t for _, terms in NOTICES for t in terms})
 
 
+def _bodies() -> list[tuple[str, list[str]]]:
+    """Whole licence texts, without their copyright lines, as terms."""
+    texts = sorted((f for f in files("loadspark.llm").joinpath("licences").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return [(f.name.removesuffix(".txt"), terms_of(f.read_text("utf-8"))) for f in texts]
+
+
+BODIES = _bodies()
+BODY_TERMS = sorted({t for _, terms in BODIES for t in terms})
+
+
 def text_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def term_weights(df: DataFrame, text: str = "text") -> dict[str, float]:
-    """Inverse document frequency of the notices' terms over all rows; as many numbers as there are terms."""
-    known = F.array(*(F.lit(t) for t in TERMS))
-    found = df.select(F.explode(F.array_intersect(text_terms(clean_text(text)), known)).alias("term"))
-    counts = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}
-    rows = df.count()
-    return {t: round(math.log((1 + rows) / (1 + counts.get(t, 0))) + 1, DIGITS) for t in TERMS}
+def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
+    """term, df: in how many rows a term occurs."""
+    found = df.select(F.explode(F.array_distinct(text_terms(clean_text(text)))).alias("term"))
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def term_weights(
+    df: DataFrame, text: str = "text", terms: list[str] = TERMS, counted: DataFrame | None = None, rows: int | None = None
+) -> dict[str, float]:
+    """Inverse document frequency of the given terms over all rows; as many numbers as there are terms."""
+    counted = vocabulary(df, text) if counted is None else counted
+    counts = {r["term"]: r["df"] for r in counted.where(F.col("term").isin(terms)).collect()}
+    rows = df.count() if rows is None else rows
+    return {t: round(math.log((1 + rows) / (1 + counts.get(t, 0))) + 1, DIGITS) for t in terms}
 
 
 def anchors(weights: dict[str, float]) -> list[str]:
@@ -106,14 +131,67 @@ def anchor_pattern(weights: dict[str, float]) -> str:
     return f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, anchors(weights)))})(?![a-z0-9])"
 
 
-def _notice_weights(spark: SparkSession, weights: dict[str, float]) -> DataFrame:
-    """notice, license, term, weight (unit length), idf: one row per term of a notice."""
+def rare_terms(weights: dict[str, float]) -> list[tuple[list[str], int]]:
+    """Rare terms of each licence text, and how many of them a text needs at least to reach MIN_COSINE with it."""
+    out = []
+    for _, terms in BODIES:
+        parts = sorted(((weights[t], (c * weights[t]) ** 2, t) for t, c in Counter(terms).items()), reverse=True)
+        rest = sum(p for _, p, _ in parts)
+        bound = MIN_COSINE**2 * rest * (1 - 1e-6)
+        rare: list[tuple[float, str]] = []
+        for _, part, t in parts:
+            if rest < bound / 2:
+                break
+            rare.append((part, t))
+            rest -= part
+        need = 0
+        for part, _ in sorted(rare, reverse=True):
+            if rest >= bound:
+                break
+            rest += part
+            need += 1
+        out.append((sorted(t for _, t in rare), need))
+    return out
+
+
+def _weight_rows(notices: list[tuple[str, list[str]]], weights: dict[str, float]) -> list[tuple]:
+    """notice, license, term, weight (unit length): one row per term of a notice."""
     rows = []
-    for k, (name, terms) in enumerate(NOTICES):
+    for k, (name, terms) in enumerate(notices):
         raw = {t: c * weights[t] for t, c in Counter(terms).items()}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         rows += [(k, name, t, v / norm) for t, v in sorted(raw.items())]
-    return spark.createDataFrame(rows, "notice int, license string, term string, weight double")
+    return rows
+
+
+def _cosines(
+    parts: DataFrame, notices: list[tuple[str, list[str]]], weights: dict[str, float], counted: DataFrame, rows: int
+) -> DataFrame:
+    """key, license, cosine, shared (words that are terms of the notice) from MIN_COSINE on; `parts` has key, terms.
+
+    The norm over the notices' terms alone is never above the whole one. Only parts that pass with it need the document
+    frequencies of their other terms. `parts` is read twice.
+    """
+    spark = parts.sparkSession
+    known = sorted({t for _, terms in notices for t in terms})
+    idf = F.broadcast(spark.createDataFrame([(t, weights[t]) for t in known], "term string, idf double"))
+    unit = F.broadcast(spark.createDataFrame(_weight_rows(notices, weights), "notice int, license string, term string, weight double"))
+    square = F.sum(F.col("value") * F.col("value"))
+    tf = parts.select("key", F.explode(F.filter("terms", lambda t: t.isin(known))).alias("term"))
+    tf = tf.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
+    tf = materialise(tf.join(idf, "term").select("*", (F.col("n") * F.col("idf")).alias("value")))
+    known_norms = tf.groupBy("key").agg(F.sqrt(square).alias("known_norm"))
+    dots = tf.join(unit, "term").groupBy("key", "notice", "license").agg(
+        F.sum(F.col("value") * F.col("weight")).alias("dot"), F.sum("n").alias("shared")
+    )
+    near = materialise(dots.join(known_norms, "key").where(F.col("dot") >= (MIN_COSINE - 10.0**-DIGITS) * F.col("known_norm")))
+    words = parts.join(near.select("key").distinct(), "key").select("key", F.explode("terms").alias("term"))
+    words = words.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.round(F.log((1.0 + rows) / (1 + F.col("df"))) + 1, DIGITS)
+    norms = words.join(counted, "term").select("key", (F.col("n") * weight).alias("value")).groupBy("key").agg(F.sqrt(square).alias("norm"))
+    return near.join(norms, "key").select(
+        "key", "license", F.round(F.col("dot") / F.col("norm"), DIGITS).alias("cosine"), "shared"
+    ).where(F.col("cosine") >= MIN_COSINE)
 
 
 def _segments(text: Column, anchor: str) -> Column:
@@ -132,7 +210,7 @@ def _segments(text: Column, anchor: str) -> Column:
 
 
 def own_licences(marked: DataFrame, weights: dict[str, float], text: str = "text") -> DataFrame:
-    """Best licence and cosine per text, and whether the text is a licence file; `marked` has text, __digest, __hit."""
+    """Best statement and cosine per text, and whether the text is nothing else; `marked` has text, __digest, __hit."""
     spark = marked.sparkSession
     known = F.array(*(F.lit(t) for t in TERMS))
     hit = marked.where("__hit").dropDuplicates(["__digest"])
@@ -150,7 +228,7 @@ def own_licences(marked: DataFrame, weights: dict[str, float], text: str = "text
         F.explode(F.filter("terms", lambda t: F.array_contains(known, t))).alias("term"),
     )
     idf = F.broadcast(spark.createDataFrame(sorted(weights.items()), "term string, idf double"))
-    notices = F.broadcast(_notice_weights(spark, weights))
+    notices = F.broadcast(spark.createDataFrame(_weight_rows(NOTICES, weights), "notice int, license string, term string, weight double"))
     tf = counted.groupBy("__digest", "segment", "whole", "words", "term").agg(F.count(F.lit(1)).alias("n"))
     tf = tf.join(idf, "term").select("*", (F.col("n") * F.col("idf")).alias("value"))
     norms = tf.groupBy("__digest", "segment").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
@@ -170,6 +248,26 @@ def own_licences(marked: DataFrame, weights: dict[str, float], text: str = "text
     )
 
 
+def _title(terms: Column) -> Column:
+    """The words of TITLE in the first terms of a text, one space between them."""
+    found = F.regexp_extract_all(F.array_join(F.slice(terms, 1, TITLE_TERMS), " "), F.lit(f"({TITLE})"), F.lit(1))
+    return F.array_join(F.array_sort(F.array_distinct(found)), " ")
+
+
+def file_licences(marked: DataFrame, weights: dict[str, float], counted: DataFrame, rows: int, text: str = "text") -> DataFrame:
+    """Closest whole licence text and cosine of every text that is one; `marked` has text, __digest, __body."""
+    parts = marked.where("__body").dropDuplicates(["__digest"]).select(F.col("__digest").alias("key"), text_terms(F.col(text)).alias("terms"))
+    parts = materialise(parts.withColumn("title", _title(F.col("terms"))))
+    titles = [(name, " ".join(sorted(set(re.findall(TITLE, " ".join(terms[:TITLE_TERMS])))))) for name, terms in BODIES]
+    titles = F.broadcast(marked.sparkSession.createDataFrame(titles, "license string, title string"))
+    near = _cosines(parts.select("key", "terms"), BODIES, weights, counted, rows)
+    near = near.join(parts.select("key", "title"), "key").join(titles, ["license", "title"])
+    first = F.min(F.struct((-F.col("cosine")).alias("c"), "license"))
+    return near.groupBy("key").agg(first.alias("b")).select(
+        F.col("key").alias("__digest"), F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("cosine"), F.lit(True).alias("file")
+    )
+
+
 def parent(path: Column) -> Column:
     """The directory of a path, '' at the top."""
     return F.regexp_replace(path, "/?[^/]*$", "")
@@ -178,20 +276,39 @@ def parent(path: Column) -> Column:
 def scan_licences(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Kept columns, own_license, cosine, inherited_license (only without one's own), license."""
     kept = [c for c in (df.columns if keep is None else keep)]
-    weights = term_weights(df, text)
-    anchor = anchor_pattern(weights)
+    counted, total = materialise(vocabulary(df, text)), df.count()
+    weights = term_weights(df, text, TERMS, counted, total)
+    body_weights = term_weights(df, text, BODY_TERMS, counted, total)
+    heavy, rare = anchors(weights), rare_terms(body_weights)
+    least = min(need for _, need in rare)
+    wanted = sorted({*heavy, *(t for terms, _ in rare for t in terms)})
     t = clean_text(text)
     marked = df.select(
         *(F.col(f"`{c}`").alias(f"k_{c}") for c in kept),
         parent(F.col(path)).alias("__dir"),
         t.alias(text),
-        F.lower(t).rlike(anchor).alias("__hit"),
-    ).withColumn("__digest", F.when(F.col("__hit"), F.md5(F.col(text).cast("binary"))))
-    own = materialise(own_licences(marked, weights, text))
-    rows = materialise(marked.drop(text))
+        F.filter(F.array_distinct(text_terms(t)), lambda x: x.isin(wanted)).alias("__found"),
+    )
+    body = reduce(or_, (F.size(F.array_intersect("__found", F.array(*map(F.lit, terms)))) >= need for terms, need in rare))
+    marked = marked.withColumns({
+        "__hit": F.exists("__found", lambda x: x.isin(heavy)),
+        "__body": F.when(F.size("__found") >= least, body).otherwise(False),
+    }).drop("__found")
+    # Only texts that are looked at closely are stored.
+    close = F.col("__hit") | F.col("__body")
+    marked = marked.withColumns({
+        "__digest": F.when(close, F.md5(F.col(text).cast("binary"))), text: F.when(close, F.col(text)),
+    })
+    marked = materialise(marked)
+    said = own_licences(marked, weights, text).withColumn("rank", F.lit(1))
+    whole = file_licences(marked, body_weights, counted, total, text).withColumn("rank", F.lit(0))
+    # What a licence file says about itself counts more than statements inside it.
+    best = F.min_by(F.struct("own_license", "cosine", "file"), "rank")
+    own = materialise(whole.unionByName(said).groupBy("__digest").agg(best.alias("b")).select("__digest", "b.*"))
+    rows = marked.drop(text)
     names = [f"k_{c}" for c in kept]
-    hits = rows.where("__hit").join(own, "__digest", "left").select(*names, "__dir", "own_license", "cosine", "file")
-    plain = rows.where("NOT __hit").select(
+    hits = rows.where("__digest IS NOT NULL").join(own, "__digest", "left").select(*names, "__dir", "own_license", "cosine", "file")
+    plain = rows.where("__digest IS NULL").select(
         *names, "__dir", F.lit(None).cast("string").alias("own_license"), F.lit(None).cast("double").alias("cosine"),
         F.lit(False).alias("file"),
     )

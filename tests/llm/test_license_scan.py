@@ -73,3 +73,33 @@ def test_odd_rows(odd, empty):
     out = L.scan_licences(df, "path", keep=["doc_id", "source"])
     assert out.count() == odd.count() and out.where("license IS NOT NULL").count() == 0
     assert L.scan_licences(empty.withColumn("path", F.lit("p")), "path").count() == 0
+
+
+def body(name):
+    """A whole licence text as it is found in a repository, with its title and a copyright line."""
+    text = L.files("loadspark.llm").joinpath("licences", f"{name}.txt").read_text("utf-8")
+    return f"{name} License\n\nCopyright (c) 2024 Jane Doe and contributors\n\n{text}"
+
+
+def test_whole_licence_texts_are_licence_files(frame, documents):
+    names = [name for name, _ in L.BODIES]
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"} <= set(names)
+    affero = body("GPL-3.0").replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE", 1)
+    rows = [(i, f"{n}/LICENSE", body(n)) for i, n in enumerate(names)] + [(100 + i, f"{n}/src/a.py", "code") for i, n in enumerate(names)]
+    rows += [(200, "one/LICENSE", " ".join(body("MIT").split())), (201, "one/a.py", "code"), (202, "agpl/LICENSE", affero), (203, "agpl/a.py", "code")]
+    prose = [(1000 + r["doc_id"], "prose/x", r["text"]) for r in documents.select("doc_id", "text").limit(100).collect()]
+    out = L.scan_licences(frame(rows + prose, "doc_id long, path string, text string"), "path", keep=["doc_id"]).collect()
+    got = {r["doc_id"]: (r["own_license"], r["inherited_license"]) for r in out}
+    for i, name in enumerate(names):
+        assert got[i] == (name, None) and got[100 + i] == (None, name), (name, got[i], got[100 + i])
+    assert got[200] == ("MIT", None) and got[201] == (None, "MIT")
+    assert got[203] == (None, None)
+
+
+def test_texts_with_few_rare_terms_cannot_reach_the_cosine():
+    weights = {t: 1 + (len(t) * 7 % 5) / 2 for t in L.BODY_TERMS}
+    for (_, terms), (rare, need) in zip(L.BODIES, L.rare_terms(weights)):
+        squares = {t: (c * weights[t]) ** 2 for t, c in Counter(terms).items()}
+        few = sorted((squares[t] for t in rare), reverse=True)[: need - 1]
+        others = sum(v for t, v in squares.items() if t not in rare)
+        assert need >= 1 and sum(few) + others < L.MIN_COSINE**2 * sum(squares.values())
