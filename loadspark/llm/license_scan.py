@@ -1,7 +1,7 @@
 """Licence scans: TF-IDF cosine to licence statements, then inheritance from the nearest directory with a licence file.
 
 The document frequencies of all terms are counted once over all documents; a term weighs its count times
-log((1 + N) / (1 + df)) + 1. A text is read line by line. Lines, and runs of HEADER_LINES lines for statements of TEMPLATES
+log((1 + N) / (1 + df)) + 1. Norms count every term of a part. A text is read line by line. Lines, and runs of HEADER_LINES lines for statements of TEMPLATES
 that are wrapped, become term counts, and a join with the statements' weights sums their cosines. A line without any anchor
 is left out exactly: the anchors of a statement are its heaviest terms, enough of them that all other terms together cannot
 reach MIN_COSINE. Only terms of such lines leave their row.
@@ -43,6 +43,15 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
                 "or any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation; either version 2 of the License, "
+                "or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -60,6 +69,8 @@ MIN_COSINE = 0.8
 HEADER_LINES = 4
 #: A statement alone is a licence file: this share of its words are terms of the statement it is closest to.
 FILE_SHARE = 0.9
+#: Terms that name a licence: a part is only close to a statement if it has all of these that the statement has.
+NAMES = frozenset("apache mit gnu lesser affero mozilla 2 3 2.0 by by-sa by-nc".split())
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 DIGITS = 6
 #: Words by which titles of one family differ, looked for in the first terms: a licence file has those of its licence text.
@@ -78,6 +89,8 @@ def _notices(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
 
 
 NOTICES = _notices()
+#: Terms of NAMES and identifiers in tags, by notice.
+NAMED = [{t for t in terms if t in NAMES or (t == name.lower() and len(terms) == 2)} for name, terms in NOTICES]
 TERMS = sorted({t for _, terms in NOTICES for t in terms})
 
 
@@ -154,36 +167,38 @@ def rare_terms(weights: dict[str, float]) -> list[tuple[list[str], int]]:
     return out
 
 
-def _weight_rows(notices: list[tuple[str, list[str]]], weights: dict[str, float]) -> list[tuple]:
-    """notice, license, term, weight (unit length): one row per term of a notice."""
+def _weight_rows(notices: list[tuple[str, list[str]]], weights: dict[str, float], named: list[set[str]]) -> list[tuple]:
+    """notice, license, term, weight (unit length), names (1 for a naming term), all_names: one row per term of a notice."""
     rows = []
     for k, (name, terms) in enumerate(notices):
         raw = {t: c * weights[t] for t, c in Counter(terms).items()}
         norm = math.sqrt(sum(v * v for v in raw.values()))
-        rows += [(k, name, t, v / norm) for t, v in sorted(raw.items())]
+        rows += [(k, name, t, v / norm, int(t in named[k]), len(named[k])) for t, v in sorted(raw.items())]
     return rows
 
 
 def _cosines(
-    parts: DataFrame, notices: list[tuple[str, list[str]]], weights: dict[str, float], counted: DataFrame, rows: int
+    parts: DataFrame, notices: list[tuple[str, list[str]]], weights: dict[str, float], counted: DataFrame, rows: int,
+    named: list[set[str]] | None = None,
 ) -> DataFrame:
     """key, license, cosine, shared (words that are terms of the notice) from MIN_COSINE on; `parts` has key, terms.
 
     The norm over the notices' terms alone is never above the whole one. Only parts that pass with it need the document
-    frequencies of their other terms. `parts` is read twice.
+    frequencies of their other terms. `parts` is read twice. `named` has terms that a part must share, by notice.
     """
     spark = parts.sparkSession
     known = sorted({t for _, terms in notices for t in terms})
     idf = F.broadcast(spark.createDataFrame([(t, weights[t]) for t in known], "term string, idf double"))
-    unit = F.broadcast(spark.createDataFrame(_weight_rows(notices, weights), "notice int, license string, term string, weight double"))
+    unit = _weight_rows(notices, weights, named or [set()] * len(notices))
+    unit = F.broadcast(spark.createDataFrame(unit, "notice int, license string, term string, weight double, names int, all_names int"))
     square = F.sum(F.col("value") * F.col("value"))
     tf = parts.select("key", F.explode(F.filter("terms", lambda t: t.isin(known))).alias("term"))
     tf = tf.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
     tf = materialise(tf.join(idf, "term").select("*", (F.col("n") * F.col("idf")).alias("value")))
     known_norms = tf.groupBy("key").agg(F.sqrt(square).alias("known_norm"))
-    dots = tf.join(unit, "term").groupBy("key", "notice", "license").agg(
-        F.sum(F.col("value") * F.col("weight")).alias("dot"), F.sum("n").alias("shared")
-    )
+    dots = tf.join(unit, "term").groupBy("key", "notice", "license", "all_names").agg(
+        F.sum(F.col("value") * F.col("weight")).alias("dot"), F.sum("n").alias("shared"), F.sum("names").alias("names")
+    ).where(F.col("names") == F.col("all_names"))
     near = materialise(dots.join(known_norms, "key").where(F.col("dot") >= (MIN_COSINE - 10.0**-DIGITS) * F.col("known_norm")))
     words = parts.join(near.select("key").distinct(), "key").select("key", F.explode("terms").alias("term"))
     words = words.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
@@ -209,38 +224,17 @@ def _segments(text: Column, anchor: str) -> Column:
     return F.concat(F.flatten(F.transform(hit, lambda r: F.array(r["line"], r["run"]))), F.array(text))
 
 
-def own_licences(marked: DataFrame, weights: dict[str, float], text: str = "text") -> DataFrame:
+def own_licences(marked: DataFrame, weights: dict[str, float], counted: DataFrame, rows: int, text: str = "text") -> DataFrame:
     """Best statement and cosine per text, and whether the text is nothing else; `marked` has text, __digest, __hit."""
-    spark = marked.sparkSession
-    known = F.array(*(F.lit(t) for t in TERMS))
     hit = marked.where("__hit").dropDuplicates(["__digest"])
-    anchor = anchor_pattern(weights)
-    segments = hit.select("__digest", F.posexplode(_segments(F.col(text), anchor)).alias("segment", "part"), F.length(text).alias("length"))
-    # The whole text comes last; it alone decides about licence files.
-    counted = segments.select(
-        "__digest",
-        "segment",
-        text_terms(F.col("part")).alias("terms"),
-        (F.length("part") == F.col("length")).alias("whole"),
-    )
-    counted = counted.select(
-        "__digest", "segment", "whole", F.size("terms").alias("words"),
-        F.explode(F.filter("terms", lambda t: F.array_contains(known, t))).alias("term"),
-    )
-    idf = F.broadcast(spark.createDataFrame(sorted(weights.items()), "term string, idf double"))
-    notices = F.broadcast(spark.createDataFrame(_weight_rows(NOTICES, weights), "notice int, license string, term string, weight double"))
-    tf = counted.groupBy("__digest", "segment", "whole", "words", "term").agg(F.count(F.lit(1)).alias("n"))
-    tf = tf.join(idf, "term").select("*", (F.col("n") * F.col("idf")).alias("value"))
-    norms = tf.groupBy("__digest", "segment").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    dots = (
-        tf.join(notices, "term")
-        .groupBy("__digest", "segment", "whole", "words", "notice", "license")
-        .agg(F.sum(F.col("value") * F.col("weight")).alias("dot"), F.sum("n").alias("shared"))
-    )
-    scored = dots.join(norms, ["__digest", "segment"]).select(
-        "__digest", "license", F.round(F.col("dot") / F.col("norm"), DIGITS).alias("cosine"),
-        (F.col("whole") & (F.col("shared") >= FILE_SHARE * F.col("words"))).alias("file"),
-    ).where(F.col("cosine") >= MIN_COSINE)
+    segments = hit.select("__digest", F.explode(_segments(F.col(text), anchor_pattern(weights))).alias("part"), F.length(text).alias("length"))
+    segments = segments.select("__digest", text_terms(F.col("part")).alias("terms"), (F.length("part") == F.col("length")).alias("whole"))
+    # Equal parts are compared once; the whole text alone decides about licence files.
+    segments = materialise(segments.withColumn("key", F.md5(F.concat_ws(" ", "terms").cast("binary"))))
+    parts = materialise(segments.select("key", "terms").dropDuplicates(["key"]))
+    near = materialise(_cosines(parts, NOTICES, weights, counted, rows, NAMED))
+    uses = segments.groupBy("__digest", "key").agg(F.max("whole").alias("whole"), F.max(F.size("terms")).alias("words"))
+    scored = uses.join(near, "key").withColumn("file", F.col("whole") & (F.col("shared") >= FILE_SHARE * F.col("words")))
     best = scored.groupBy("__digest", "license").agg(F.max("cosine").alias("cosine"), F.max("file").alias("file"))
     first = F.min(F.struct((-F.col("cosine")).alias("c"), "license", "file"))
     return best.groupBy("__digest").agg(first.alias("b")).select(
@@ -300,7 +294,7 @@ def scan_licences(df: DataFrame, path: str, text: str = "text", keep: list[str]
         "__digest": F.when(close, F.md5(F.col(text).cast("binary"))), text: F.when(close, F.col(text)),
     })
     marked = materialise(marked)
-    said = own_licences(marked, weights, text).withColumn("rank", F.lit(1))
+    said = own_licences(marked, weights, counted, total, text).withColumn("rank", F.lit(1))
     whole = file_licences(marked, body_weights, counted, total, text).withColumn("rank", F.lit(0))
     # What a licence file says about itself counts more than statements inside it.
     best = F.min_by(F.struct("own_license", "cosine", "file"), "rank")

@@ -103,3 +103,37 @@ def test_texts_with_few_rare_terms_cannot_reach_the_cosine():
         few = sorted((squares[t] for t in rare), reverse=True)[: need - 1]
         others = sum(v for t, v in squares.items() if t not in rare)
         assert need >= 1 and sum(few) + others < L.MIN_COSINE**2 * sum(squares.values())
+
+
+UNKNOWN = [
+    "SPDX-License-Identifier: Zlib", "# SPDX-License-Identifier: BSL-1.0\nimport os", "Released under the Zlib License.",
+    "Released under the Foo License.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.",
+    "This work is licensed under the GNU General Public License, version 1.", "Licensed under the Boost License, Version 1.0.",
+    "Licensed under the Eclipse Public License, Version 2.0.",
+]
+
+
+def test_other_licences_are_not_taken_for_known_ones(frame):
+    # mit, by and under are frequent words here, as in German and English prose.
+    rows = [(i, f"d/{i}", text) for i, text in enumerate(UNKNOWN)] + [(1000 + i, "p/x", "es geht mit dem Zug by the way and under it") for i in range(200)]
+    affero = next(" ".join(terms) for name, terms in L.NOTICES if name == "AGPL-3.0" and "redistribute" in terms)
+    rows += [(100, "a/1", affero), (101, "a/2", "SPDX-License-Identifier: MIT"), (102, "a/3", "Released under the MIT License.")]
+    out = L.scan_licences(frame(rows, "doc_id long, path string, text string"), "path", keep=["doc_id"]).collect()
+    got = {r["doc_id"]: r["own_license"] for r in out}
+    assert [UNKNOWN[i] for i in range(len(UNKNOWN)) if got[i]] == []
+    assert (got[100], got[101], got[102]) == ("AGPL-3.0", "MIT", "MIT")
+
+
+def test_norms_count_all_terms(frame):
+    """The cosine of a line is that of all its terms, not only of those in the statements."""
+    text = "Released under the MIT License by Quux"
+    rows = [(1, "d/1", text)] + [(2 + i, "p/x", "es geht mit dem Zug") for i in range(20)]
+    df = frame(rows, "doc_id long, path string, text string")
+    weights = L.term_weights(df, "text", sorted(set(L.terms_of(text))))
+    notice = L.terms_of("Released under the MIT License.")
+    own = math.sqrt(sum(v * v for v in weights.values()))
+    [near] = L._cosines(
+        df.where("doc_id = 1").select(F.lit("k").alias("key"), L.text_terms(F.col("text")).alias("terms")),
+        L.NOTICES, L.term_weights(df), L.vocabulary(df), df.count(), L.NAMED,
+    ).where("license = 'MIT'").collect()
+    assert abs(near["cosine"] - math.sqrt(sum(weights[t] ** 2 for t in notice)) / own) < 1e-5
