@@ -1,10 +1,10 @@
 """Licence scans: TF-IDF cosine to licence statements, then inheritance from the nearest directory with a licence file.
 
 The document frequencies of all terms are counted once over all documents; a term weighs its count times
-log((1 + N) / (1 + df)) + 1. Norms count every term of a part. A text is read line by line. Lines, and runs of HEADER_LINES lines for statements of TEMPLATES
-that are wrapped, become term counts, and a join with the statements' weights sums their cosines. A line without any anchor
-is left out exactly: the anchors of a statement are its heaviest terms, enough of them that all other terms together cannot
-reach MIN_COSINE. Only terms of such lines leave their row.
+log((1 + N) / (1 + df)) + 1. Norms count every term of a part. The anchors of a statement of TEMPLATES are its heaviest terms, enough of them that all
+other terms together cannot reach MIN_COSINE. Around each anchor of a text, windows as long as the statement, laid so that
+the anchor stands where it stands there, become term counts, however lines are cut; lines with an anchor and runs of
+HEADER_LINES lines do too. A join with the statements' weights sums their cosines. Only such parts leave their row.
 
 A text whose cosine to a whole licence text (BODIES) reaches MIN_COSINE is a licence file of that licence; so is one whose
 words nearly all belong to a statement. Texts with too few rare terms of every licence text are left out, again exactly. A
@@ -224,11 +224,41 @@ def _segments(text: Column, anchor: str) -> Column:
     return F.concat(F.flatten(F.transform(hit, lambda r: F.array(r["line"], r["run"]))), F.array(text))
 
 
+def places(weights: dict[str, float]) -> list[tuple[str, int, int]]:
+    """term, length, place: where anchors stand in the statements, and how many terms those have."""
+    heavy = set(anchors(weights))
+    return sorted({(t, len(terms), k) for _, terms in NOTICES for k, t in enumerate(terms) if t in heavy})
+
+
+def _windows(hit: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """__digest, terms: for each anchor, as many terms as each of its statements has, where the statement would lie."""
+    heavy, spots = anchors(weights), places(weights)
+    most = max(length for _, length, _ in spots)
+    numbered = F.transform("terms", lambda t, k: F.struct(t.alias("term"), k.alias("at")))
+    found = F.filter(numbered, lambda x: x["term"].isin(heavy))
+    # An anchor leaves its row with the terms around it, never with the whole text.
+    around = F.transform(
+        found,
+        lambda x: F.struct(
+            x["term"].alias("term"),
+            F.least(x["at"], F.lit(most)).alias("before"),
+            F.slice(F.col("terms"), F.greatest(x["at"] - most, F.lit(0)) + 1, F.lit(2 * most)).alias("near"),
+        ),
+    )
+    spots = F.broadcast(hit.sparkSession.createDataFrame(spots, "term string, length int, place int"))
+    cut = hit.select("__digest", F.explode(F.array_distinct(around)).alias("a")).select("__digest", "a.*").join(spots, "term")
+    start = F.col("before") - F.col("place")
+    length = F.col("length") + F.least(start, F.lit(0))
+    return cut.select("__digest", F.slice("near", F.greatest(start, F.lit(0)) + 1, length).alias("terms"))
+
+
 def own_licences(marked: DataFrame, weights: dict[str, float], counted: DataFrame, rows: int, text: str = "text") -> DataFrame:
     """Best statement and cosine per text, and whether the text is nothing else; `marked` has text, __digest, __hit."""
     hit = marked.where("__hit").dropDuplicates(["__digest"])
     segments = hit.select("__digest", F.explode(_segments(F.col(text), anchor_pattern(weights))).alias("part"), F.length(text).alias("length"))
     segments = segments.select("__digest", text_terms(F.col("part")).alias("terms"), (F.length("part") == F.col("length")).alias("whole"))
+    windows = _windows(hit.select("__digest", text_terms(F.col(text)).alias("terms")), weights)
+    segments = segments.unionByName(windows.withColumn("whole", F.lit(False)))
     # Equal parts are compared once; the whole text alone decides about licence files.
     segments = materialise(segments.withColumn("key", F.md5(F.concat_ws(" ", "terms").cast("binary"))))
     parts = materialise(segments.select("key", "terms").dropDuplicates(["key"]))

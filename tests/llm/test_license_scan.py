@@ -137,3 +137,25 @@ def test_norms_count_all_terms(frame):
         L.NOTICES, L.term_weights(df), L.vocabulary(df), df.count(), L.NAMED,
     ).where("license = 'MIT'").collect()
     assert abs(near["cosine"] - math.sqrt(sum(weights[t] ** 2 for t in notice)) / own) < 1e-5
+
+
+def test_notices_are_found_however_lines_are_cut(frame):
+    long = next((name, text) for name, text in L.TEMPLATES if name == "GPL-3.0" and "redistribute" in text)
+    prose = ("the ship of the line went to the sea and to a harbour of the king " * 40).split()
+    rows, want = [], {}
+    for name, text in [long, ("MIT", MIT), L.TEMPLATES[1]]:
+        words = text.split()
+        for n in range(1, 9):
+            size = -(-len(words) // n)
+            wrapped = "\n".join(" * " + " ".join(words[i : i + size]) for i in range(0, len(words), size))
+            rows.append((len(rows), f"a/{len(rows)}", f"int a;\n{wrapped}\nint main;"))
+            want[len(want)] = name
+        rows.append((len(rows), f"a/{len(rows)}", " ".join(prose[:250] + words + prose[:250])))
+        want[len(want)] = name
+        rows.append((len(rows), f"a/{len(rows)}", "\n".join(prose[:250] + words + prose[:250])))
+        want[len(want)] = name
+    rows.append((len(rows), "a/none", " ".join(prose)))
+    want[len(want)] = None
+    out = L.scan_licences(frame(rows, "doc_id long, path string, text string"), "path", keep=["doc_id"]).collect()
+    assert {r["doc_id"]: r["own_license"] for r in out} == want
+    assert all(r["cosine"] == 1.0 for r in out if r["own_license"])
