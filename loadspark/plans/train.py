@@ -66,7 +66,7 @@ def tune_gbt(
     n_trials: int = 100,
     splits: Sequence[datetime] = tuple(FOLD_STARTS),
     seed: int = 42,
-    n_estimators: int = 100,
+    n_estimators: int = 2000,
 ) -> tuple[dict[str, float], DataFrame]:
     """Search, then store the best parameters and the trial history."""
     ready = prepare_features(train, spec, features, label)

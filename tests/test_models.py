@@ -230,3 +230,29 @@ def test_sparse_feature_is_filled_back_then_forth(spark):
     spec = SeriesSpec("ts", (), timedelta(days=1))
     out = prepare_features(df, spec, ["solar_remote_yield_ratio"])
     assert [r.solar_remote_yield_ratio for r in out.collect()] == [2.0, 2.0, 2.0]
+
+
+def test_boosting_has_patience(data):
+    from loadspark.operators.models import GBT_DEFAULTS, PATIENCE, SEARCH_SPACE, best_round
+
+    # The first rise does not end it, a rise of `patience` rounds does, and the smallest error so far counts.
+    assert best_round([5.0, 4.0, 4.5, 3.0, 3.5, 3.4, 1.0], 3) == (7, False)
+    assert best_round([5.0, 4.0, 4.5, 4.2, 4.1, 1.0], 3) == (2, True)
+    assert best_round([5.0, 4.0, 4.5], 3) == (2, False)
+    assert (GBT_DEFAULTS["n_estimators"], PATIENCE) == (2000, 50)
+    assert not {"reg_alpha", "reg_lambda"} & set(SEARCH_SPACE)
+    df, _ = data
+    masked = holdout_mask(df, SPEC, 2)
+    model = fit_gbt(masked, FEATURES, n_estimators=30, num_leaves=4, learning_rate=0.9, patience=3)
+    long = fit_gbt(masked, FEATURES, n_estimators=12, num_leaves=4, learning_rate=0.9, patience=1000)
+    assert model.stages[-1].getNumTrees <= 30 and long.stages[-1].getNumTrees <= 12
+    # A fit of few rounds begins like a longer one.
+    short = fit_gbt(masked, FEATURES, "load", None, n_estimators=2, num_leaves=4, learning_rate=0.9).stages[-1]
+    more = fit_gbt(masked, FEATURES, "load", None, n_estimators=4, num_leaves=4, learning_rate=0.9).stages[-1]
+    assert [t.toDebugString.split("\n", 1)[1] for t in short.trees] == [t.toDebugString.split("\n", 1)[1] for t in more.trees[:2]]
+
+
+def test_more_leaves_are_deeper_trees():
+    assert gbt_estimator("y", None, num_leaves=8192).getMaxDepth() == 13
+    with pytest.raises(ValueError, match="num_leaves"):
+        gbt_estimator("y", None, num_leaves=2**31)
