@@ -1,6 +1,18 @@
 """All queries of this folder; importing the modules registers them."""
 
-from loadspark.llm import license_scan, mixing, near_dedup, quality_classifier, quality_rules, repeated_text, secret_scan, sentence_pieces, sharding, vector_dedup  # noqa: F401
+from loadspark.llm import (  # noqa: F401
+    license_scan,
+    mixing,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    repeated_text,
+    secret_scan,
+    sentence_pieces,
+    sharding,
+    vector_codes,
+    vector_dedup,
+)
 from loadspark.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
