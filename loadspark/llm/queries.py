@@ -1,6 +1,7 @@
 """All queries of this folder; importing the modules registers them."""
 
 from loadspark.llm import (  # noqa: F401
+    bpe_tokens,
     license_scan,
     mixing,
     near_dedup,
