@@ -11,6 +11,7 @@ from loadspark.llm import (  # noqa: F401
     secret_scan,
     sentence_pieces,
     sharding,
+    token_alignment,
     vector_codes,
     vector_dedup,
 )
