@@ -8,7 +8,7 @@ from loadspark.session import materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """`node`, `component` (the smallest node reachable) of every node that has a link; `links` has bigint a and b.
+    """`node`, `component` (the smallest node reachable) of every node that has a link; `links` has a and b of one sortable type.
 
     Alternating stars: every node hands its larger neighbours, then its smaller ones, over to the smallest node it knows,
     until all nodes hang on the smallest of their component. A node's neighbours are never gathered: its smallest one is

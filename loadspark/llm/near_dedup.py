@@ -12,12 +12,17 @@
    Pairs that share a bucket but no group are tested one by one. So no link that the bands can see is lost, and a group
    of copies is never listed pair by pair.
 
-At a similarity of exactly 0.8 two classes share no band with a chance of 4e-7 (32 bands of 4); hashes of 64 bits make two
+At a similarity of exactly 0.8 two classes share no band with a chance of 5e-8 (32 bands of 4); hashes of 64 bits make two
 different shingles of one pair equal with a chance of about (words)^2 / 2^64.
 
+Inside a group of copies that no single member links, comparing blocks against blocks takes work in proportion to the square
+of the members outside its main component, and so do buckets whose members differ; the output stays small.
+
 Defined results: null, empty and blank texts have an empty set and no links; a text with fewer than WORDS words is one
-shingle; a row without a key has no links and no component and is kept; rows of one key are one node; copies share their
-class; extra columns stay.
+shingle; a row without a key has no links and no component and is kept; a row is known by its key and text, so different texts
+of one key are linked each by itself and only equal or linked ones are dropped; ties go to the smallest key, then to the
+smallest digest of the text; copies share their class; long texts are read in pieces; an empty table gives an empty table;
+extra columns stay.
 """
 
 from __future__ import annotations
@@ -64,9 +69,8 @@ def word_hashes(text: str) -> np.ndarray:
             starts = np.flatnonzero(np.diff(inside, prepend=-2) != 1)
             lengths = np.diff(starts, append=len(inside))
             place = np.arange(len(inside)) - np.repeat(starts, lengths)
-            powers = np.full(int(lengths.max()), FACTOR)
-            powers[0] = 1
-            values = BYTE_VALUES[code[inside]] * np.cumprod(powers, dtype=np.uint64)[place]
+            # Every byte at every place has a value of its own, so structured words do not cancel out.
+            values = mix(BYTE_VALUES[code[inside]] + place.astype(np.uint64) * FACTOR)
             found.append(mix(np.add.reduceat(values, starts, dtype=np.uint64) + lengths.astype(np.uint64)))
         at = end
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
@@ -113,14 +117,14 @@ def _signatures(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, text in zip(pdf["key"], pdf["text"], strict=True):
+            for key, own, text in zip(pdf["key"], pdf["own"], pdf["text"], strict=True):
                 s = shingle_set(text, words)
                 if len(s):
                     m = minima(s, HASHES)
-                    rows.append((key, len(s), hashlib.md5(s.tobytes()).digest(), band_keys(m, ROWS), packed_bits(m, BITS)))
+                    rows.append((key, own, len(s), hashlib.md5(s.tobytes()).digest(), band_keys(m, ROWS), packed_bits(m, BITS)))
                 else:
-                    rows.append((key, 0, None, None, None))
-            yield pd.DataFrame(rows, columns=["key", "n_shingles", "digest", "bands", "bits"]).astype({"key": "Int64"})
+                    rows.append((key, own, 0, None, None, None))
+            yield pd.DataFrame(rows, columns=["key", "own", "n_shingles", "digest", "bands", "bits"]).astype({"key": "Int64"})
 
     return run
 
@@ -129,8 +133,7 @@ def _sets(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingle_set(t, words).view(np.int64) for t in pdf["text"]]
-            same = [hashlib.md5(s.tobytes()).digest() == d for s, d in zip(sets, pdf["digest"], strict=True)]
-            yield pd.DataFrame({"node": pdf["node"], "hashes": sets})[same]
+            yield pd.DataFrame({"node": pdf["own"], "hashes": sets})
 
     return run
 
@@ -211,7 +214,7 @@ def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 {"a": left["node"].to_numpy()[i], "b": right["node"].to_numpy()[j], "c": right["c"].to_numpy()[j]}
             )
             found.append(pairs.drop_duplicates(["a", "c"])[["a", "b"]])
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="object")
 
     return run
 
@@ -229,14 +232,16 @@ def links_in_groups(labelled: DataFrame, sets: DataFrame, percent: int) -> DataF
         F.ceil((F.col("members") - F.col("m.n")) / BLOCK).cast("int").alias("out_blocks"),
     )
     rows = materialise(labelled.join(groups, F.col("g") == F.col("of")).drop("of"))
+    small = (F.col("blocks") == 1) & (F.col("out_blocks") == 1)
+    # Groups of one block share a task, as many as make up about a block.
+    packs = max(1, rows.where(small).count() // BLOCK)
 
     def side(part: DataFrame, mine: str, theirs: str, outside: bool) -> DataFrame:
         own = F.pmod(F.xxhash64("node"), F.col(mine)).cast("int")
         cut = part.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias("other"))
-        # Groups of one block share a task by hash; larger ones have one for each pair of blocks.
-        small = (F.col("blocks") == 1) & (F.col("out_blocks") == 1)
+        # Larger groups have a task for each pair of blocks.
         return cut.select(
-            F.when(small, F.pmod(F.xxhash64("g"), F.lit(256))).otherwise(F.col("g")).alias("pack"),
+            F.when(small, F.pmod(F.xxhash64("g"), F.lit(packs)).cast("string").cast("binary")).otherwise(F.col("g")).alias("pack"),
             small.alias("small"),
             F.col("own" if outside else "other").alias("x"),
             F.col("other" if outside else "own").alias("y"),
@@ -247,23 +252,33 @@ def links_in_groups(labelled: DataFrame, sets: DataFrame, percent: int) -> DataF
         side(rows, "blocks", "out_blocks", False)
     )
     both = both.join(sets.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).drop("n")
-    return both.groupBy("pack", "small", "x", "y").applyInPandas(_block_links(percent), "a long, b long")
+    return both.groupBy("pack", "small", "x", "y").applyInPandas(_block_links(percent), "a binary, b binary")
 
 
-def near_duplicates(
-    df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
-) -> DataFrame:
-    """`key`, n_shingles, component_id, kept for every row: components of similarity >= percent / 100."""
-    texts = df.select(F.col(key).cast("long").alias("key"), clean_text(text).alias("text"))
+def _own(key: str, text: str) -> Column:
+    """What tells a row: its key, then the digest of its text, in bytes that sort in this order; null without a key."""
+    flipped = F.col(key).cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    return F.concat(F.unhex(F.lpad(F.hex(flipped), 16, "0")), F.unhex(F.md5(clean_text(text).cast("binary"))))
+
+
+def _key_of(own: str) -> Column:
+    flipped = F.conv(F.hex(F.substring(own, 1, 8)), 16, -10).cast("long")
+    return flipped.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+
+
+def _labelled(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """key, own, n_shingles and component (the smallest `own` linked; null without a set or key) of every row."""
+    texts = df.select(F.col(key).cast("long").alias("key"), _own(key, text).alias("own"), clean_text(text).alias("text"))
     docs = materialise(
         texts.mapInPandas(
-            _signatures(words), "key long, n_shingles long, digest binary, bands array<long>, bits array<long>"
+            _signatures(words),
+            "key long, own binary, n_shingles long, digest binary, bands array<long>, bits array<long>",
         )
     )
     linked = docs.where("digest IS NOT NULL AND key IS NOT NULL")
     classes = materialise(
         linked.groupBy("digest")
-        .agg(F.min("key").alias("node"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        .agg(F.min("own").alias("node"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     )
     members = classes.select("node", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
@@ -272,12 +287,12 @@ def near_duplicates(
         likely(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(),
                classes, percent)
     )
-    wanted = shared.select("node").distinct().join(classes.select("node", "digest"), "node")
+    wanted = shared.select("node").distinct()
     sets = materialise(
-        texts.join(wanted, F.col("key") == F.col("node"))
-        .select("node", "digest", "text")
-        .mapInPandas(_sets(words), "node long, hashes array<long>")
-        .dropDuplicates(["node"])
+        texts.join(wanted, F.col("own") == F.col("node"))
+        .select("own", "text")
+        .dropDuplicates(["own"])
+        .mapInPandas(_sets(words), "node binary, hashes array<long>")
     )
     links = materialise(confirmed(stars, sets, percent))
     found = materialise(connected_components(links))
@@ -316,11 +331,17 @@ def near_duplicates(
         found.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left"
     )
     of_class = of_class.select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("component"))
-    alone = docs.where("digest IS NULL OR key IS NULL").select("key", "n_shingles", F.col("key").alias("component_id"))
-    rows = linked.join(of_class, F.col("digest") == F.col("d")).select(
-        "key", "n_shingles", F.col("component").alias("component_id")
-    )
-    return rows.unionByName(alone).select(
+    alone = docs.where("digest IS NULL OR key IS NULL").select("key", "own", "n_shingles", F.lit(None).cast("binary").alias("component"))
+    rows = linked.join(of_class, F.col("digest") == F.col("d")).select("key", "own", "n_shingles", "component")
+    return rows.unionByName(alone)
+
+
+def near_duplicates(
+    df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
+) -> DataFrame:
+    """`key`, n_shingles, component_id, kept for every row: components of similarity >= percent / 100."""
+    rows = _labelled(df, key, text, words, percent).withColumn("component_id", F.coalesce(_key_of("component"), "key"))
+    return rows.select(
         F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
@@ -329,9 +350,10 @@ def drop_near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
     """The rows with one document of each component, the one with the smallest key; rows without a key stay."""
-    gone = near_duplicates(df, key, text, words, percent).where("NOT kept").select(F.col(key).alias("__gone")).distinct()
-    left = df.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("__gone"), "left_anti")
-    return left.dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()))
+    gone = _labelled(df, key, text, words, percent).where("own <> component").select(F.col("own").alias("__gone")).distinct()
+    rows = df.withColumn("__own", _own(key, text))
+    left = rows.where("__own IS NOT NULL").join(gone, F.col("__own") == F.col("__gone"), "left_anti")
+    return left.dropDuplicates(["__own"]).unionByName(rows.where("__own IS NULL")).drop("__own")
 
 
 @query("op4_near_dedup")

@@ -98,6 +98,35 @@ def test_drop_keeps_one_of_each_group(documents, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_texts_of_one_key_are_documents_of_their_own(frame):
+    """Rows that share a key lose neither their text nor their links."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(11)) for x in "abc")
+    schema = "doc_id long, text string"
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more")]
+    got = {(r["doc_id"], r["component_id"]) for r in N.near_duplicates(frame(rows, schema), words=2).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
+    left = N.drop_near_duplicates(frame(rows, schema), words=2).collect()
+    assert sorted(map(tuple, left)) == [(1, a), (1, b)]
+    rows = [(1, a), (1, b), (5, c), (1, a), (7, c.upper()), (1, a + " more")]
+    left = {tuple(r) for r in N.drop_near_duplicates(frame(rows, schema), words=2).collect()}
+    assert {(1, b), (5, c)} < left and len(left) == 3
+    assert len(left & {(1, a), (1, a + " more")}) == 1
+
+
+def test_keys_sort_as_numbers(frame):
+    keys = [-(1 << 63), -5, -1, 0, 1, 255, 256, (1 << 63) - 1]
+    df = frame([(k, "t") for k in reversed(keys)], "doc_id long, text string").select("doc_id", N._own("doc_id", "text").alias("own"))
+    rows = df.orderBy("own").withColumn("back", N._key_of("own")).collect()
+    assert [r["doc_id"] for r in rows] == [r["back"] for r in rows] == keys
+
+
+def test_structured_words_have_hashes_of_their_own():
+    """Two Thue-Morse words, which polynomial hashes modulo a power of two confuse."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    assert len(set(N.word_hashes(" ".join(words)).tolist())) == 2
+
+
 def test_signatures_estimate_similarity(frame):
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
