@@ -47,9 +47,13 @@ class Memo(dict):
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= self.longest:
-            self.used += len(key) + len(value) + ENTRY_BYTES
-            if self.used > self.limit:
-                self.clear()
-                self.used = len(key) + len(value) + ENTRY_BYTES
-            self[key] = value
+            self.keep(key, value)
         return value
+
+    def keep(self, key: str, value: bytes) -> None:
+        size = len(key) + len(value) + ENTRY_BYTES
+        if self.used + size > self.limit:
+            self.clear()
+            self.used = 0
+        self.used += size
+        self[key] = value

@@ -4,8 +4,8 @@ A sequence of tokens is what the merge procedure gives if and only if every two
 both must not merge across their border. That is a table over pairs of tokens, filled on demand from the merge list alone.
 So a word needs no merging. From the left the longest token that matches is taken, if it may follow the token before it;
 otherwise the next shorter one; if none may, the token before it is taken back and its place is closed for good. Every
-place is closed at most once and the longest match at each place comes from one Aho-Corasick pass over the word, so the
-work is linear in its length for a given vocabulary.
+place is closed at most once, and longest matches come from an Aho-Corasick automaton that reads the word on from the place
+it is at, so the work is linear in its length for a given vocabulary.
 
 Normalising and cutting texts into words are the tokenizer file's own rules. Both work inside runs without white space,
 so a run is encoded once and remembered in a cache bounded by bytes. Special tokens' strings in a text become their ids.
@@ -36,8 +36,6 @@ from loadspark.llm.registry import query, table
 #: Bytes that a worker's caches of runs and words may take each, and remembered pairs of tokens.
 CACHE_BYTES = 48 << 20
 CACHE_PAIRS = 1 << 19
-#: Places whose longest matches are looked up in one pass.
-STRETCH = 1 << 14
 #: White space of Unicode; runs without it are encoded one by one.
 RUN = re.compile("[^\t-\r \x85\xa0  -     　]+")
 END = ""
@@ -65,6 +63,16 @@ class Vocabulary:
     rank: array = field(repr=False)
     special: dict[str, int]
     rules: str = field(repr=False)
+    _tools: tuple | None = field(default=None, repr=False)
+
+    def tools(self) -> tuple[Encoder, Decoder]:
+        """Made once per worker: a broadcast vocabulary, and with it the encoder's caches, outlives a task."""
+        if self._tools is None:
+            self._tools = Encoder(self), Decoder(self)
+        return self._tools
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tools": None}
 
     @property
     def texts(self) -> list[str]:
@@ -128,6 +136,8 @@ class Encoder:
         self.special = v.special
         names = sorted(map(re.escape, v.special), key=len, reverse=True)
         self.names = re.compile("(" + "|".join(names) + ")") if names else None
+        if [w for w, _ in self.cutter.pre_tokenize_str("a a")] != ["a", "a"]:
+            raise ValueError("words must not hold white space")
         self.words = Memo(self.word, CACHE_BYTES)
         self.runs = Memo(self.run, CACHE_BYTES)
 
@@ -173,32 +183,41 @@ class Encoder:
         self.pairs[a << 32 | b] = fits
         return fits
 
-    def _matches(self, word: str, at: int, found: array) -> None:
-        """Note the longest token that starts at each place of the stretch behind `at`."""
-        stop = min(len(word), at + STRETCH)
-        found[at:stop] = array("i", [-1]) * (stop - at)
-        for end, (length, i) in self.automaton.iter(word, at, min(len(word), stop + self.longest)):
-            start = end - length + 1
-            if start < stop:
-                found[start] = i
+    def _longest(self, word: str, at: int) -> int:
+        """The longest token that starts at a place; -1 without one."""
+        for end, (size, i) in self.automaton.iter_long(word, at):
+            return i if end - size + 1 == at else -1
+        return -1
 
     def word(self, word: str) -> bytes:
         """Ids of one word, as 32-bit integers."""
         if self.suffix:
             word += END
-        length = len(word)
-        found, known = array("i", [-1]) * length, 0
+        length, pairs, out, at, left = len(word), self.pairs, array("i"), 0, -1
+        # Mostly each longest match may follow the one before.
+        for end, (size, right) in self.automaton.iter_long(word):
+            if end - size + 1 != at:
+                break
+            if left >= 0:
+                fits = pairs.get(left << 32 | right)
+                if not (self.may_follow(left, right) if fits is None else fits):
+                    break
+            out.append(right)
+            left, at = right, at + size
+        if at < length:
+            self._search(word, out, at)
+        return out.tobytes()
+
+    def _search(self, word: str, out: array, at: int) -> None:
+        """Go on behind the tokens found so far: shorter ones where the longest does not fit, and back where none does."""
+        length, lengths, shorter, pairs = len(word), self.lengths, self.shorter, self.pairs
         open_ = bytearray(b"\1") * (length + 1)
         if self.suffix:
             # The mark belongs to the last character.
             open_[length - 1] = 0
-        lengths, shorter, pairs = self.lengths, self.shorter, self.pairs
-        out, at, left = array("i"), 0, -1
+        left = out[-1] if out else -1
         while at < length:
-            while known <= at:
-                self._matches(word, known, found)
-                known = min(length, known + STRETCH)
-            right = found[at]
+            right = self._longest(word, at)
             while right >= 0:
                 end = at + lengths[right]
                 if open_[end]:
@@ -218,7 +237,6 @@ class Encoder:
             open_[at] = 0
             at -= lengths[out.pop()]
             left = out[-1] if out else -1
-        return out.tobytes()
 
     def _plain(self, text: str) -> bytes:
         words = self.cutter.pre_tokenize_str(self.normalizer.normalize_str(text) if self.normalizer else text)
@@ -231,10 +249,34 @@ class Encoder:
         parts = self.names.split(run)
         return b"".join(array("i", [self.special[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))
 
+    def learn(self, runs: list[str]) -> None:
+        """Remember the ids of many short runs; one call of the rules reads them all."""
+        text = " ".join(runs)
+        text = self.normalizer.normalize_str(text) if self.normalizer else text
+        ends = np.cumsum([len(r) + 1 for r in text.split(" ")]).tolist()
+        if len(ends) != len(runs):
+            return
+        found: list[list[bytes]] = [[] for _ in runs]
+        at = 0
+        for word, (start, _) in self.cutter.pre_tokenize_str(text):
+            while start >= ends[at]:
+                at += 1
+            found[at].append(self.words[word])
+        for run, ids in zip(runs, found, strict=True):
+            self.runs.keep(run, b"".join(ids))
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a text, as 32-bit integers."""
         return b"".join(map(self.runs.__getitem__, RUN.findall(text))) if text else b""
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of several texts."""
+        cut = [RUN.findall(t) if t else [] for t in texts]
+        known, longest, names = self.runs, self.runs.longest, self.names
+        new = [r for r in set().union(*cut) if r not in known and len(r) <= longest]
+        self.learn([r for r in new if not names.search(r)] if names else new)
+        return [b"".join(map(self.runs.__getitem__, runs)) for runs in cut]
+
 
 class Decoder:
     """Bytes of all tokens in one buffer, found by offsets."""
@@ -280,10 +322,10 @@ def encode(
     added += [T.StructField(decoded, T.StringType())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = shared.value.tools()
         for batch in batches:
             for part in slices(batch, text):
-                found = [encoder.encode(t) for t in part.column(text).to_pylist()]
+                found = encoder.encode_all(part.column(text).to_pylist())
                 counts = np.array([len(f) // 4 for f in found], np.int64)
                 flat = np.frombuffer(b"".join(found), "<i4")
                 new = {ids: pa.array(found, pa.binary()) if packed else list_column(flat, counts)}
@@ -299,7 +341,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(shared.value)
+        _, decoder = shared.value.tools()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
