@@ -183,9 +183,8 @@ def event_lag_rows(spark: Spark, sf: str) -> Frame:
 
 @query(
     "lag_time",
-    f"""WITH {UH} SELECT a.user_id, a.ts, {q6('b.load')} AS day_before, {q6('c.load')} AS week_before FROM uh a
-    LEFT JOIN uh b ON b.user_id = a.user_id AND b.ts = a.ts - INTERVAL 1 DAY
-    LEFT JOIN uh c ON c.user_id = a.user_id AND c.ts = a.ts - INTERVAL 7 DAY""",
+    f"""WITH {UH} SELECT user_id, ts, {q6('lag(load, 24) OVER w')} AS day_before, {q6('lag(load, 168) OVER w')} AS week_before
+    FROM uh WINDOW w AS (PARTITION BY user_id ORDER BY ts)""",
 )
 def lag_time(spark: Spark, sf: str) -> Frame:
     series = _users(spark, sf)
@@ -259,6 +258,25 @@ def rolling_mean_std(spark: Spark, sf: str) -> Frame:
     return out.select("user_id", "ts", r6("m").alias("m"), r6("s", 4).alias("s"))
 
 
+def _told_frame(rows: int) -> str:
+    return f"(PARTITION BY user_id ORDER BY ts, value ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
+
+
+@query(
+    "rolling_repeated_instants",
+    f"""WITH e AS (SELECT user_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, value FROM events)
+    SELECT user_id, ts, value, {q6(f'avg(value) OVER {_told_frame(24)}', 10)} AS m24, {q6(f'avg(value) OVER {_told_frame(300)}', 10)} AS m300,
+      {q6(f'quantile_cont(value, 0.9) OVER {_told_frame(300)}', 10)} AS q300 FROM e""",
+)
+def rolling_repeated_instants(spark: Spark, sf: str) -> Frame:
+    """Frames over raw readings, many of which share an instant: every row has a value of its own for any window length."""
+    raw = table(spark, sf, "events").select("event_id", "user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), "value")
+    out = rolling(raw, USER, "value", 24, min_samples=1, out="m24")
+    rolls = [Roll("value", "m300"), Roll("value", "q300", "quantile", 0.9)]
+    out = rolling_many(out, USER, rolls, 300, 1)
+    return _r(out, ["user_id", "ts", "value"], ["m24", "m300", "q300"], 10)
+
+
 @query(
     "flag_transitions",
     f"""WITH {UH}, f AS (SELECT user_id, ts,

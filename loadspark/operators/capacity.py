@@ -101,23 +101,25 @@ def isotonic_fit(df: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> DataF
     aggregation, until every piece is small enough for one task; the fit on one side of a hull point does not depend
     on the other. All columns are fitted together. Rows with a null get a null.
     """
-    narrow = df.select(*spec.row_id, *(c for c in cols if c not in spec.row_id))
-    fitted = fit_indexed(materialise(with_row_index(narrow, spec, IDX)), spec, cols)
-    return df.join(fitted, spec.row_id, "left").select(*df.columns, *cols.values())
+
+    def work(narrow: DataFrame, order: SeriesSpec) -> DataFrame:
+        indexed = materialise(with_row_index(narrow, order, IDX))
+        return indexed.join(fit_indexed(indexed, order, cols), [*spec.keys, IDX], "left").drop(IDX)
+
+    return beside(df, spec, list(cols), work)
 
 
 def fit_indexed(indexed: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> DataFrame:
-    """The fit on stored rows that are already numbered (`_idx`): one row per identified row with a fitted value."""
-    by = [*spec.keys, "_col"]
+    """The fit on stored rows that are already numbered (`_idx`): keys, number and fitted values of rows that have one."""
+    by, row = [*spec.keys, "_col"], [*spec.keys, IDX]
     values = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("y")) for i, c in enumerate(cols)))
     rows = (
-        indexed.select(*spec.row_id, IDX, F.explode(values).alias("_v"))
-        .where("_v.y is not null")
+        indexed.select(*row, F.explode(values).alias("_v"))
+        .where(f"_v.y is not null and {IDX} is not null")
         .select(
-            *spec.row_id,
+            *row,
             F.col("_v.c").alias("_col"),
             F.expr(f"{IDX} div {FIT_ROWS}").alias("_blk"),
-            IDX,
             F.col("_v.y").alias("_y"),
         )
     )
@@ -151,9 +153,9 @@ def fit_indexed(indexed: DataFrame, spec: SeriesSpec, cols: dict[str, str]) -> D
     fitted = solved.select(*by, "_pool", "_fit").unionByName(flat)
     of = {out: F.max(F.when(F.col("_col") == i, F.col("_fit"))) for i, out in enumerate(cols.values())}
     return (
-        pooled.select(*spec.row_id, "_col", "_pool")
+        pooled.select(*row, "_col", "_pool")
         .join(fitted, [*by, "_pool"])
-        .groupBy(*spec.row_id)
+        .groupBy(*row)
         .agg(*(c.alias(out) for out, c in of.items()))
     )
 
@@ -167,27 +169,29 @@ def isotonic_quantile(
     min_samples: int = 96,
     fit_until: datetime | None = None,
     extra: Sequence[Roll] = (),
+    interpolation: str = "linear",
 ) -> DataFrame:
     """Rolling quantile of each ratio column, carried forward, then made non-decreasing: `cols` maps ratio to output.
 
     With `fit_until` only rows up to then take part in the fit and later rows keep its last value, so training
     rows cannot see the test span. All quantiles, and any `extra` rolling columns, share one rolling pass.
+    `interpolation` says how a quantile between two values is taken, as in `Roll`.
     """
-    rolls = [Roll(c, f"_r_{out}", "quantile", q) for c, out in cols.items()]
+    rolls = [Roll(c, f"_r_{out}", "quantile", q, interpolation) for c, out in cols.items()]
     every = [*rolls, *extra]
     sources = {f"_r_{out}": out for out in cols.values()}
 
-    def work(narrow: DataFrame) -> DataFrame:
+    def work(narrow: DataFrame, order: SeriesSpec) -> DataFrame:
         # Rows are numbered once; the numbers serve the rolling pass and the fit.
-        indexed = materialise(with_row_index(narrow, spec, IDX))
-        rolled = materialise(roll_indexed(indexed, spec, every, window, min_samples))
-        filled = forward_fill(rolled, spec, [r.out for r in every])
+        indexed = materialise(with_row_index(narrow, order, IDX))
+        rolled = materialise(roll_indexed(indexed, order, every, window, min_samples))
+        filled = forward_fill(rolled, order, [r.out for r in every])
         if fit_until is not None:
             early = F.col(spec.ts) <= F.lit(fit_until).cast("timestamp_ntz")
             filled = filled.withColumns({c: F.when(early, F.col(c)) for c in sources})
         filled = materialise(filled)
-        fitted = filled.join(fit_indexed(filled, spec, sources), spec.row_id, "left").drop(IDX, *sources)
-        return fitted if fit_until is None else forward_fill(fitted, spec, list(cols.values()))
+        fitted = filled.join(fit_indexed(filled, order, sources), [*spec.keys, IDX], "left").drop(IDX, *sources)
+        return fitted if fit_until is None else forward_fill(fitted, order, list(cols.values()))
 
     return beside(df, spec, [r.col for r in every], work)
 
@@ -202,6 +206,7 @@ def estimate_capacity(
     ghi: str = GHI,
     poa: str = POA,
     fit_until: datetime | None = None,
+    interpolation: str = "linear",
 ) -> DataFrame:
     """Capacity by GHI and (if present) by plane-of-array irradiance, and the rolling median yield."""
     total = sum_horizontal(production)
@@ -214,16 +219,17 @@ def estimate_capacity(
     ratios["_yield_raw"] = guarded_ratio(total, F.col(ghi), F.col(ghi), threshold)
     needed = [*production, *(light for light, _ in sources.values())]
 
-    def work(narrow: DataFrame) -> DataFrame:
+    def work(narrow: DataFrame, order: SeriesSpec) -> DataFrame:
         out = isotonic_quantile(
-            narrow.select(*spec.row_id, *(c.alias(n) for n, c in ratios.items())),
-            spec,
+            narrow.withColumns(ratios),
+            order,
             {r: name for r, (_, name) in sources.items()},
             0.9,
             window_days * spec.rows_per_day,
             min_samples,
             fit_until,
             [Roll("_yield_raw", "solar_yield_30d", "median")],
+            interpolation,
         )
         return out.drop(*ratios)
 
@@ -250,6 +256,7 @@ def add_monthly_capacity(
     window: int = 2880,
     min_samples: int = 96,
     out: str = "cap_eta",
+    interpolation: str = "linear",
 ) -> DataFrame:
     """Second pass: divide the monthly factor out of the ratio and fit the capacity again."""
     # A table of at most 12 rows, one per month of the year.
@@ -261,7 +268,9 @@ def add_monthly_capacity(
         with_eta.withColumn("_ratio_eta", ratio),
         spec,
         ["_ratio_eta"],
-        lambda narrow: isotonic_quantile(narrow, spec, {"_ratio_eta": out}, 0.9, window, min_samples),
+        lambda narrow, order: isotonic_quantile(
+            narrow, order, {"_ratio_eta": out}, 0.9, window, min_samples, interpolation=interpolation
+        ),
     )
     return made.drop("_ratio_eta")
 

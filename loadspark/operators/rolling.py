@@ -15,7 +15,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from loadspark.series import SeriesSpec, beside, interval, step_start, with_row_index
+from loadspark.series import SELF, SeriesSpec, beside, interval, ranked, step_start, with_row_index
 from loadspark.session import materialise, spread_groups
 
 IDX, BLOCK, OWNER = "_idx", "_block", "_owner"
@@ -80,32 +80,33 @@ def rolling_many(
     """Rolling statistics over the last `n` rows of each series, the window ending `shift` rows back.
 
     A result needs `min_samples` known values (default: the whole window); nulls, NaN and infinities are not known, and
-    rows without an instant take no part and get null. Short means and deviations are window
+    rows without an instant take no part and get null. Rows that share an instant come in the order of `tie`, then of
+    the rolled values, whatever the window length. Short means and deviations are window
     frames in the JVM; quantiles and long windows are pandas rolling per block, all columns in one exchange.
     """
     rolls = list(rolls)
     need = n if min_samples is None else min_samples
     in_jvm = n <= FRAME_ROWS and all(r.fn in ("mean", "std") for r in rolls)
-    if in_jvm and spec.bucket_rows is None:
-        timed = F.col(spec.ts).isNotNull()
-        frame = W.partitionBy(*spec.keys, timed).orderBy(*spec.order).rowsBetween(-(n - 1) - shift, -shift)
-        return df.withColumns({r.out: F.when(timed, _frame(r, frame, need)) for r in rolls})
-
-    reach = n - 1 + shift
+    sources = [r.col for r in rolls]
     if in_jvm:
+        told, order = ranked(df, spec, sources)
+        if spec.bucket_rows is None:
+            timed = F.col(spec.ts).isNotNull()
+            frame = W.partitionBy(*spec.keys, timed).orderBy(*order.order).rowsBetween(-(n - 1) - shift, -shift)
+            return told.withColumns({r.out: F.when(timed, _frame(r, frame, need)) for r in rolls}).drop(SELF)
         frame = W.partitionBy(*spec.keys, BLOCK).orderBy(IDX).rowsBetween(-(n - 1) - shift, -shift)
         return (
-            _with_halo(with_row_index(df, spec, IDX), spec, reach)
+            _with_halo(with_row_index(told, order, IDX), spec, n - 1 + shift)
             .withColumns({r.out: _frame(r, frame, need) for r in rolls})
             .where(F.col(OWNER).eqNullSafe(F.col(BLOCK)))
-            .drop(IDX, OWNER, BLOCK)
+            .drop(IDX, OWNER, BLOCK, SELF)
         )
 
-    def in_python(narrow: DataFrame) -> DataFrame:
+    def in_python(narrow: DataFrame, order: SeriesSpec) -> DataFrame:
         # The numbered rows feed the rolling pass and are then joined to its result.
-        return roll_indexed(materialise(with_row_index(narrow, spec, IDX)), spec, rolls, n, need, shift).drop(IDX)
+        return roll_indexed(materialise(with_row_index(narrow, order, IDX)), order, rolls, n, need, shift).drop(IDX)
 
-    return beside(df, spec, [r.col for r in rolls], in_python)
+    return beside(df, spec, sources, in_python)
 
 
 def roll_indexed(

@@ -9,14 +9,14 @@ holds a third of all rows is therefore spread over as many tasks as it has bucke
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loadspark.session import spread_groups
 
-BUCKET = "_bucket"
+BUCKET, SELF, NTH = "_bucket", "_self", "_nth"
 SPREAD = 32
 
 
@@ -54,8 +54,9 @@ class SeriesSpec:
     """Names the time column, the key columns and the grid of a series.
 
     `bucket_rows` is how many grid steps one bucket spans; None says every single series is known to fit one
-    task, and plain windows per key are used. `tie` orders rows that share an instant. Keys must not be null; rows
-    without an instant are kept and take no part.
+    task, and plain windows per key are used. `tie` orders rows that share an instant; where it leaves rows alike, rolling
+    frames and fits order them by the columns they work on. Keys must not be null; rows without an instant are kept and
+    take no part.
     """
 
     ts: str = "utc_timestamp"
@@ -75,9 +76,14 @@ class SeriesSpec:
 
     @property
     def row_id(self) -> list[str]:
-        """The columns that tell rows apart; rows that share an instant of a series need a `tie`."""
+        """The columns that tell rows apart, as far as `tie` does."""
         return [*self.keys, self.ts, *self.tie]
 
+    def ranked_by(self, *columns: str) -> SeriesSpec:
+        """The same series with further columns to order rows that share an instant."""
+        more = [c for c in dict.fromkeys(columns) if c not in self.row_id]
+        return replace(self, tie=(*self.tie, *more))
+
     @property
     def rows_per_day(self) -> int:
         return int(timedelta(days=1) / self.step)
@@ -173,19 +179,38 @@ def attach_stats(df: DataFrame, spec: SeriesSpec, stats: Mapping[str, Column], o
     return attach_per_bucket(cut, per_key, spec.keys, BUCKET).select(*order)
 
 
+def ranked(df: DataFrame, spec: SeriesSpec, needed: Sequence[str]) -> tuple[DataFrame, SeriesSpec]:
+    """Rows with a hash of themselves, and the series in one certain order.
+
+    Rows that share an instant come in the order of `tie`, then of the `needed` columns, then of the hash. So the order, and
+    what is computed along it, is the same on every run and for every way of computing it. Rows still alike are copies.
+    """
+    told = df if SELF in df.columns else df.withColumn(SELF, F.xxhash64(*df.columns))
+    return told, spec.ranked_by(*needed, SELF)
+
+
 def beside(
-    df: DataFrame, spec: SeriesSpec, needed: Sequence[str], work: Callable[[DataFrame], DataFrame]
+    df: DataFrame, spec: SeriesSpec, needed: Sequence[str], work: Callable[[DataFrame, SeriesSpec], DataFrame]
 ) -> DataFrame:
     """Let `work` see only the identifying and the `needed` columns, and join the columns it adds back to the rows.
 
-    Work that stores or reshuffles its input then moves a few columns; a wide table is moved once, for this join.
+    Work that stores or reshuffles its input then moves a few columns; a wide table is moved once, for this join. `work` gets a
+    series in certain order and keeps its ordering columns. A row meets what was computed for it: by these columns, and where
+    copies of one row share them, by counting the copies on both sides.
     """
-    ids = spec.row_id
-    made = work(df.select(*ids, *(c for c in dict.fromkeys(needed) if c not in ids)))
+    told, order = ranked(df, spec, needed)
+    ids = order.row_id
+    made = work(told.select(*ids, *(c for c in dict.fromkeys(needed) if c not in ids)), order)
+    new = [c for c in made.columns if c not in told.columns]
     if set(df.columns) <= set(made.columns):
-        return made
-    new = [c for c in made.columns if c not in df.columns]
-    return df.join(made.select(*ids, *new).dropDuplicates(ids), ids, "left").select(*df.columns, *new)
+        return made.select(*df.columns, *new)
+    # The hash spreads rows of one instant; copies of one row are all that share a window here.
+    copies = F.row_number().over(W.partitionBy(*ids).orderBy(F.lit(0)))
+    side = made.withColumn(NTH, copies).select(*(F.col(c).alias(f"_of_{c}") for c in (*ids, NTH)), *new)
+    on = F.lit(True)
+    for c in (*ids, NTH):
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return told.withColumn(NTH, copies).join(side, on, "left").select(*df.columns, *new)
 
 
 def resample(

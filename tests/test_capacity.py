@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -136,3 +136,20 @@ def test_reconstruct_leaves_out_incomplete_rows(spark):
     df = rows(spark, [("2024-01-01", 1.0, None), ("2024-01-02", 1.0, 2.0)], "ts string, y double, p double", "ts")
     out = reconstruct(df, SeriesSpec("ts"), {"a": "p"}, "y", 0.25).collect()
     assert [(r.err_a, r.mae_a) for r in out] == [(1.0, 1.0)]
+
+
+def test_fit_of_repeated_instants(spark):
+    """Rows of one instant are fitted one by one, in the order of their values, and alike on every run."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"h": rng.integers(0, 60, 900), "y": rng.normal(size=900)})
+    pdf["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(pdf["h"], "h")
+    pdf = pdf.sort_values(["ts", "y"]).reset_index(drop=True)
+    y = pdf["y"].to_numpy()
+    first = pool_violators(y, np.ones(len(y)))
+    means = pd.Series(y).groupby(first).transform("mean").round(9)
+    want = sorted(zip(pdf["h"], pdf["y"], means, strict=True))
+    df = spark.createDataFrame(pdf.sample(frac=1, random_state=2)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    spec = SeriesSpec("ts", (), timedelta(hours=1), 24)
+    for _ in range(2):
+        got = isotonic_fit(df.withColumn("other", F.lit(1)), spec, {"y": "fit"}).collect()
+        assert sorted((r["h"], r["y"], round(r["fit"], 9)) for r in got) == want

@@ -1,5 +1,6 @@
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -19,7 +20,7 @@ from loadspark.operators.rolling import (
     transitions,
 )
 from loadspark.series import SeriesSpec, attach_stats, floor_to, resample, step_start, with_row_index
-from tests.helpers import assert_column, plan, rows, series
+from tests.helpers import BASE, assert_column, plan, rows, series
 
 KEYED = SeriesSpec("ts", ("k",), bucket_rows=96)
 PLAIN = SeriesSpec("ts", ("k",), bucket_rows=None)
@@ -226,3 +227,29 @@ def test_a_grid_step_must_divide_a_day(spark):
     for step in (timedelta(hours=7), timedelta(days=2)):
         with pytest.raises(ValueError, match="divides a day"):
             resample(df, SeriesSpec(ts="ts", step=step), {"x": F.sum("x")})
+
+
+@pytest.mark.parametrize("fn", ["mean", "median"])
+@pytest.mark.parametrize("n", [24, 256, 257, 300])
+def test_rows_that_share_an_instant_keep_their_own_values(spark, n, fn):
+    """Whatever the window length and the other columns, rows of one instant come in the order of their values."""
+    rng = np.random.default_rng(n)
+    pdf = pd.DataFrame({"k": rng.integers(0, 3, 1500), "h": rng.integers(0, 90, 1500), "x": rng.integers(0, 40, 1500) / 4.0})
+    pdf["ts"] = BASE + pd.to_timedelta(pdf["h"], "h")
+    spec = SeriesSpec("ts", ("k",), timedelta(hours=1), 48)
+    pdf = pdf.sort_values(["k", "ts", "x"], kind="stable").reset_index(drop=True)
+    pdf["want"] = pdf.groupby("k")["x"].transform(lambda x: getattr(x.rolling(n, min_periods=1), fn)())
+    want = sorted(zip(pdf["k"], pdf["h"], pdf["x"], pdf["want"].round(9), strict=True))
+    df = spark.createDataFrame(pdf[["k", "h", "ts", "x"]].sample(frac=1, random_state=1))
+    df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for other in ("none", "label"):
+        wide = df if other == "none" else df.withColumn(other, F.rand(3))
+        got = rolling(wide, spec, "x", n, fn, min_samples=1, out="got").collect()
+        assert sorted((r["k"], r["h"], r["x"], round(r["got"], 9)) for r in got) == want
+
+
+def test_copies_of_a_row_each_get_a_value(spark):
+    df = rows(spark, [("2024-01-01", 1.0, "a")] * 5 + [(None, 1.0, "b")] * 3, "ts string, x double, name string", "ts")
+    spec = SeriesSpec("ts", (), timedelta(hours=1), 24)
+    got = rolling(df, spec, "x", 300, "mean", min_samples=3, out="m").collect()
+    assert sorted((r["name"], r["m"] is None) for r in got) == [("a", False)] * 3 + [("a", True)] * 2 + [("b", True)] * 3
