@@ -168,7 +168,7 @@ def cells_filled_query(spark: Spark, sf: str) -> Frame:
     FROM events""",
 )
 def row_index(spark: Spark, sf: str) -> Frame:
-    spec = SeriesSpec("ts", ("user_id",), timedelta(hours=1), 48, ("event_id",))
+    spec = SeriesSpec("ts", ("user_id",), timedelta(hours=1), 48, ("event_id",), most_rows=1 << 20)
     return with_row_index(table(spark, sf, "events").select("event_id", "user_id", "ts"), spec).drop("ts")
 
 
@@ -177,7 +177,7 @@ def row_index(spark: Spark, sf: str) -> Frame:
     """SELECT event_id, value, lag(value, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS value_lag FROM events""",
 )
 def event_lag_rows(spark: Spark, sf: str) -> Frame:
-    spec = SeriesSpec("ts", ("user_id",), timedelta(hours=1), 48, ("event_id",))
+    spec = SeriesSpec("ts", ("user_id",), timedelta(hours=1), 48, ("event_id",), most_rows=1 << 20)
     return add_lag(table(spark, sf, "events"), spec, "value", 3, "rows").select("event_id", "value", "value_lag")
 
 

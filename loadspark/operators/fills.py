@@ -7,7 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from loadspark.series import BUCKET, SeriesSpec, epoch_seconds
+from loadspark.series import BUCKET, SeriesSpec, epoch_seconds, with_blocks
 
 
 def _nearest_known(
@@ -17,7 +17,7 @@ def _nearest_known(
 
     Buckets are filled on their own; a value carried in from another bucket comes from one row per bucket.
     """
-    d = df.withColumn(BUCKET, F.when(F.col(spec.ts).isNotNull(), spec.bucket()))
+    d = with_blocks(df, spec)
     by = spec.bucket_keys
     inside = {
         "prev": (F.last, W.partitionBy(*by).orderBy(*spec.order).rowsBetween(W.unboundedPreceding, 0)),

@@ -19,7 +19,7 @@ from pyspark.storagelevel import StorageLevel
 
 from loadspark.operators.fills import fill_both
 from loadspark.operators.split import expanding_folds
-from loadspark.series import SeriesSpec, with_row_index
+from loadspark.series import SeriesSpec, rows_at
 from loadspark.session import ensure_checkpoint_dir
 
 GAP_COLUMN = "solar_remote_yield_ratio"
@@ -64,20 +64,24 @@ def score(model: Model, df: DataFrame) -> DataFrame:
 def contiguous_folds(df: DataFrame, spec: SeriesSpec, k: int = 5, out: str = "fold") -> DataFrame:
     """k runs of consecutive rows over the whole table; the first `rows mod k` runs are one row longer.
 
-    Only the time and tie columns are numbered, to find the k-1 rows at which a run starts. All other columns stay
-    where they are: the fold is a comparison with those starts. `tie` should tell all rows of one instant apart.
+    The k-1 rows at which a run starts are searched by counting (`rows_at`); no row is numbered beyond the few around
+    them, and none moves: the fold is a comparison with those starts. Rows without an instant come first and are in fold 0
+    at the start. `tie` should tell all rows of one instant apart.
     """
-    tie = (*spec.keys, *spec.tie)
-    whole = SeriesSpec(spec.ts, (), spec.step, spec.bucket_rows, tie)
-    clock = df.select(spec.ts, *tie)
-    n = clock.count()
+    order = [spec.ts, *spec.keys, *spec.tie]
+    clock = df.select(*order)
+    n, timed = clock.agg(F.count(F.lit(1)), F.count(spec.ts)).first()
     sizes = [n // k + (i < n % k) for i in range(k)]
     starts = [sum(sizes[: i + 1]) for i in range(k - 1)]
-    first_rows = with_row_index(clock, whole, "_i").where(F.col("_i").isin(starts)).orderBy("_i").collect()
-    place = F.struct(spec.ts, *tie)
-    types = {c: clock.schema[c].dataType for c in clock.columns}
-    later = [place >= F.struct(*(F.lit(r[c]).cast(types[c]).alias(c) for c in types)) for r in first_rows]
-    return df.withColumn(out, sum((c.cast("int") for c in later), F.lit(0)))
+    inside = sorted({s - (n - timed) for s in starts if n - timed <= s < n})
+    first_rows = rows_at(clock.where(F.col(spec.ts).isNotNull()), order, inside) if inside else {}
+    place = F.struct(*order)
+    types = {c: clock.schema[c].dataType for c in order}
+    later = [
+        F.coalesce(place >= F.struct(*(F.lit(first_rows[s][c]).cast(types[c]).alias(c) for c in order)), F.lit(False))
+        for s in inside
+    ]
+    return df.withColumn(out, sum((F.when(F.col(spec.ts).isNotNull(), c.cast("int")).otherwise(0) for c in later), F.lit(0)))
 
 
 @dataclass

@@ -12,12 +12,16 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
-from loadspark.session import spread_groups
+from loadspark.session import materialise, spread_groups
 
 BUCKET, SELF, NTH = "_bucket", "_self", "_nth"
 SPREAD = 32
+#: Sampled rows for each block that a dense bucket is cut into, and how many blocks it may become.
+SAMPLED, CUT_BITS = 32, 24
+#: Counted ranges of a search for positions, and rows that are numbered at its end.
+BINS, FEW = 256, 1 << 16
 
 
 def epoch_seconds(col: Column) -> Column:
@@ -57,6 +61,9 @@ class SeriesSpec:
     task, and plain windows per key are used. `tie` orders rows that share an instant; where it leaves rows alike, rolling
     frames and fits order them by the columns they work on. Keys must not be null; rows without an instant are kept and
     take no part.
+
+    On its grid a series has one row a step, so buckets are bounded. Raw readings may have any number: with `most_rows`
+    buckets are counted first, and those that hold more rows are cut at sampled rows into blocks of about that many.
     """
 
     ts: str = "utc_timestamp"
@@ -64,6 +71,7 @@ class SeriesSpec:
     step: timedelta = timedelta(minutes=15)
     bucket_rows: int | None = 4096
     tie: tuple[str, ...] = ()
+    most_rows: int | None = None
 
     @property
     def order(self) -> list[Column]:
@@ -125,13 +133,92 @@ def with_running_totals(
     )
 
 
+def with_blocks(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Add the bucket of every row; it does not fall along the order of the series.
+
+    With `most_rows` a bucket that holds more is cut: a sample of its rows, about SAMPLED for each block to be, is sorted and
+    every SAMPLED-th row starts a block. Instants are no limit: blocks are cut by instant and tie.
+    """
+    plain = df.withColumn(BUCKET, spec.bucket())
+    if spec.most_rows is None:
+        return plain
+    by = spec.bucket_keys
+    timed = plain.where(F.col(spec.ts).isNotNull())
+    counts = timed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > spec.most_rows)
+    dense = materialise(counts.drop("_n"))
+    if dense.isEmpty():
+        return plain
+    drawn = F.pmod(F.xxhash64(F.lit(1), *df.columns), F.lit(spec.most_rows)) < SAMPLED
+    sample = timed.where(drawn).join(dense, by, "left_semi").groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct(*spec.order))).alias("_all")
+    )
+    every = F.filter("_all", lambda _, i: i % SAMPLED == SAMPLED - 1)
+    cut = attach_per_key(plain, sample.select(*by, every.alias("_cuts")), by, df.columns)
+    here = F.struct(*spec.order)
+    block = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= here)), F.lit(0))
+    return cut.withColumn(BUCKET, F.col(BUCKET) * (1 << CUT_BITS) + F.greatest(block, F.lit(0))).drop("_cuts")
+
+
+def rows_at(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> dict[int, Row]:
+    """The rows at these positions (from 0) in the order of a timestamp column and further columns, without numbering all rows.
+
+    The time around every position is cut into BINS ranges whose rows are counted, and only the range that holds the
+    position goes on, until it has FEW rows or is one instant. An instant with more rows is dealt into sorted partitions,
+    which are counted alike. Then the rows of that range alone are numbered. Rows must have an instant.
+    """
+    rows = df.select(*order).withColumn("_us", F.unix_micros(F.col(order[0]).cast("timestamp")))
+    low, high, n = rows.agg(F.min("_us"), F.max("_us"), F.count("_us")).first()
+    if any(not 0 <= p < n for p in positions):
+        raise ValueError(f"there are {n} rows")
+    # First and last microsecond, rows before and rows inside.
+    spans = {p: (low, high, 0, n) for p in positions}
+    while True:
+        wide = sorted({(a, b) for a, b, _, m in spans.values() if m > FEW and b > a})
+        if not wide:
+            break
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        step = {(a, b): -(-(b - a + 1) // BINS) for a, b in wide}
+        bins = [
+            F.when(F.col("_us").between(a, b), F.struct(F.lit(k).alias("k"), F.floor((F.col("_us") - a) / step[a, b]).alias("bin")))
+            for k, (a, b) in enumerate(wide)
+        ]
+        for r in rows.groupBy(F.coalesce(*bins).alias("at")).count().where("at is not null").collect():
+            found.setdefault(wide[r["at"]["k"]], []).append((r["at"]["bin"], r["count"]))
+        for p, (a, b, before, m) in spans.items():
+            if (a, b) in found and m > FEW:
+                for at, count in sorted(found[a, b]):
+                    if p < before + count:
+                        start = a + at * step[a, b]
+                        spans[p] = (start, min(b, start + step[a, b] - 1), before, count)
+                        break
+                    before += count
+    out: dict[int, Row] = {}
+    for a, b, before, m in sorted(set(spans.values())):
+        wanted = [p for p in positions if spans[p] == (a, b, before, m)]
+        part = rows.where(F.col("_us").between(a, b)).drop("_us")
+        if m > FEW:
+            parts = min(4096, -(-m // FEW))
+            part = materialise(part.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+            sizes = sorted((r["_p"], r["count"]) for r in part.groupBy("_p").count().collect())
+        else:
+            part, sizes = part.withColumn("_p", F.lit(0)), [(0, m)]
+        for at, count in sizes:
+            mine = [p for p in wanted if before <= p < before + count]
+            if mine:
+                place = F.row_number().over(W.partitionBy("_p").orderBy(*order)) + F.lit(before - 1)
+                held = part.where(F.col("_p") == at).withColumn("_i", place).where(F.col("_i").isin(mine))
+                out |= {r["_i"]: r for r in held.collect()}
+            before += count
+    return out
+
+
 def with_row_index(df: DataFrame, spec: SeriesSpec, out: str = "row_idx") -> DataFrame:
     """Number the rows of every series from 0 in time order; rows without an instant get NULL."""
     if spec.bucket_rows is None:
         known = F.col(spec.ts).isNotNull()
         position = F.row_number().over(W.partitionBy(*spec.keys, known).orderBy(*spec.order)).cast("long") - 1
         return df.withColumn(out, F.when(known, position))
-    bucketed = df.withColumn(BUCKET, spec.bucket())
+    bucketed = with_blocks(df, spec)
     one = F.when(F.col(spec.ts).isNotNull(), 1).otherwise(0).cast("long")
     counted = with_running_totals(bucketed, spec.keys, BUCKET, spec.order, {out: one})
     return counted.withColumn(out, F.col(out) - 1).drop(BUCKET)

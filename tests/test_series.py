@@ -19,7 +19,18 @@ from loadspark.operators.rolling import (
     rolling_many,
     transitions,
 )
-from loadspark.series import SeriesSpec, attach_stats, floor_to, resample, step_start, with_row_index
+import loadspark.series
+from loadspark.series import (
+    BUCKET,
+    SeriesSpec,
+    attach_stats,
+    floor_to,
+    resample,
+    rows_at,
+    step_start,
+    with_blocks,
+    with_row_index,
+)
 from tests.helpers import BASE, assert_column, plan, rows, series
 
 KEYED = SeriesSpec("ts", ("k",), bucket_rows=96)
@@ -253,3 +264,45 @@ def test_copies_of_a_row_each_get_a_value(spark):
     spec = SeriesSpec("ts", (), timedelta(hours=1), 24)
     got = rolling(df, spec, "x", 300, "mean", min_samples=3, out="m").collect()
     assert sorted((r["name"], r["m"] is None) for r in got) == [("a", False)] * 3 + [("a", True)] * 2 + [("b", True)] * 3
+
+
+def _events(spark, n, instants, seed=0):
+    rng = np.random.default_rng(seed)
+    pdf = pd.DataFrame({"k": rng.integers(0, 2, n), "h": rng.integers(0, instants, n), "i": rng.permutation(n)})
+    pdf["ts"] = BASE + pd.to_timedelta(pdf["h"], "m")
+    return spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz")), pdf
+
+
+@pytest.mark.parametrize("instants", [2000, 20])
+def test_blocks_stay_bounded_when_rows_per_instant_grow(spark, instants):
+    """A hundred times more rows per instant make more blocks, not larger ones."""
+    df, pdf = _events(spark, 20000, instants)
+    spec = SeriesSpec("ts", ("k",), timedelta(minutes=1), 1440, ("i",), most_rows=500)
+    cut = with_blocks(df, spec)
+    sizes = [r["count"] for r in cut.groupBy("k", BUCKET).count().collect()]
+    assert max(sizes) < 1500 and len(sizes) > 20
+    want = pdf.sort_values(["k", "ts", "i"]).groupby("k").cumcount()
+    got = {r["i"]: r["row_idx"] for r in with_row_index(df, spec).collect()}
+    assert got == dict(zip(pdf["i"], want.reindex(pdf.index), strict=True))
+
+
+def test_fill_over_dense_blocks(spark):
+    df, pdf = _events(spark, 4000, 10)
+    df = df.withColumn("x", F.when(F.col("i") % 7 == 0, F.col("i")))
+    spec = SeriesSpec("ts", ("k",), timedelta(minutes=1), 1440, ("i",), most_rows=100)
+    pdf = pdf.sort_values(["k", "ts", "i"])
+    pdf["x"] = pdf["i"].where(pdf["i"] % 7 == 0).groupby(pdf["k"]).ffill()
+    got = {r["i"]: r["x"] for r in forward_fill(df, spec, ["x"]).collect()}
+    assert all(got[i] == x or (got[i] is None and np.isnan(x)) for i, x in zip(pdf["i"], pdf["x"], strict=True))
+
+
+@pytest.mark.parametrize("instants", [5000, 3])
+def test_positions_are_found_by_counting(spark, monkeypatch, instants):
+    monkeypatch.setattr(loadspark.series, "FEW", 200)
+    monkeypatch.setattr(loadspark.series, "BINS", 16)
+    df, pdf = _events(spark, 6000, instants, 3)
+    order = pdf.sort_values(["ts", "k", "i"])["i"].tolist()
+    wanted = [0, 1, 1999, 3000, 5999]
+    assert {p: r["i"] for p, r in rows_at(df, ["ts", "k", "i"], wanted).items()} == {p: order[p] for p in wanted}
+    with pytest.raises(ValueError):
+        rows_at(df, ["ts", "k", "i"], [6000])
