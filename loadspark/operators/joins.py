@@ -14,9 +14,28 @@ from loadspark.series import SeriesSpec
 
 
 def full_merge(dfs: Sequence[DataFrame], on: str | Sequence[str]) -> DataFrame:
-    """Full outer joins on the same key, which is coalesced; each input is shuffled once."""
+    """Full outer joins on the same key, which is coalesced: one shuffle whatever the number of inputs.
+
+    Rows are stacked, each with its columns as one struct under the number of its input, and grouped by key. An input that
+    repeats a key gives every combination of its rows with those of the others, as joins do; rows of one key share a
+    task. A null in the key matches nothing.
+    """
     keys = [on] if isinstance(on, str) else list(on)
-    return reduce(lambda a, b: a.join(b, keys, "full"), dfs)
+    if len(dfs) == 1:
+        return dfs[0]
+    names = [[c for c in d.columns if c not in keys] for d in dfs]
+    alone = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+
+    def stacked(i: int, d: DataFrame) -> DataFrame:
+        cells = F.struct(F.lit(i).alias("_input"), *names[i])
+        lone = F.when(alone, F.monotonically_increasing_id())
+        return d.select(*keys, F.when(lone.isNotNull(), F.lit(i)).alias("_lone_input"), lone.alias("_lone"), cells.alias(f"_s{i}"))
+
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (stacked(i, d) for i, d in enumerate(dfs)))
+    out = both.groupBy(*keys, "_lone_input", "_lone").agg(*(F.collect_list(f"_s{i}").alias(f"_s{i}") for i in range(len(dfs))))
+    for i in range(len(dfs)):
+        out = out.withColumn(f"_s{i}", F.explode_outer(f"_s{i}"))
+    return out.select(*keys, *(F.col(f"_s{i}.{c}").alias(c) for i, part in enumerate(names) for c in part))
 
 
 def stations_to_wide(long: DataFrame, ts: str, station: str, stations: Sequence[str], variables: Sequence[str]) -> DataFrame:

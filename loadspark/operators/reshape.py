@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadspark.functions.columns import sum_horizontal
-from loadspark.series import SeriesSpec, attach_stats, with_row_index
+from loadspark.series import SeriesSpec, attach_stats, rows_at, with_row_index
 
 # Raw and clean column names of the energy table.
 ENERGY_NAMES = {
@@ -71,22 +71,22 @@ def model_features(df: DataFrame, exclude: Sequence[str] | None = None) -> list[
     return [c for c in df.columns if c not in gone]
 
 
+# Categories of feature names and the pattern of each; the first that fits counts.
+CATEGORIES = {
+    "Cyclical": r"^utc_(sin|cos)_",
+    "Lag": r"_(min|max|mean|std|cv)_(2d|3d)$|_week_(min|max|mean|std)$|_cv_week$",
+    "Weather forecast": r"_forecast_",
+    "Weather measurement": r"_measured_",
+    "Solar capacity": r"^(poa_irradiance|solar_yield_30d|solar_remote_yield_ratio)$|solar_capacity",
+    "Solar production": r"^solar_",
+    "Temporal": r"^local_",
+}
+
+
 def categorise_features(features: DataFrame, name: str = "feature") -> DataFrame:
     """Add the category of each feature name."""
-    c = F.col(name)
-    lag = c.rlike(r"_(min|max|mean|std|cv)_(2d|3d)$|_week_(min|max|mean|std)$|_cv_week$")
-    capacity = c.isin("poa_irradiance", "solar_yield_30d", "solar_remote_yield_ratio") | c.contains("solar_capacity")
-    return features.withColumn(
-        "category",
-        F.when(c.startswith("utc_sin_") | c.startswith("utc_cos_"), "Cyclical")
-        .when(lag, "Lag")
-        .when(c.contains("_forecast_"), "Weather forecast")
-        .when(c.contains("_measured_"), "Weather measurement")
-        .when(capacity, "Solar capacity")
-        .when(c.startswith("solar_"), "Solar production")
-        .when(c.startswith("local_"), "Temporal")
-        .otherwise("Other"),
-    )
+    fits = (F.when(F.col(name).rlike(pattern), F.lit(label)) for label, pattern in CATEGORIES.items())
+    return features.withColumn("category", F.coalesce(*fits, F.lit("Other")))
 
 
 def pairwise_delta(df: DataFrame, home: str, others: Sequence[str], variables: Sequence[str]) -> DataFrame:
@@ -132,8 +132,43 @@ def normalise(
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
-    """At most `n` rows, the same ones on every run: the smallest seeded hashes of `key`."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """At most `n` rows, the same ones on every run and in any engine with md5: the smallest digests of seed and `key`."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key)))
+    return df.orderBy(digest, *key).limit(n)
+
+
+def slice_rows(df: DataFrame, spec: SeriesSpec, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Rows `start` to `stop` (not included) of each series in time order; negative positions count from its end.
+
+    Without keys the two rows at the ends are searched by counting and all others compared with them, so none is numbered.
+    With keys, rows are numbered. Rows without an instant have no position. `tie` should tell rows of one instant apart.
+    """
+    timed = df.where(F.col(spec.ts).isNotNull())
+    if spec.keys:
+        numbered = with_row_index(timed, spec, "_idx")
+        if start < 0 or (stop or 0) < 0:
+            numbered = attach_stats(numbered, spec, {"_rows": F.count(F.lit(1))})
+        else:
+            numbered = numbered.withColumn("_rows", F.lit(0))
+
+        def at(p: int) -> Column:
+            return F.lit(p) if p >= 0 else F.col("_rows") + p
+
+        inside = F.col("_idx") >= at(start)
+        inside = inside if stop is None else inside & (F.col("_idx") < at(stop))
+        return numbered.where(inside).drop("_idx", "_rows")
+    order = [spec.ts, *spec.tie]
+    n = timed.count()
+    first, end, _ = slice(start, stop).indices(n)
+    if first >= end:
+        return df.limit(0)
+    ends = rows_at(timed, order, sorted({first, end - 1}))
+    place = F.struct(*order)
+
+    def literal(p: int) -> Column:
+        return F.struct(*(F.lit(ends[p][c]).cast(df.schema[c].dataType).alias(c) for c in order))
+
+    return timed.where((place >= literal(first)) & (place <= literal(end - 1)))
 
 
 def every_nth(df: DataFrame, spec: SeriesSpec, n: int, head: int | None = None) -> DataFrame:

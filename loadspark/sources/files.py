@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -61,17 +62,35 @@ def read_weather_csv(spark: SparkSession, path: str, ts: str = "timestamp") -> D
 def latest_files(spark: SparkSession, pattern: str, key_regex: str | None = None) -> dict[str, str]:
     """The lexicographically largest path per key (the first group of `key_regex` in the file name).
 
-    Spark lists the files; only one path per key reaches the driver.
+    A folder of that name, as Spark writes one, counts as a file. Spark lists the files; only one path per key reaches the
+    driver.
     """
-    name = F.element_at(F.split("path", "/"), -1)
+    end = pattern.rsplit(".", 1)[-1] if "." in pattern.rsplit("/", 1)[-1] else ""
+    inside = rf"(\.{end})/[^/]*$" if end.isalnum() else r"()$^"
+    path = F.regexp_replace("path", inside, "$1")
+    name = F.element_at(F.split(path, "/"), -1)
     key = F.regexp_extract(name, key_regex, 1) if key_regex else F.lit("")
-    listed = spark.read.format("binaryFile").load(pattern).select("path", key.alias("key"))
+    listed = spark.read.format("binaryFile").load(pattern).select(path.alias("path"), key.alias("key"))
     found = {r["key"]: r["path"] for r in listed.groupBy("key").agg(F.max("path").alias("path")).collect()}
     if not found:
         raise FileNotFoundError(f"no file matches {pattern}")
     return found
 
 
+def file_headers(spark: SparkSession, paths: Sequence[str], ts: str, station: Column) -> dict[tuple[str, ...], list[str]]:
+    """Which stations' files have which column names, from one pass over all files for the lines that begin with `ts`."""
+    lines = spark.read.text(list(paths)).select(station.alias("station"), F.trim("value").alias("value"))
+    heads = lines.where(F.col("value").rlike(rf'^\ufeff?"?{ts}"?(,|$)')).distinct().collect()
+    names: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(heads, key=lambda r: r["station"]):
+        columns = tuple(next(csv.reader([r["value"].lstrip("\ufeff")])))
+        names.setdefault(columns, []).append(r["station"])
+    several = [s for s in {r["station"] for r in heads} if sum(s in found for found in names.values()) > 1]
+    if several:
+        raise ValueError(f"files of {', '.join(sorted(several))} differ in their columns")
+    return names
+
+
 def read_station_files(
     spark: SparkSession,
     data_dir: str,
@@ -83,19 +102,25 @@ def read_station_files(
 ) -> DataFrame:
     """The latest `{station}_{kind}_*.csv` of every station, merged on the instant as `{station}_{variable}` columns.
 
-    All files become one long table with a station column, spread wide by a single grouped pivot rather than a chain
-    of joins. `minutes` keeps only some minutes of the hour.
+    Headers are read in one pass over all files; then files with the same header are one scan, the station taken from the
+    file's path, so jobs and plan do not grow with the number of stations. The scan checks the names in each file again.
+    The long table is spread wide by a single grouped pivot rather than a chain of joins. `minutes` keeps only some minutes
+    of the hour.
     """
     latest = latest_files(spark, f"{data_dir}/*_{kind}_*.csv", rf"^(.+?)_{kind}_")
     missing = [s for s in stations if s not in latest]
     if missing:
         raise FileNotFoundError(f"no {kind} file for {', '.join(missing)}")
     variables = list(rename.values())
+    station = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+?)_{kind}_[^/]*\.csv(/[^/]*)?$", 1)
     parts = []
-    for s in stations:
-        part = drop_by_suffix(rename_map(read_weather_csv(spark, latest[s], ts), rename), "_0")
-        have = [v if v in part.columns else F.lit(None).cast("double").alias(v) for v in variables]
-        parts.append(part.select(ts, F.lit(s).alias("station"), *have))
+    for columns, of in file_headers(spark, [latest[s] for s in stations], ts, station).items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+        raw = reader.csv([latest[s] for s in of]).withColumn("station", station)
+        part = drop_by_suffix(rename_map(raw, rename), "_0")
+        have = [F.col(v).cast("double").alias(v) if v in part.columns else F.lit(None).cast("double").alias(v) for v in variables]
+        parts.append(part.select(utc_wall_clock(F.col(ts)).alias(ts), "station", *have))
     long = reduce(DataFrame.unionByName, parts)
     if minutes is not None:
         long = long.where(F.minute(ts).isin(list(minutes)))

@@ -34,6 +34,20 @@ def month_spans(start: date, stop: date) -> list[tuple[date, date]]:
     return spans
 
 
+def month_counts(
+    spark: SparkSession, path: str, start: date, stop: date, site: str | None = None, measurements: Sequence[str] | None = None
+) -> DataFrame:
+    """One row per calendar month of the range, the first and last cut to it: first day, day after, and readings found.
+
+    A single scan of the months in the range; months without readings are there with 0.
+    """
+    spans = spark.createDataFrame([(f"{a:%Y-%m}", a, b) for a, b in month_spans(start, stop)], "month string, first date, stop date")
+    at = datetime.combine(start, datetime.min.time()), datetime.combine(stop, datetime.min.time())
+    rows = read_readings(spark, path, *at, site, measurements)
+    found = rows.groupBy(month_of(F.col("ts")).alias("month")).agg(F.count(F.lit(1)).alias("readings"))
+    return spans.join(found, "month", "left").select("month", "first", "stop", F.coalesce("readings", F.lit(0)).alias("readings"))
+
+
 def issued_at(ts: Column, lead: Column, hour: int = ISSUE_HOUR) -> Column:
     """Whether a value for `ts` with this lead time in hours was issued at `hour`."""
     return F.pmod(F.hour(ts) + 24 - lead, F.lit(24)) == hour

@@ -23,12 +23,13 @@ from loadspark.sources.readings import (
     LEAD_TIMES,
     forecast_table,
     measurement_table,
+    month_counts,
     month_spans,
     read_readings,
     write_readings,
 )
-from loadspark.streaming.ingest import ingest_readings
-from tests.helpers import formatted, rows
+from loadspark.streaming.ingest import ingest_readings, ledger
+from tests.helpers import formatted, plan, rows
 
 
 def test_energy_csv(spark, tmp_path):
@@ -118,6 +119,49 @@ def test_ingest_appends_each_file_once(spark, tmp_path):
     assert read_readings(spark, target, datetime(2024, 2, 1)).count() == 97
 
 
+def test_ingest_goes_on_after_a_restart(spark, tmp_path, monkeypatch):
+    """The state lies in the table: another session with another scratch folder adds only what is new."""
+    source, target = (str(tmp_path / n) for n in ("in", "table"))
+    _readings(spark).where("month(ts) = 1").coalesce(1).write.mode("append").parquet(source)
+    assert ingest_readings(spark, source, target) == 97
+    other = spark.newSession()
+    _readings(spark).where("month(ts) = 2").coalesce(1).write.mode("append").parquet(source)
+    assert ingest_readings(other, source, target) == 97
+    assert ingest_readings(spark, source, target) == 0
+    assert read_readings(spark, target).count() == 194
+    held = [tuple(r) for r in ledger(spark, target).orderBy("month").collect()]
+    assert [(m, n) for m, _, n in held] == [("2024-01", 97), ("2024-02", 97)] and held[0][1] != held[1][1]
+
+
+def test_months_of_a_range(spark, tmp_path):
+    path = str(tmp_path / "readings")
+    write_readings(_readings(spark), path)
+    out = month_counts(spark, path, date(2024, 1, 31), date(2024, 4, 2)).orderBy("month").collect()
+    assert [tuple(r) for r in out] == [
+        ("2024-01", date(2024, 1, 31), date(2024, 2, 1), 0), ("2024-02", date(2024, 2, 1), date(2024, 3, 1), 97),
+        ("2024-03", date(2024, 3, 1), date(2024, 4, 1), 97), ("2024-04", date(2024, 4, 1), date(2024, 4, 2), 0),
+    ]
+
+
+def test_station_files_are_one_scan_per_header(spark, tmp_path):
+    hours = ["2024-01-01T00:00:00Z", "2024-01-01T01:00:00Z"]
+    names = [f"s{i}" for i in range(6)]
+    for i, s in enumerate(names):
+        _station_csv(tmp_path, s, "forecast", FORECAST_NAMES, hours, float(i))
+    out = read_forecasts(spark, str(tmp_path), names)
+    assert plan(out).split("== Physical Plan ==")[1].count("FileScan csv") == 1
+    assert {r["s5_forecast_temperature"] for r in out.collect()} == {5.0}
+    half = FORECAST_NAMES.copy()
+    half.popitem()
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    spark.createDataFrame([(hours[0], 1.0)], "timestamp string, PRED_T_2M_ctrl double").write.option("header", True).csv(
+        str(folder / "s0_forecast_2025.csv")
+    )
+    row = read_forecasts(spark, str(folder), ["s0"]).head()
+    assert row["s0_forecast_temperature"] == 1.0 and row["s0_forecast_humidity"] is None
+
+
 def test_versioned_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     write_versioned(spark.range(1), path, "2024-01-01_00-00")
