@@ -27,7 +27,13 @@ from loadspark.catalog.views import (
     user_hourly,
 )
 from loadspark.functions.solar import add_poa_irradiance
-from loadspark.operators.analysis import efficiency_profile, ghi_correlation, lag_autocorr, production_profile
+from loadspark.operators.analysis import (
+    efficiency_profile,
+    ghi_correlation,
+    importance_share,
+    lag_autocorr,
+    production_profile,
+)
 from loadspark.operators.capacity import estimate_capacity, isotonic_fit, reconstruct
 from loadspark.operators.clean import cells_filled, clean
 from loadspark.operators.fills import backward_fill, fill_both, forward_fill
@@ -35,7 +41,7 @@ from loadspark.operators.joins import full_merge
 from loadspark.operators.lags import add_lag_features, add_yield_ratio, daily_stats, mean_over_days
 from loadspark.operators.metrics import compare_models, error_metrics, hourly_error_metrics, series_range
 from loadspark.operators.models import contiguous_folds
-from loadspark.operators.reshape import every_nth, normalise, to_long
+from loadspark.operators.reshape import every_nth, normalise, slice_rows, to_long
 from loadspark.operators.rolling import (
     Roll,
     add_lag,
@@ -538,14 +544,15 @@ def series_range_query(spark: Spark, sf: str) -> Frame:
     return series_range(table(spark, sf, "events"), USER)
 
 
+_MERGED = {"view": "viewed", "click": "clicked", "purchase": "bought", "signup": "joined", "error": "failed"}
+
+
 @query(
     "full_outer_merge",
-    """WITH h AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, event_type, avg(value) AS v FROM events GROUP BY 1, 2),
-    a AS (SELECT ts, v AS viewed FROM h WHERE event_type = 'view'), b AS (SELECT ts, v AS clicked FROM h WHERE event_type = 'click'),
-    c AS (SELECT ts, v AS bought FROM h WHERE event_type = 'purchase')
-    SELECT ts, """
-    + _q(["viewed", "clicked", "bought"])
-    + " FROM a FULL JOIN b USING (ts) FULL JOIN c USING (ts)",
+    "WITH h AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, event_type, avg(value) AS v FROM events GROUP BY 1, 2), "
+    + ", ".join(f"{n}_t AS (SELECT ts, v AS {n} FROM h WHERE event_type = '{k}')" for k, n in _MERGED.items())
+    + f" SELECT ts, {_q(list(_MERGED.values()))} FROM "
+    + " ".join(f"{'FULL JOIN ' if i else ''}{n}_t{' USING (ts)' if i else ''}" for i, n in enumerate(_MERGED.values())),
 )
 def full_outer_merge(spark: Spark, sf: str) -> Frame:
     hourly = table(spark, sf, "events").withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
@@ -553,8 +560,40 @@ def full_outer_merge(spark: Spark, sf: str) -> Frame:
     def of(kind: str, name: str) -> Frame:
         return hourly.where(F.col("event_type") == kind).groupBy("ts").agg(F.avg("value").alias(name))
 
-    parts = [of("view", "viewed"), of("click", "clicked"), of("purchase", "bought")]
-    return _r(full_merge(parts, "ts"), ["ts"], ["viewed", "clicked", "bought"])
+    return _r(full_merge([of(k, n) for k, n in _MERGED.items()], "ts"), ["ts"], list(_MERGED.values()))
+
+
+@query(
+    "positional_slice",
+    f"""WITH {S15}, n AS (SELECT ts, load, row_number() OVER (ORDER BY ts) - 1 AS i FROM s15)
+    SELECT ts, {q6('load')} AS load FROM n WHERE i >= 15 * 96""",
+)
+def positional_slice(spark: Spark, sf: str) -> Frame:
+    """The series from its 1,440th row on."""
+    return _r(slice_rows(materialise(series15(spark, sf)), SPEC15, 15 * 96), ["ts"], ["load"])
+
+
+@query(
+    "positional_slice_by_user",
+    """WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
+      count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT event_id, user_id FROM n WHERE i >= 5 AND i < n - 3""",
+)
+def positional_slice_by_user(spark: Spark, sf: str) -> Frame:
+    spec = SeriesSpec("ts", ("user_id",), timedelta(hours=1), 48, ("event_id",), most_rows=1 << 20)
+    return slice_rows(table(spark, sf, "events").select("event_id", "user_id", "ts"), spec, 5, -3).drop("ts")
+
+
+@query(
+    "importance_share",
+    f"""WITH t AS (SELECT user_id, stddev_samp(value) AS importance FROM events GROUP BY 1),
+    k AS (SELECT 'user_' || CAST(user_id AS VARCHAR) AS feature, importance FROM t ORDER BY importance DESC NULLS LAST, 1 LIMIT 15)
+    SELECT feature, {q6('importance')} AS importance, {q6('100 * importance / max(importance) OVER ()')} AS importance_norm FROM k""",
+)
+def importance_share_query(spark: Spark, sf: str) -> Frame:
+    """The fifteen users whose values spread most, as percent of the first."""
+    name = F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("feature")
+    spreads = table(spark, sf, "events").groupBy(name).agg(F.stddev_samp("value").alias("importance"))
+    return _r(importance_share(spreads), ["feature"], ["importance", "importance_norm"])
 
 
 @query(

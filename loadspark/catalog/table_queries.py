@@ -237,10 +237,9 @@ def readings_range(spark: Spark, sf: str) -> Frame:
 
 
 _SITES = [str(i) for i in range(10)]
+_CELLS = dict(zip(KINDS, ["radiation", "precipitation", "humidity", "sunshine_duration", "temperature"]))
 _BY_SITE = ", ".join(
-    f"max(v) FILTER (WHERE site = {s} AND measurement = '{k}') AS \"{s}_forecast_{v}\""
-    for s in _SITES
-    for k, v in (("view", "temperature"), ("click", "radiation"))
+    f"max(v) FILTER (WHERE site = {s} AND measurement = '{k}') AS \"{s}_forecast_{v}\"" for s in _SITES for k, v in _CELLS.items()
 )
 
 
@@ -250,10 +249,10 @@ def _stations_wide(spark: Spark, sf: str) -> Frame:
         ["ts", "site"],
         "measurement",
         "value",
-        {"view": "forecast_temperature", "click": "forecast_radiation"},
+        {k: f"forecast_{v}" for k, v in _CELLS.items()},
         on_duplicate="max",
     )
-    return stations_to_wide(per_site, "ts", "site", _SITES, ["forecast_temperature", "forecast_radiation"])
+    return stations_to_wide(per_site, "ts", "site", _SITES, [f"forecast_{v}" for v in _CELLS.values()])
 
 
 @query(
@@ -272,26 +271,26 @@ def stations_to_wide_query(spark: Spark, sf: str) -> Frame:
     SELECT ts, """
     + ", ".join(
         f'{q6(f"""{chr(34)}0_forecast_{v}{chr(34)} - {chr(34)}{s}_forecast_{v}{chr(34)}""")} AS delta_{v}_{s}'
-        for v in ("temperature", "radiation")
-        for s in _SITES[1:6]
+        for v in _CELLS.values()
+        for s in _SITES[1:]
     )
     + " FROM w",
 )
 def pairwise_delta_query(spark: Spark, sf: str) -> Frame:
-    out = pairwise_delta(_stations_wide(spark, sf), "0", _SITES[1:6], ["temperature", "radiation"])
+    out = pairwise_delta(_stations_wide(spark, sf), "0", _SITES[1:], list(_CELLS.values()))
     return out.select("ts", *(r6(c).alias(c) for c in out.columns if c.startswith("delta_")))
 
 
 @query(
     "months_union",
-    """SELECT event_id, value, CASE WHEN event_type = 'click' THEN user_id END AS user_id FROM events
-    WHERE event_type IN ('click', 'view')""",
+    """SELECT event_id, value, CASE WHEN event_type IN ('click', 'signup') THEN user_id END AS user_id,
+    CASE WHEN event_type IN ('purchase', 'signup') THEN props END AS props FROM events""",
 )
 def months_union(spark: Spark, sf: str) -> Frame:
+    """Parts with different columns, one for each event type."""
+    has = {"click": ["user_id"], "error": [], "purchase": ["props"], "signup": ["user_id", "props"], "view": []}
     events = table(spark, sf, "events")
-    views = events.where("event_type = 'view'").select("event_id", "value")
-    clicks = events.where("event_type = 'click'").select("event_id", "value", "user_id")
-    return union_months([views, clicks])
+    return union_months([events.where(F.col("event_type") == k).select("event_id", "value", *more) for k, more in has.items()])
 
 
 @query(
@@ -393,7 +392,10 @@ def normalise_mean(spark: Spark, sf: str) -> Frame:
     return out.select("p_partkey", r6("p_retailprice").alias("p_retailprice"))
 
 
-@query("seeded_sample")
+@query(
+    "seeded_sample",
+    "SELECT * FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 5000",
+)
 def seeded_sample(spark: Spark, sf: str) -> Frame:
     return sample_n(table(spark, sf, "orders"), 5000, 42, ["o_orderkey"])
 
