@@ -8,7 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadspark.catalog.registry import query
-from loadspark.catalog.views import daily_orders, day_curve, q6, r6, table
+from loadspark.catalog.series_queries import POA_SQL, POA_TOTAL
+from loadspark.catalog.views import daily_orders, day_curve, grid_sql, q6, r6, sql_curve, table
 from loadspark.functions.calendar import add_cyclical, add_temporal, utc_to_local
 from loadspark.functions.solar import add_poa_irradiance
 from loadspark.operators.capacity import GHI, estimate_capacity, production_errors
@@ -44,7 +45,7 @@ def clean_table(spark: Spark, sf: str) -> Frame:
     aggs = {"load": F.avg("value"), "forecast_load": (F.min("value") + F.max("value")) / 2, **of, "sion_measured_temperature": F.max("value")}
     events = table(spark, sf, "events").withColumnRenamed("ts", "utc_timestamp")
     grid = fill_both(resample(events, UTC, aggs), UTC, list(aggs))
-    sun = day_curve("utc_timestamp")
+    sun = day_curve("utc_timestamp", "load")
     return grid.withColumns(
         {
             "local_timestamp": utc_to_local(F.col("utc_timestamp")),
@@ -59,18 +60,85 @@ def feature_table(spark: Spark, sf: str) -> Frame:
     return materialise(build_features(materialise(clean_table(spark, sf)), UTC))
 
 
-@query("capacity")
+_CLEAN_COLUMNS = ["load", "forecast_load", *KINDS, "sion_measured_temperature"]
+_FILLED = ", ".join(
+    f"coalesce(first_value({c} IGNORE NULLS) OVER ahead, last_value({c} IGNORE NULLS) OVER behind) AS {c}" for c in _CLEAN_COLUMNS
+)
+#: The clean table in SQL: `cl` with the instant as ts, ghi, the solar columns and their sum.
+CLEAN = f"""raw AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(value) AS load, (min(value) + max(value)) / 2 AS forecast_load,
+    {", ".join(f"avg(value) FILTER (WHERE event_type = '{k}') AS {c}" for c, k in KINDS.items())},
+    max(value) AS sion_measured_temperature FROM events GROUP BY 1),
+  fl AS (SELECT ts, {_FILLED} FROM ({grid_sql('15 MINUTE')}) LEFT JOIN raw USING (ts)
+    WINDOW ahead AS (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), behind AS (ORDER BY ts)),
+  sn AS (SELECT *, {sql_curve('ts', 'load')} FROM fl),
+  cl AS (SELECT ts, ghi, load, forecast_load, sion_measured_temperature, ghi * 0.9 AS sion_measured_global_radiation,
+    {", ".join(f"{c} * ghi / 1000 AS {c}" for c in KINDS)}, ({" + ".join(KINDS)}) * ghi / 1000 AS total FROM sn)"""
+_POA_OF = POA_SQL.replace("FROM s15", "FROM cl")
+_BACK = "ROWS BETWEEN 2879 PRECEDING AND CURRENT ROW"
+
+
+def _known(expr: str) -> str:
+    return f"CASE WHEN count({expr}) OVER w >= 96 THEN quantile_cont({expr}, {{q}}) OVER w END"
+
+
+def fit_sql(name: str, source: str, ratio: str) -> str:
+    """`name`(ts, fit): the rolling 90 % quantile of a column of `source`, carried on and made non-decreasing."""
+    n = name
+    return f"""{n}_q AS (SELECT ts, {_known(ratio).format(q=0.9)} AS p FROM {source} WINDOW w AS (ORDER BY ts {_BACK})),
+  {n}_g AS (SELECT ts, last_value(p IGNORE NULLS) OVER (ORDER BY ts) AS p FROM {n}_q),
+  {n}_s AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i, sum(p) OVER (ORDER BY ts) AS t FROM {n}_g WHERE p IS NOT NULL),
+  {n}_z AS (SELECT i, t FROM {n}_s UNION ALL SELECT 0, 0),
+  {n}_p AS (SELECT a.i + 1 AS a, b.i AS b, (b.t - a.t) / (b.i - a.i) AS v FROM {n}_z a JOIN {n}_z b ON b.i > a.i),
+  {n}_l AS (SELECT a, b, min(v) OVER (PARTITION BY a ORDER BY b DESC) AS v FROM {n}_p),
+  {n} AS (SELECT ts, f AS fit FROM {n}_s JOIN (SELECT b AS i, max(v) AS f FROM {n}_l GROUP BY 1) USING (i))"""
+
+
+#: Capacity in SQL: `cap` with both fits and the median yield beside the clean columns.
+CAPACITY = f"""{CLEAN}, {_POA_OF}, po AS (SELECT ts, {POA_TOTAL} AS poa FROM x),
+  ra AS (SELECT cl.*, poa, CASE WHEN ghi > 200 THEN total / (ghi / 1000 * 0.25) END AS r_ghi,
+    CASE WHEN poa > 200 THEN total / (poa / 1000 * 0.25) END AS r_poa, CASE WHEN ghi > 200 THEN total / ghi END AS y
+    FROM cl JOIN po USING (ts)),
+  {fit_sql('fg', 'ra', 'r_ghi')}, {fit_sql('fp', 'ra', 'r_poa')},
+  yq AS (SELECT ts, {_known('y').format(q=0.5)} AS y30 FROM ra WINDOW w AS (ORDER BY ts {_BACK})),
+  cap AS (SELECT ra.*, fg.fit AS cap_ghi, fp.fit AS cap_poa, last_value(y30 IGNORE NULLS) OVER (ORDER BY ts) AS y30
+    FROM ra JOIN yq USING (ts) LEFT JOIN fg USING (ts) LEFT JOIN fp USING (ts))"""
+
+
+@query(
+    "capacity",
+    f"""WITH {CAPACITY} SELECT ts AS utc_timestamp, {q6('cap_ghi', 4)} AS estimated_solar_capacity_ghi,
+    {q6('cap_poa', 4)} AS estimated_solar_capacity_poa, {q6('y30', 11)} AS solar_yield_30d FROM cap""",
+)
 def capacity(spark: Spark, sf: str) -> Frame:
     """Capacity by both irradiances and the median yield."""
     out = estimate_capacity(add_poa_irradiance(materialise(clean_table(spark, sf))), UTC)
-    made = ["estimated_solar_capacity_ghi", "estimated_solar_capacity_poa", "solar_yield_30d"]
-    return out.select("utc_timestamp", *(r6(c).alias(c) for c in made))
+    made = {"estimated_solar_capacity_ghi": 4, "estimated_solar_capacity_poa": 4, "solar_yield_30d": 11}
+    return out.select("utc_timestamp", *(r6(c, digits).alias(c) for c, digits in made.items()))
+
 
+_METHODS = {"ghi": "cap_ghi * (ghi / 1000 * 0.25)", "eta": "fe.fit * em * (ghi / 1000 * 0.25)", "poa": "cap_poa * (poa / 1000 * 0.25)", "yield": "y30 * ghi"}
+_WITHIN = "OVER (ORDER BY ts ROWS BETWEEN 95 PRECEDING AND CURRENT ROW)"
 
-@query("production_errors")
+
+@query(
+    "production_errors",
+    f"""WITH {CAPACITY}, mo AS (SELECT month(ts) AS month, quantile_cont(total / (cap_ghi * ghi / 1000 * 0.25), 0.5) AS em FROM cap
+      WHERE ghi > 200 AND cap_ghi IS NOT NULL GROUP BY 1),
+    wm AS (SELECT cap.*, em, CASE WHEN em IS NOT NULL AND ghi > 200 THEN total / (em * ghi / 1000 * 0.25) END AS r_eta
+      FROM cap LEFT JOIN mo ON month(cap.ts) = mo.month),
+    {fit_sql('fe', 'wm', 'r_eta')},
+    pr AS (SELECT ts, total, {", ".join(f"{e} AS pred_{m}" for m, e in _METHODS.items())} FROM wm LEFT JOIN fe USING (ts)),
+    kn AS (SELECT * FROM pr WHERE {" AND ".join(f"pred_{m} IS NOT NULL" for m in _METHODS)} AND total IS NOT NULL)
+    SELECT ts AS utc_timestamp, {q6('total', 11)} AS solar_total, {", ".join(f"{q6(f'pred_{m}', 4)} AS pred_{m}" for m in _METHODS)},
+      {", ".join(f"{q6(f'pred_{m} - total', 4)} AS err_{m}" for m in _METHODS)},
+      {", ".join(q6(f'CASE WHEN count(*) {_WITHIN} >= 96 THEN avg(abs(pred_{m} - total)) {_WITHIN} END', 4) + f' AS mae_{m}' for m in _METHODS)}
+    FROM kn""",
+)
 def production_errors_query(spark: Spark, sf: str) -> Frame:
     """Production rebuilt by four methods, with a second capacity pass by month."""
-    return production_errors(add_poa_irradiance(materialise(clean_table(spark, sf))), UTC)
+    out = production_errors(add_poa_irradiance(materialise(clean_table(spark, sf))), UTC)
+    made = [c for c in out.columns if c.startswith(("pred_", "err_", "mae_"))]
+    return out.select("utc_timestamp", r6("solar_total", 11).alias("solar_total"), *(r6(c, 4).alias(c) for c in made))
 
 
 @query("featured_table")
@@ -78,7 +146,13 @@ def featured_table(spark: Spark, sf: str) -> Frame:
     return build_features(materialise(clean_table(spark, sf)), UTC)
 
 
-@query("prepared_baselines")
+@query(
+    "prepared_baselines",
+    f"""WITH {CLEAN}, p AS (SELECT ts, load, forecast_load, lag(load, 672) OVER (ORDER BY ts) AS past FROM cl),
+    t AS (SELECT * FROM p WHERE ts >= TIMESTAMP '2024-01-23'),
+    e AS (SELECT 'persistence' AS model, load - past AS d FROM t UNION ALL SELECT 'operator', load - forecast_load FROM t)
+    SELECT model, {q6('avg(abs(d))', 4)} AS MAE, {q6('sqrt(avg(d * d))', 4)} AS RMSE FROM e GROUP BY 1""",
+)
 def prepared_baselines(spark: Spark, sf: str) -> Frame:
     """Features, split, warm-up, then the two baselines on the test rows."""
     split = split_prepared(feature_table(spark, sf), UTC, datetime(2024, 1, 20), 3)
@@ -127,6 +201,42 @@ def ridge_cv_query(spark: Spark, sf: str) -> Frame:
     return spark.createDataFrame(rows, "place int, score double").select("place", r6("score").alias("mean_r2"))
 
 
+def _two(name: str) -> str:
+    return f"(l_{name} - avg(l_{name}) OVER ()) / stddev_pop(l_{name}) OVER ()"
+
+
+_SUMS = """count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, regr_sxx(y, a) AS saa, regr_sxx(y, b) AS sbb,
+      covar_pop(a, b) * count(*) AS sab, regr_sxy(y, a) AS say, regr_sxy(y, b) AS sby"""
+
+
+def _solved(source: str, by: str) -> str:
+    det = "((saa + alpha) * (sbb + alpha) - sab * sab)"
+    return f"""SELECT {by}, alpha, (say * (sbb + alpha) - sby * sab) / {det} AS ca, (sby * (saa + alpha) - say * sab) / {det} AS cb,
+      ma, mb, my FROM {source} CROSS JOIN (VALUES {_ALPHAS}) AS al(place, alpha)"""
+
+
+@query(
+    "ridge_two_features",
+    f"""WITH z AS (SELECT {_two('quantity')} AS a, {_two('discount')} AS b, l_extendedprice AS y, row_number() OVER (
+      ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS i, count(*) OVER () AS n FROM lineitem),
+    f AS (SELECT a, b, y, CAST(CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
+      ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM z),
+    t AS (SELECT k, {_SUMS} FROM f JOIN generate_series(0, 4) AS g(k) ON fold <> k GROUP BY 1),
+    c AS ({_solved('t', 'k, place')}),
+    r AS (SELECT place, k, 1 - sum((y - my - ca * (a - ma) - cb * (b - mb)) ** 2) / (var_pop(y) * count(*)) AS r2
+      FROM c JOIN f ON fold = k GROUP BY 1, 2),
+    best AS (SELECT place FROM (SELECT place, avg(r2) AS m FROM r GROUP BY 1) ORDER BY m DESC, place LIMIT 1),
+    w AS (SELECT 1 AS one, {_SUMS} FROM f), o AS ({_solved('w', 'one, place')})
+    SELECT 'l_quantity' AS feature, {q6('ca')} AS coefficient FROM o JOIN best USING (place)
+    UNION ALL SELECT 'l_discount', {q6('cb')} FROM o JOIN best USING (place)""",
+)
+def ridge_two_features(spark: Spark, sf: str) -> Frame:
+    """Standardised coefficients of a ridge with two features at the penalty that cross-validation chooses."""
+    names = ["l_quantity", "l_discount"]
+    fit = ridge_cv(table(spark, sf, "lineitem"), LINES, names, "l_extendedprice")
+    return rank_coefficients(spark, names, fit.coefficients, 2).select("feature", r6("coefficient").alias("coefficient"))
+
+
 @query("ridge_coefficients")
 def ridge_coefficients(spark: Spark, sf: str) -> Frame:
     """Largest standardised coefficients of a ridge with several features."""

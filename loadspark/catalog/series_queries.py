@@ -611,7 +611,7 @@ def isotonic_daily(spark: Spark, sf: str) -> Frame:
 
 
 _PHI, _BETA = "radians(46.23)", "radians(30)"
-_POA = f"""a AS (SELECT ts, ghi, 2 * pi() * (dayofyear(ts) - 1) / 365 AS b,
+POA_SQL = f"""a AS (SELECT ts, ghi, 2 * pi() * (dayofyear(ts) - 1) / 365 AS b,
     hour(ts) + minute(ts) / 60 + second(ts) / 3600 AS h FROM s15),
   e AS (SELECT *, 0.006918 - 0.399912 * cos(b) + 0.070257 * sin(b) - 0.006758 * cos(2 * b) + 0.000907 * sin(2 * b)
       - 0.002697 * cos(3 * b) + 0.00148 * sin(3 * b) AS decl,
@@ -624,6 +624,8 @@ _POA = f"""a AS (SELECT ts, ghi, 2 * pi() * (dayofyear(ts) - 1) / 365 AS b,
   d AS (SELECT *, cz >= cos(radians(87)) AS up, ghi * CASE WHEN kt <= 0.22 THEN 1 - 0.09 * kt WHEN kt <= 0.8 THEN
     0.9511 - 0.1604 * kt + 4.388 * kt ** 2 - 16.638 * kt ** 3 + 12.336 * kt ** 4 ELSE 0.165 END AS part FROM k),
   x AS (SELECT *, CASE WHEN up THEN part ELSE ghi END AS dhi, CASE WHEN up THEN (ghi - part) / cz ELSE 0 END AS dni FROM d)"""
+POA_TOTAL = f"""greatest(0, greatest(dni, 0) * greatest(ci, 0)
+      + greatest(dhi, 0) * (1 + cos({_BETA})) / 2 + ghi * 0.25 * (1 - cos({_BETA})) / 2)"""
 
 
 @query(
@@ -649,8 +651,7 @@ def capacity_curve(spark: Spark, sf: str) -> Frame:
 
 @query(
     "poa_irradiance",
-    f"""WITH {S15}, {_POA} SELECT ts, {q6(f'''greatest(0, greatest(dni, 0) * greatest(ci, 0)
-      + greatest(dhi, 0) * (1 + cos({_BETA})) / 2 + ghi * 0.25 * (1 - cos({_BETA})) / 2)''')} AS poa FROM x""",
+    f"""WITH {S15}, {POA_SQL} SELECT ts, {q6(POA_TOTAL)} AS poa FROM x""",
 )
 def poa_irradiance_query(spark: Spark, sf: str) -> Frame:
     grid = series15(spark, sf).select("ts", "ghi")

@@ -29,10 +29,11 @@ def r6(c: str | Column, digits: int = 6) -> Column:
     return F.rint((F.col(c) if isinstance(c, str) else c) * 10.0**digits) / 10.0**digits + 0.0
 
 
-def day_curve(ts: str = "ts") -> Column:
-    """A clear-sky like curve of the time of day, standing in for irradiance."""
+def day_curve(ts: str = "ts", load: str = "load") -> Column:
+    """Standing in for irradiance: a clear-sky like curve of the time of day under clouds that the load makes thinner."""
     wave = F.sin((F.hour(ts) + F.minute(ts) / 60 - 6) * math.pi / 12)
-    return F.when(wave > 0, wave).otherwise(0.0) * 900
+    clear = F.lit(0.5) + F.least(F.coalesce(F.col(load), F.lit(0.0)) / 500, F.lit(1.0)) * 0.5
+    return F.when(wave > 0, wave).otherwise(0.0) * 900 * clear
 
 
 def _aggs() -> dict[str, Column]:
@@ -104,7 +105,7 @@ def q6(expr: str, digits: int = 6) -> str:
     return f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END"
 
 
-def _grid(step: str) -> str:
+def grid_sql(step: str) -> str:
     return (
         "SELECT unnest(generate_series("
         "(SELECT CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) FROM events), "
@@ -115,18 +116,23 @@ def _grid(step: str) -> str:
 
 _SQL_AGGS = """avg(value) AS load, avg(value) FILTER (WHERE event_type = 'view') AS forecast_load,
     sum(value) FILTER (WHERE event_type = 'click') AS solar_remote"""
-_SQL_CURVE = "900 * greatest(0, sin(pi() * (hour(ts) + minute(ts) / 60 - 6) / 12)) AS ghi"
+def sql_curve(ts: str = "ts", load: str = "a.load") -> str:
+    wave = f"greatest(0, sin(pi() * (hour({ts}) + minute({ts}) / 60 - 6) / 12))"
+    return f"900 * {wave} * (0.5 + 0.5 * least(1, coalesce({load}, 0) / 500)) AS ghi"
+
+
+_SQL_CURVE = sql_curve()
 
 S15 = f"""s15 AS (
   SELECT ts, a.load, a.forecast_load, a.solar_remote, {_SQL_CURVE}
-  FROM ({_grid('15 MINUTE')}) LEFT JOIN (
+  FROM ({grid_sql('15 MINUTE')}) LEFT JOIN (
     SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, {_SQL_AGGS} FROM events GROUP BY 1) a USING (ts))"""
 
 
 def _keyed(name: str, key: str, expr: str) -> str:
     return f"""{name} AS (
   SELECT {key}, ts, a.load, a.forecast_load, a.solar_remote, {_SQL_CURVE}
-  FROM (SELECT DISTINCT {expr} AS {key} FROM events) CROSS JOIN ({_grid('1 HOUR')}) LEFT JOIN (
+  FROM (SELECT DISTINCT {expr} AS {key} FROM events) CROSS JOIN ({grid_sql('1 HOUR')}) LEFT JOIN (
     SELECT {expr} AS {key}, time_bucket(INTERVAL 1 HOUR, ts) AS ts, {_SQL_AGGS} FROM events GROUP BY 1, 2) a
     USING ({key}, ts))"""
 
