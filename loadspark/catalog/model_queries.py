@@ -28,6 +28,7 @@ from loadspark.operators.models import (
 )
 from loadspark.operators.reshape import SOLAR_COLUMNS, model_features
 from loadspark.operators.split import holdout_mask
+from loadspark.operators.trees import fit_leafwise
 from loadspark.plans.prepare import build_features, split_prepared
 from loadspark.plans.train import evaluate, predictions
 from loadspark.series import SeriesSpec, resample
@@ -272,6 +273,17 @@ def gbt_importance(spark: Spark, sf: str) -> Frame:
     return rank_importance(spark, model, names, 5)
 
 
+@query("gbt_leafwise")
+def gbt_leafwise(spark: Spark, sf: str) -> Frame:
+    """Hold-out error of trees grown by leaf with both penalties, and the error before the first tree."""
+    rows, spec, names = _daily_features(spark, sf)
+    masked = materialise(holdout_mask(rows, spec, 200))
+    more = {"n_estimators": 10, "num_leaves": 16, "learning_rate": 0.2, "reg_alpha": 0.1, "reg_lambda": 1.0}
+    model = fit_leafwise(masked, names, "load", "is_val", **more)
+    pred = predictions({"gbt": model}, masked.where("is_val"), spec)
+    return error_metrics(pred).withColumn("mae_of_median", F.lit(model.errors[0])).withColumn("trees", F.lit(len(model.trees)))
+
+
 @query("random_search")
 def random_search_query(spark: Spark, sf: str) -> Frame:
     """Two draws on two expanding folds."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
@@ -19,6 +19,7 @@ from pyspark.storagelevel import StorageLevel
 
 from loadspark.operators.fills import fill_both
 from loadspark.operators.split import expanding_folds
+from loadspark.operators.trees import LeafwiseModel
 from loadspark.series import SeriesSpec, rows_at
 from loadspark.session import ensure_checkpoint_dir
 
@@ -236,9 +237,11 @@ def gbt_estimator(label: str, val_col: str | None, seed: int = 42, **params) ->
     """Gradient-boosted trees with absolute loss, given leaf-count style parameters.
 
     Trees here grow by depth: `num_leaves` becomes the depth that holds as many leaves. Spark's learner has no L1/L2
-    leaf penalty, so `reg_alpha` and `reg_lambda` are accepted in a parameter set and not used.
+    leaf penalty: `reg_alpha` and `reg_lambda` other than 0 are refused. `trees.fit_leafwise` grows by leaf and has both.
     """
     p = {**GBT_DEFAULTS, **params}
+    if p.get("reg_alpha") or p.get("reg_lambda"):
+        raise ValueError("these trees have no leaf penalties; fit_leafwise has")
     depth = max(1, int(np.ceil(np.log2(p["num_leaves"]))))
     if depth > MAX_DEPTH:
         raise ValueError(f"num_leaves={p['num_leaves']} needs trees of depth {depth}; {MAX_DEPTH} is the most there is")
@@ -326,6 +329,10 @@ SEARCH_SPACE = {
 }
 
 
+# Leaf penalties, for trees that have them.
+LEAFWISE_SPACE = {**SEARCH_SPACE, "reg_alpha": (1e-8, 10.0, "log"), "reg_lambda": (1e-8, 10.0, "log")}
+
+
 def draw_params(space: Mapping[str, tuple], rng: random.Random) -> dict[str, float]:
     out: dict[str, float] = {}
     for name, (low, high, scale) in space.items():
@@ -353,8 +360,9 @@ def random_search(
     horizon_days: int = 90,
     n_estimators: int = 2000,
     parallel: int = 2,
+    fit: Callable = fit_gbt,
 ) -> DataFrame:
-    """Seeded random search: each draw is fitted and scored on every expanding fold.
+    """Seeded random search: each draw is fitted by `fit` (`fit_gbt` or `fit_leafwise`) and scored on every expanding fold.
 
     Returns one row per (trial, fold) with the validation MAE and the trial's mean. Fits are Spark jobs, started
     from a few threads so that small folds keep the cluster busy.
@@ -367,7 +375,7 @@ def random_search(
     def run(job: tuple[int, int]) -> tuple[int, int, float]:
         trial, fold = job
         rows = folds.where(F.col("fold") == fold)
-        model = fit_gbt(rows, features, label, "is_val", seed, n_estimators=n_estimators, **trials[trial])
+        model = fit(rows, features, label, "is_val", seed, n_estimators=n_estimators, **trials[trial])
         scored = model.transform(rows.where("is_val").withColumns({c: F.col(c).cast("double") for c in features}))
         error = scored.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).head()[0]
         return trial, fold, error
@@ -397,9 +405,11 @@ def best_params(trials: DataFrame) -> dict[str, float]:
 
 
 def refit_best(
-    train: DataFrame, trials: DataFrame, features: Sequence[str], label: str = "load", val_col: str = "is_val", **params
-) -> PipelineModel:
-    return fit_gbt(train, features, label, val_col, **{**best_params(trials), **params})
+    train: DataFrame, trials: DataFrame, features: Sequence[str], label: str = "load", val_col: str = "is_val",
+    fit: Callable = fit_gbt, **params,
+) -> PipelineModel | LeafwiseModel:
+    """The best trial's parameters, fitted on the whole training table."""
+    return fit(train, features, label, val_col, **{**best_params(trials), **params})
 
 
 def rank_coefficients(spark: SparkSession, features: Sequence[str], coefficients: Sequence[float], k: int = 20) -> DataFrame:
@@ -409,9 +419,14 @@ def rank_coefficients(spark: SparkSession, features: Sequence[str], coefficients
     return table.orderBy(F.desc(F.abs("coefficient")), "feature").limit(k)
 
 
-def rank_importance(spark: SparkSession, model: PipelineModel, features: Sequence[str], k: int = 20) -> DataFrame:
+def rank_importance(
+    spark: SparkSession, model: PipelineModel | LeafwiseModel, features: Sequence[str], k: int = 20
+) -> DataFrame:
     """The `k` features whose splits reduced the error most."""
-    gains = model.stages[-1].featureImportances.toArray()
+    if isinstance(model, LeafwiseModel):
+        gains = [model.gains()[f] for f in features]
+    else:
+        gains = model.stages[-1].featureImportances.toArray()
     rows = [(f, float(g)) for f, g in zip(features, gains)]
     table = spark.createDataFrame(rows, "feature string, gain double")
     return table.orderBy(F.desc("gain"), "feature").limit(k)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from loadspark.operators.metrics import compare_models, error_metrics, long_predictions
 from loadspark.operators.models import (
+    LEAFWISE_SPACE,
+    SEARCH_SPACE,
     RidgeFit,
     best_params,
     fit_gbt,
@@ -19,9 +21,11 @@ from loadspark.operators.models import (
     save_model,
 )
 from loadspark.operators.split import holdout_mask
+from loadspark.operators.trees import LeafwiseModel, fit_leafwise
 from loadspark.series import SeriesSpec
 from loadspark.sources.prepared import write_json, write_trials
 
+GROWERS = {"depth": fit_gbt, "leaf": fit_leafwise}
 # Starts of the four quarterly validation folds.
 FOLD_STARTS = [datetime(2023, 10, 1), datetime(2024, 1, 1), datetime(2024, 4, 1), datetime(2024, 7, 1)]
 
@@ -45,14 +49,17 @@ def train_gbt(
     label: str = "load",
     holdout_days: int = 90,
     params: Mapping[str, float] | None = None,
-) -> tuple[PipelineModel, DataFrame]:
+    grower: str = "depth",
+) -> tuple[PipelineModel | LeafwiseModel, DataFrame]:
     """Boosted trees with early stopping on the last `holdout_days`; reports the hold-out error.
 
-    With `params` this is the refit of a tuned model.
+    With `params` this is the refit of a tuned model. `grower`: by `depth` (Spark's trees) or by `leaf`.
     """
     ready = holdout_mask(prepare_features(train, spec, features, label), spec, holdout_days)
-    model = fit_gbt(ready, features, label, "is_val", **dict(params or {}))
-    if path:
+    model = GROWERS[grower](ready, features, label, "is_val", **dict(params or {}))
+    if path and isinstance(model, LeafwiseModel):
+        model.save(train.sparkSession, path)
+    elif path:
         save_model(model, path)
     return model, error_metrics(predictions({"gbt": model}, ready.where("is_val"), spec, label))
 
@@ -67,12 +74,14 @@ def tune_gbt(
     splits: Sequence[datetime] = tuple(FOLD_STARTS),
     seed: int = 42,
     n_estimators: int = 2000,
+    grower: str = "depth",
 ) -> tuple[dict[str, float], DataFrame]:
-    """Search, then store the best parameters and the trial history."""
+    """Search, then store the best parameters and the trial history. Trees grown by `leaf` have seven parameters."""
     ready = prepare_features(train, spec, features, label)
     trials = random_search(
-        ready, spec, features, splits, label, n_trials=n_trials, seed=seed, n_estimators=n_estimators
-    )
+        ready, spec, features, splits, label, LEAFWISE_SPACE if grower == "leaf" else SEARCH_SPACE, n_trials, seed,
+        n_estimators=n_estimators, fit=GROWERS[grower],
+    )
     best = best_params(trials)
     if out_dir:
         write_json(train.sparkSession, best, f"{out_dir}/best_params")
@@ -80,7 +89,7 @@ def tune_gbt(
     return best, trials
 
 
-def predictions(models: Mapping[str, PipelineModel], df: DataFrame, spec: SeriesSpec, label: str = "load") -> DataFrame:
+def predictions(models: Mapping[str, PipelineModel | LeafwiseModel], df: DataFrame, spec: SeriesSpec, label: str = "load") -> DataFrame:
     """Score with every model: rows (model, ts, y_true, y_pred)."""
     parts = []
     for name, model in models.items():

@@ -180,7 +180,9 @@ def test_trees_take_missing_features(data):
 
 
 def test_parameter_mapping():
-    est = gbt_estimator("y", "v", num_leaves=63, min_child_samples=20, bagging_fraction=0.7, reg_lambda=0.1)
+    est = gbt_estimator("y", "v", num_leaves=63, min_child_samples=20, bagging_fraction=0.7)
+    with pytest.raises(ValueError, match="penalties"):
+        gbt_estimator("y", "v", reg_lambda=0.1)
     assert (est.getMaxDepth(), est.getMinInstancesPerNode(), est.getSubsamplingRate()) == (6, 20, 0.7)
     assert est.getLossType() == "absolute" and est.getValidationIndicatorCol() == "v"
     assert gbt_estimator("y", None, num_leaves=255).getMaxDepth() == 8
@@ -256,3 +258,18 @@ def test_more_leaves_are_deeper_trees():
     assert gbt_estimator("y", None, num_leaves=8192).getMaxDepth() == 13
     with pytest.raises(ValueError, match="num_leaves"):
         gbt_estimator("y", None, num_leaves=2**31)
+
+
+def test_leaf_grown_trees_in_training_and_search(spark, data, tmp_path):
+    from loadspark.operators.models import LEAFWISE_SPACE, refit_best
+    from loadspark.operators.trees import LeafwiseModel, fit_leafwise
+
+    df, _ = data
+    model, error = train_gbt(df, SPEC, FEATURES, str(tmp_path / "leaf"), holdout_days=2, params={"n_estimators": 2, "num_leaves": 4}, grower="leaf")
+    assert LeafwiseModel.load(spark, str(tmp_path / "leaf")) == model and error.head().mae > 0
+    best, trials = tune_gbt(
+        df, SPEC, FEATURES, n_trials=1, splits=[datetime(2024, 1, 6)], n_estimators=1, grower="leaf"
+    )
+    assert set(best) == set(LEAFWISE_SPACE) and trials.head().mae > 0
+    again = refit_best(holdout_mask(df, SPEC, 2), trials, FEATURES, fit=fit_leafwise, n_estimators=1, num_leaves=4)
+    assert len(again.trees) <= 1
