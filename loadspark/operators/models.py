@@ -21,7 +21,7 @@ from loadspark.operators.fills import fill_both
 from loadspark.operators.split import expanding_folds
 from loadspark.operators.trees import LeafwiseModel
 from loadspark.series import SeriesSpec, rows_at
-from loadspark.session import ensure_checkpoint_dir
+from loadspark.session import ensure_checkpoint_dir, materialise
 
 GAP_COLUMN = "solar_remote_yield_ratio"
 # 20 penalties evenly spaced on a log scale from 1e-2 to 1e3.
@@ -116,13 +116,15 @@ class Moments:
         return float(1 - (weights @ self.cross @ weights + self.n * bias**2) / self.cross[p, p])
 
 
-SUMS_SCHEMA = "fold int, n double, sums array<double>, products array<double>"
-TREE_SLOTS = 64
+SUMS_SCHEMA = "fold int, slot int, n double, sums array<double>, products array<double>"
+#: Matrices that one task adds up at once.
+FAN_IN = 32
 
 
 def _add_sums(parts: pd.DataFrame) -> pd.DataFrame:
     total = {c: np.sum(np.stack(parts[c].to_numpy()), axis=0) for c in ("sums", "products")}
-    return pd.DataFrame({"fold": [parts["fold"].iat[0]], "n": [parts["n"].sum()], **{c: [v] for c, v in total.items()}})
+    head = {"fold": [parts["fold"].iat[0]], "slot": [parts["slot"].min() // FAN_IN]}
+    return pd.DataFrame({**head, "n": [parts["n"].sum()], **{c: [v] for c, v in total.items()}})
 
 
 def fold_moments(
@@ -130,8 +132,8 @@ def fold_moments(
 ) -> dict[int, Moments]:
     """Moments per fold of the columns after centring and scaling, in one pass over the rows.
 
-    Every task reduces its rows to one sum and one product matrix per fold; these are added in two levels, so no task
-    receives more than a share of them and the driver gets one matrix per fold.
+    Every task reduces its rows to one sum and one product matrix per fold; these are added in rounds, FAN_IN at a time, so a
+    task's memory does not grow with their number and the driver gets one matrix per fold.
     """
     cols = list(cols)
 
@@ -147,15 +149,18 @@ def fold_moments(
                 total[int(f)] = part if old is None else [a + b for a, b in zip(old, part)]
         if total:
             n, sums, products = zip(*total.values())
-            yield pd.DataFrame({"fold": list(total), "n": np.array(n, dtype=float), "sums": sums, "products": products})
+            yield pd.DataFrame(
+                {"fold": list(total), "slot": 0, "n": np.array(n, dtype=float), "sums": sums, "products": products}
+            )
 
     partial = df.select(fold, *cols).mapInPandas(reduce_rows, SUMS_SCHEMA)
-    slotted = partial.withColumn("slot", F.spark_partition_id() % TREE_SLOTS)
-    halfway = slotted.groupBy("fold", "slot").applyInPandas(
-        lambda p: _add_sums(p.drop(columns="slot")), SUMS_SCHEMA
-    )
+    partial = materialise(partial.withColumn("slot", F.spark_partition_id()))
+    slots = (partial.agg(F.max("slot")).first()[0] or 0) + 1
+    while slots > FAN_IN:
+        partial = partial.groupBy("fold", F.expr(f"slot div {FAN_IN}").alias("above")).applyInPandas(_add_sums, SUMS_SCHEMA)
+        slots = -(-slots // FAN_IN)
     out = {}
-    for row in halfway.groupBy("fold").applyInPandas(_add_sums, SUMS_SCHEMA).collect():
+    for row in partial.groupBy("fold").applyInPandas(_add_sums, SUMS_SCHEMA).collect():
         mean = np.asarray(row["sums"]) / row["n"]
         products = np.asarray(row["products"]).reshape(len(cols), len(cols))
         out[row["fold"]] = Moments(row["n"], mean, products - row["n"] * np.outer(mean, mean))
@@ -201,7 +206,8 @@ def ridge_cv(
         *spec.keys, spec.ts, *spec.tie, *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols))
     )
     names = [f"_x{i}" for i in range(len(cols))]
-    known = typed.where(" and ".join(f"{c} is not null" for c in names))
+    # Read by five passes: means, counts of the search for folds, moments.
+    known = materialise(typed.where(" and ".join(f"{c} is not null" for c in names)))
     stats = known.agg(*(F.avg(c) for c in names), *(F.stddev_pop(c) for c in names)).head()
     if stats is None or stats[0] is None:
         raise ValueError("no complete training row")

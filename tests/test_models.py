@@ -273,3 +273,18 @@ def test_leaf_grown_trees_in_training_and_search(spark, data, tmp_path):
     assert set(best) == set(LEAFWISE_SPACE) and trials.head().mae > 0
     again = refit_best(holdout_mask(df, SPEC, 2), trials, FEATURES, fit=fit_leafwise, n_estimators=1, num_leaves=4)
     assert len(again.trees) <= 1
+
+
+def test_moments_of_many_partitions_are_added_in_rounds(spark, monkeypatch):
+    import loadspark.operators.models as models
+
+    monkeypatch.setattr(models, "FAN_IN", 3)
+    df = spark.range(4000).select(
+        (F.col("id") % 2).cast("int").alias("fold"), (F.col("id") % 17).cast("double").alias("a"), F.col("id").cast("double").alias("b")
+    ).repartition(40)
+    got = models.fold_moments(df, ["a", "b"], np.zeros(2), np.ones(2))
+    pdf = df.toPandas()
+    for fold, part in pdf.groupby("fold"):
+        assert got[fold].n == len(part)
+        np.testing.assert_allclose(got[fold].mean, part[["a", "b"]].mean())
+        np.testing.assert_allclose(got[fold].cross, np.cov(part[["a", "b"]].T, ddof=0) * len(part), rtol=1e-9)
