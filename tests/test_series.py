@@ -306,3 +306,26 @@ def test_positions_are_found_by_counting(spark, monkeypatch, instants):
     assert {p: r["i"] for p, r in rows_at(df, ["ts", "k", "i"], wanted).items()} == {p: order[p] for p in wanted}
     with pytest.raises(ValueError):
         rows_at(df, ["ts", "k", "i"], [6000])
+
+
+@pytest.mark.parametrize("q", [0.0, 0.37, 0.5, 0.9, 1.0])
+@pytest.mark.parametrize("accuracy", [20000, 3])
+def test_quantiles_are_narrowed_by_counting(spark, monkeypatch, q, accuracy):
+    """Smooth, two-humped, constant and far-flung values, with fences that miss and hardly any rows sorted at once."""
+    import loadspark.operators.quantiles as quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", 3)
+    monkeypatch.setattr(quantiles, "BINS", 8)
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.01)
+    rng = np.random.default_rng(7)
+    parts = {
+        "smooth": rng.normal(size=301), "humps": np.r_[np.zeros(100), np.full(100, 9.0)], "same": np.full(50, 2.5),
+        "far": np.r_[rng.normal(size=60), [1.7e308, -1.7e308, 1e-300]], "one": np.array([4.0]),
+    }
+    pdf = pd.concat([pd.DataFrame({"g": g, "x": x}) for g, x in parts.items()])
+    got = {r["g"]: r["quantile"] for r in group_quantile(spark.createDataFrame(pdf), ["g"], "x", q).collect()}
+    want = spark.createDataFrame(pdf).groupBy("g").agg(F.percentile("x", q).alias("p")).collect()
+    assert got.keys() == parts.keys()
+    for r in want:
+        assert got[r["g"]] == pytest.approx(r["p"], rel=1e-12, abs=1e-12)
