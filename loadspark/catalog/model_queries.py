@@ -8,13 +8,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadspark.catalog.registry import query
-from loadspark.catalog.series_queries import POA_SQL, POA_TOTAL
-from loadspark.catalog.views import daily_orders, day_curve, grid_sql, q6, r6, sql_curve, table
+from loadspark.catalog.series_queries import POA_SQL, POA_TOTAL, YIELD_SQL, lag_sql
+from loadspark.catalog.views import HOLIDAYS, daily_orders, day_curve, grid_sql, q6, r6, sql_curve, table
 from loadspark.functions.calendar import add_cyclical, add_temporal, utc_to_local
 from loadspark.functions.solar import add_poa_irradiance
 from loadspark.operators.capacity import GHI, estimate_capacity, production_errors
 from loadspark.operators.fills import fill_both
-from loadspark.operators.lags import add_lag_features
+from loadspark.operators.lags import LAG_VARIABLES, add_lag_features
 from loadspark.operators.metrics import error_metrics
 from loadspark.operators.models import (
     ALPHAS,
@@ -130,7 +130,7 @@ _WITHIN = "OVER (ORDER BY ts ROWS BETWEEN 95 PRECEDING AND CURRENT ROW)"
     {fit_sql('fe', 'wm', 'r_eta')},
     pr AS (SELECT ts, total, {", ".join(f"{e} AS pred_{m}" for m, e in _METHODS.items())} FROM wm LEFT JOIN fe USING (ts)),
     kn AS (SELECT * FROM pr WHERE {" AND ".join(f"pred_{m} IS NOT NULL" for m in _METHODS)} AND total IS NOT NULL)
-    SELECT ts AS utc_timestamp, {q6('total', 11)} AS solar_total, {", ".join(f"{q6(f'pred_{m}', 4)} AS pred_{m}" for m in _METHODS)},
+    SELECT ts AS utc_timestamp, {q6('total')} AS solar_total, {", ".join(f"{q6(f'pred_{m}', 4)} AS pred_{m}" for m in _METHODS)},
       {", ".join(f"{q6(f'pred_{m} - total', 4)} AS err_{m}" for m in _METHODS)},
       {", ".join(q6(f'CASE WHEN count(*) {_WITHIN} >= 96 THEN avg(abs(pred_{m} - total)) {_WITHIN} END', 4) + f' AS mae_{m}' for m in _METHODS)}
     FROM kn""",
@@ -139,12 +139,42 @@ def production_errors_query(spark: Spark, sf: str) -> Frame:
     """Production rebuilt by four methods, with a second capacity pass by month."""
     out = production_errors(add_poa_irradiance(materialise(clean_table(spark, sf))), UTC)
     made = [c for c in out.columns if c.startswith(("pred_", "err_", "mae_"))]
-    return out.select("utc_timestamp", r6("solar_total", 11).alias("solar_total"), *(r6(c, 4).alias(c) for c in made))
+    return out.select("utc_timestamp", r6("solar_total").alias("solar_total"), *(r6(c, 4).alias(c) for c in made))
 
 
-@query("featured_table")
+_LAGS, _LAG_NAMES = lag_sql("k", "src", "lf", LAG_VARIABLES)
+_DAY = "dayofyear(ts) - 1"
+_TURNS = {"hour": "hour(ts) / 24.0", "dow": "(isodow(ts) - 1) / 7.0", "month": "(month(ts) - 1) / 12.0", "doy": f"({_DAY}) / 366.0"}
+_CALENDAR = """hour(loc) AS local_hour, isodow(loc) AS local_day_of_week, month(loc) AS local_month, dayofyear(loc) AS local_day_of_year,
+      weekofyear(loc) AS local_week_of_year, isodow(loc) > 5 AS local_is_weekend, CAST(loc AS DATE) IN (SELECT hd FROM hol) AS local_is_holiday,
+      NOT isodow(loc) > 5 AND NOT CAST(loc AS DATE) IN (SELECT hd FROM hol) AS local_is_working_day, FALSE AS local_is_summer_time"""
+_RAW = ["load", "forecast_load", *KINDS, "sion_measured_temperature", "sion_measured_global_radiation"]
+_MADE = {
+    "poa_irradiance": "poa", "estimated_solar_capacity_ghi": "cap_ghi", "estimated_solar_capacity_poa": "cap_poa",
+    "solar_yield_30d": "y30", "solar_remote_yield_ratio": "yr.v", GHI: "ghi",
+}
+#: Digits of columns whose values end early, so that no engine rounds a five the other way.
+_DIGITS = {"solar_yield_30d": 11, "estimated_solar_capacity_ghi": 4, "estimated_solar_capacity_poa": 4, **dict.fromkeys(_LAG_NAMES, 8)}
+
+
+@query(
+    "featured_table",
+    f"""WITH {CAPACITY}, {HOLIDAYS.replace("orders", "events").replace("o_orderdate", "ts")},
+    src AS (SELECT 1 AS k, * FROM cap), {_LAGS}, {YIELD_SQL.format(key='k,', src='src')},
+    yr AS (SELECT day, avg(ratio) OVER (ORDER BY day RANGE BETWEEN INTERVAL 31 DAY PRECEDING AND INTERVAL 2 DAY PRECEDING) AS v FROM dy),
+    lo AS (SELECT *, ts + INTERVAL 1 HOUR AS loc FROM cap)
+    SELECT ts AS utc_timestamp, loc AS local_timestamp, {_CALENDAR},
+      {", ".join(f"{q6(c)} AS {c}" for c in _RAW)},
+      {", ".join(f"{q6(e, _DIGITS.get(n, 6))} AS {n}" for n, e in _MADE.items())},
+      {", ".join(q6(f'{fn}({turn} * 2 * pi())') + f' AS utc_{fn}_{n}' for n, turn in _TURNS.items() for fn in ('sin', 'cos'))},
+      {", ".join(f"lf.{n}" for n in _LAG_NAMES)}
+    FROM lo JOIN lf USING (ts) LEFT JOIN yr ON yr.day = CAST(ts AS DATE)""",
+)
 def featured_table(spark: Spark, sf: str) -> Frame:
-    return build_features(materialise(clean_table(spark, sf)), UTC)
+    """All features of the clean table; its month lies in winter time, which the SQL takes for granted."""
+    out = build_features(materialise(clean_table(spark, sf)), UTC)
+    double = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
+    return out.select(*(r6(c, _DIGITS.get(c, 6)).alias(c) if c in double else F.col(c) for c in out.columns))
 
 
 @query(

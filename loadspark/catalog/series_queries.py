@@ -335,11 +335,14 @@ def errors_in_range(spark: Spark, sf: str) -> Frame:
 
 
 _STATS = [f"{v}_daily_{s}" for v in ("load", "solar_remote") for s in ("min", "max", "mean", "std")]
-_DAILY_AGGS = ", ".join(
-    f"{fn}({v}) AS {v}_daily_{s}"
-    for v in ("load", "solar_remote")
-    for s, fn in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_samp"))
-)
+
+
+def _daily_aggs(variables: list[str]) -> str:
+    stats = (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_samp"))
+    return ", ".join(f"{fn}({v}) AS {v}_daily_{s}" for v in variables for s, fn in stats)
+
+
+_DAILY_AGGS = _daily_aggs(["load", "solar_remote"])
 
 
 @query(
@@ -352,8 +355,8 @@ def daily_stats_query(spark: Spark, sf: str) -> Frame:
     return _r(stats.withColumn("day", F.col("day").cast("string")), ["user_id", "day"], _STATS)
 
 
-def _lag_sql(key: str, series: str, name: str) -> tuple[str, list[str]]:
-    variables = ["load", "solar_remote"]
+def lag_sql(key: str, series: str, name: str, variables: list[str]) -> tuple[str, list[str]]:
+    """`name`(key, ts, lag features) in SQL, and the names of the features."""
     week = "OVER (PARTITION BY {0} ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)".format(key)
     weekly = ", ".join(
         [f"avg({v}_daily_{s}) {week} AS {v}_w_{s}" for v in variables for s in ("min", "max", "mean")]
@@ -374,15 +377,15 @@ def _lag_sql(key: str, series: str, name: str) -> tuple[str, list[str]]:
         cv = f"CASE WHEN abs(b.{v}_w_mean) > 1e-10 THEN b.{v}_w_std / abs(b.{v}_w_mean) END"
         picked.append(f"{q6(cv, 8)} AS {v}_cv_week")
         names.append(f"{v}_cv_week")
-    sql = f"""d AS (SELECT {key}, CAST(ts AS DATE) AS day, {_DAILY_AGGS} FROM {series} GROUP BY 1, 2),
-    w AS (SELECT *, {weekly} FROM d), {name} AS (
+    sql = f"""{name}_d AS (SELECT {key}, CAST(ts AS DATE) AS day, {_daily_aggs(variables)} FROM {series} GROUP BY 1, 2),
+    {name}_w AS (SELECT *, {weekly} FROM {name}_d), {name} AS (
     SELECT a.{key}, a.ts, {', '.join(picked)} FROM {series} a
-    LEFT JOIN w b ON b.{key} = a.{key} AND b.day = CAST(a.ts AS DATE) - 2
-    LEFT JOIN w c ON c.{key} = a.{key} AND c.day = CAST(a.ts AS DATE) - 3)"""
+    LEFT JOIN {name}_w b ON b.{key} = a.{key} AND b.day = CAST(a.ts AS DATE) - 2
+    LEFT JOIN {name}_w c ON c.{key} = a.{key} AND c.day = CAST(a.ts AS DATE) - 3)"""
     return sql, names
 
 
-_LAG_SQL, _LAG_NAMES = _lag_sql("user_id", "uh", "lf")
+_LAG_SQL, _LAG_NAMES = lag_sql("user_id", "uh", "lf", ["load", "solar_remote"])
 
 
 @query("lag_features", f"WITH {UH}, {_LAG_SQL} SELECT * FROM lf")
@@ -393,14 +396,14 @@ def lag_features(spark: Spark, sf: str) -> Frame:
     )
 
 
-_YIELD = """dy AS (SELECT {key} CAST(ts AS DATE) AS day, CASE WHEN count(*) FILTER (WHERE ghi > 200) > 0 THEN
+YIELD_SQL = """dy AS (SELECT {key} CAST(ts AS DATE) AS day, CASE WHEN count(*) FILTER (WHERE ghi > 200) > 0 THEN
     coalesce(sum(solar_remote) FILTER (WHERE ghi > 200), 0) / sum(ghi) FILTER (WHERE ghi > 200) END AS ratio
     FROM {src} GROUP BY ALL)"""
 
 
 @query(
     "yield_ratio",
-    f"""WITH {SH}, {_YIELD.format(key='station,', src='sh')}, y AS (SELECT station, day, avg(ratio) OVER (
+    f"""WITH {SH}, {YIELD_SQL.format(key='station,', src='sh')}, y AS (SELECT station, day, avg(ratio) OVER (
       PARTITION BY station ORDER BY day RANGE BETWEEN INTERVAL 31 DAY PRECEDING AND INTERVAL 2 DAY PRECEDING) AS v FROM dy)
     SELECT a.station, a.ts, {q6('y.v')} AS solar_remote_yield_ratio FROM sh a
     LEFT JOIN y ON y.station = a.station AND y.day = CAST(a.ts AS DATE)""",
@@ -412,7 +415,7 @@ def yield_ratio(spark: Spark, sf: str) -> Frame:
 
 @query(
     "yield_ratio_rows",
-    f"""WITH {SH}, {_YIELD.format(key='station,', src='sh')}, j AS (SELECT a.station, a.ts, dy.ratio FROM sh a
+    f"""WITH {SH}, {YIELD_SQL.format(key='station,', src='sh')}, j AS (SELECT a.station, a.ts, dy.ratio FROM sh a
       LEFT JOIN dy ON dy.station = a.station AND dy.day = CAST(a.ts AS DATE))
     SELECT station, ts, {q6('avg(ratio) OVER (PARTITION BY station ORDER BY ts ROWS BETWEEN 31 PRECEDING AND 2 PRECEDING)')}
       AS solar_remote_yield_ratio FROM j""",

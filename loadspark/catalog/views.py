@@ -32,7 +32,7 @@ def r6(c: str | Column, digits: int = 6) -> Column:
 def day_curve(ts: str = "ts", load: str = "load") -> Column:
     """Standing in for irradiance: a clear-sky like curve of the time of day under clouds that the load makes thinner."""
     wave = F.sin((F.hour(ts) + F.minute(ts) / 60 - 6) * math.pi / 12)
-    clear = F.lit(0.5) + F.least(F.coalesce(F.col(load), F.lit(0.0)) / 500, F.lit(1.0)) * 0.5
+    clear = F.lit(0.5) + F.least(F.coalesce(F.col(load), F.lit(0.0)) / 511, F.lit(1.0)) * 0.5
     return F.when(wave > 0, wave).otherwise(0.0) * 900 * clear
 
 
@@ -118,7 +118,7 @@ _SQL_AGGS = """avg(value) AS load, avg(value) FILTER (WHERE event_type = 'view')
     sum(value) FILTER (WHERE event_type = 'click') AS solar_remote"""
 def sql_curve(ts: str = "ts", load: str = "a.load") -> str:
     wave = f"greatest(0, sin(pi() * (hour({ts}) + minute({ts}) / 60 - 6) / 12))"
-    return f"900 * {wave} * (0.5 + 0.5 * least(1, coalesce({load}, 0) / 500)) AS ghi"
+    return f"900 * {wave} * (0.5 + 0.5 * least(1, coalesce({load}, 0) / 511)) AS ghi"
 
 
 _SQL_CURVE = sql_curve()
