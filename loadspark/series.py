@@ -301,14 +301,22 @@ def beside(
 
 
 def resample(
-    df: DataFrame, spec: SeriesSpec, aggs: Mapping[str, Column], complete: bool = True, whole_days: bool = True
+    df: DataFrame,
+    spec: SeriesSpec,
+    aggs: Mapping[str, Column],
+    complete: bool = True,
+    whole_days: bool = True,
+    span: str = "common",
 ) -> DataFrame:
-    """Aggregate raw rows to the grid of `spec`; with `complete`, every key gets every step of the common span.
+    """Aggregate raw rows to the grid of `spec`; with `complete`, every key gets every step of the span.
 
-    Rows are aggregated before they are shuffled, so a hot step costs no more than any other. Empty steps are added
-    after the last shuffle: only key-days are joined, and each day's missing steps are exploded beside the present
-    ones. The span is one scalar subquery; a day holds at most one entry per step.
+    The `common` span reaches from the first to the last row of all keys; with `key` each has its own, so that one wrong date
+    costs one key. Rows are read once and aggregated before they are shuffled, so a hot step costs no more than any other; the
+    aggregates, a row per key and day with at most one entry per step, are stored, and give the keys and the span. Empty steps are
+    added after the last shuffle: only key-days are joined, and each day's missing steps are exploded beside the present ones.
     """
+    if span not in ("common", "key"):
+        raise ValueError("span is common or key")
     timed = df.where(F.col(spec.ts).isNotNull())
     out = timed.withColumn(spec.ts, step_start(spec.ts, spec.step)).groupBy(*spec.keys, spec.ts).agg(*(c.alias(n) for n, c in aggs.items()))
     if not complete:
@@ -318,10 +326,19 @@ def resample(
         raise ValueError("a complete grid needs a step of whole seconds that divides a day")
     second = F.hour(spec.ts) * 3600 + F.minute(spec.ts) * 60 + F.second(spec.ts)
     present = out.groupBy(*spec.keys, F.to_date(spec.ts).alias("_day")).agg(
-        F.collect_list(F.struct((second / step).cast("int").alias("i"), *aggs)).alias("_steps")
+        F.collect_list(F.struct((second / step).cast("int").alias("i"), *aggs)).alias("_steps"),
+        F.min(spec.ts).alias("_first"),
+        F.max(spec.ts).alias("_last"),
     )
-    span = timed.agg(F.struct(F.min(spec.ts).alias("lo"), F.max(spec.ts).alias("hi")).alias("_span"))
-    days = timed.select(*spec.keys).distinct().withColumn("_span", span.scalar()) if spec.keys else span
+    present = materialise(present)
+    ends = F.struct(F.min("_first").alias("lo"), F.max("_last").alias("hi")).alias("_span")
+    if spec.keys and span == "key":
+        days = present.groupBy(*spec.keys).agg(ends)
+    elif spec.keys:
+        days = present.select(*spec.keys).distinct().withColumn("_span", present.agg(ends).scalar())
+    else:
+        days = present.agg(ends)
+    present = present.drop("_first", "_last")
     days = days.where("_span.lo is not null").withColumn(
         "_day", F.explode(F.sequence(F.to_date("_span.lo"), F.to_date("_span.hi")))
     )
@@ -336,5 +353,5 @@ def resample(
         .withColumn(spec.ts, F.timestamp_add("SECOND", F.col("_s.i") * step, F.col("_day").cast("timestamp_ntz")))
     )
     if not whole_days:
-        grid = grid.where(F.col(spec.ts).between(floor_to(F.col("_span.lo"), spec.step), F.col("_span.hi")))
+        grid = grid.where(F.col(spec.ts).between(F.col("_span.lo"), F.col("_span.hi")))
     return grid.select(*spec.keys, spec.ts, *(F.col(f"_s.{n}").alias(n) for n in aggs))

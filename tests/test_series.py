@@ -329,3 +329,14 @@ def test_quantiles_are_narrowed_by_counting(spark, monkeypatch, q, accuracy):
     assert got.keys() == parts.keys()
     for r in want:
         assert got[r["g"]] == pytest.approx(r["p"], rel=1e-12, abs=1e-12)
+
+
+def test_one_wrong_date_costs_one_key(spark):
+    data = [("a", "2024-01-01 00:10:00", 1.0), ("a", "2024-01-01 02:00:00", 2.0), ("b", "1990-05-05 03:00:00", 3.0), ("b", "1990-05-05 03:59:00", 4.0)]
+    df = rows(spark, data, "k string, ts string, x double", "ts")
+    spec = SeriesSpec("ts", ("k",), timedelta(hours=1))
+    own = resample(df, spec, {"x": F.avg("x")}, whole_days=False, span="key")
+    assert sorted((r["k"], r["ts"].hour, r["x"]) for r in own.collect()) == [("a", 0, 1.0), ("a", 1, None), ("a", 2, 2.0), ("b", 3, 3.5)]
+    assert resample(df, spec, {"x": F.avg("x")}, span="key").count() == 48
+    with pytest.raises(ValueError):
+        resample(df, spec, {}, span="all")
