@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the next stage's documents, with the same columns; the last returns ids.
 The stages call the operators of `loadspark.llm` and add nothing of their own.
+
+Defined results: a null or empty text is scored by the classifier's bias alone, has no copies and no secrets, and is not in a
+mix of words; very long texts pass every stage whole; rows that repeat a key and text are one document for the
+near-duplicates, different texts of one key are documents of their own; with equal similarity the smallest key stays. Empty
+tables pass through all stages; columns behind those of `documents`, whatever their names, stay until the last stage.
 """
 
 from __future__ import annotations
