@@ -15,7 +15,8 @@ sees sums over it only.
 
 Defined results: null and blank texts have size 0 and are taken 0 times; null sources form one source, last in order;
 repeated rows are documents of their own; with no words at all every target is 0; an empty table gives no rows. A source
-whose target is under 2^-31 of all words gets no slot.
+whose target is under 2^-31 of all words gets no slot. Of a text, however long, only its size moves; extra columns are not
+returned, whatever their names.
 """
 
 from __future__ import annotations

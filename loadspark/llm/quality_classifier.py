@@ -10,7 +10,8 @@ of its buckets' log-odds plus the bias. Each worker then needs one number per bu
 pieces of CHUNK bytes, so memory does not grow with the length of a text.
 
 Defined results: a null or empty text scores the bias alone, as does a text of blanks; repeated rows score alike; labels
-that are null or neither 0 nor 1 are not learned from; with no labelled rows every score is 0.5.
+that are null or neither 0 nor 1 are not learned from; of several labels of one key the larger counts; with no labelled rows
+every score is 0.5; an empty table gives no rows; long texts are read in pieces.
 """
 
 from __future__ import annotations

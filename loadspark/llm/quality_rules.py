@@ -5,7 +5,7 @@ does both. A text never leaves its row: there is no shuffle.
 
 Defined results: a null text counts as empty; an empty text has no words and fails the length rule; a text of any length
 is read whole (work grows as n log n in its words, and only for texts that repeat a window at all). Repeated rows are
-judged alike. Columns of the input that carry a result's name are replaced, others stay.
+judged alike; an empty table gives no rows. Columns of the input that carry a result's name are replaced, others stay.
 
 Windows are told apart by a 64-bit hash of their three words: two different windows of one text are taken for the same
 with a chance of about (words of the text)^2 / 2^65.

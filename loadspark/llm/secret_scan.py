@@ -10,7 +10,8 @@ them leave the row, and running totals of those lengths give the positions, so t
 Equal texts share their spans, so a large group of copies is totalled once.
 
 Defined results: a null or empty text has no spans; spans are code points, end exclusive; spans of different kinds may
-overlap; repeated rows keep their rows; columns named like results are replaced.
+overlap; repeated rows keep their rows; columns named like results are replaced; an empty table gives no rows; long texts are
+matched whole.
 """
 
 from __future__ import annotations

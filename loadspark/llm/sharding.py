@@ -10,7 +10,8 @@ Law `rows`: shard sizes differ by at most one row. Neither rank nor order is tak
 buckets of the hash (of the fraction) and shifted by the counts of the buckets before.
 
 Defined results: null and empty texts have size 8 and checksum 0; null sources form one source; repeated rows are ranked
-one after the other; rows equal in id, size and checksum are interchangeable; an empty table gives no rows.
+one after the other; rows equal in id, size and checksum are interchangeable; an empty table gives no rows; of a text, however
+long, only size and checksum move; extra columns are not returned, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ that two cells can see is counted in the lower one only.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite parts, or whose label or id is null, has no
 links and is its own component; vectors of different length are not compared; rows of one id are one node, and each of
-them is a link of the others if their vectors are close; extra columns do not matter.
+them is a link of the others if their vectors are close; an empty table gives no rows; extra columns do not matter.
 """
 
 from __future__ import annotations

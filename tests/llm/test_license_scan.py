@@ -71,6 +71,10 @@ def test_nearest_directory_wins(frame):
 def test_odd_rows(odd, empty):
     df = odd.withColumn("path", F.concat_ws("/", "source", "doc_id")).withColumn("license", F.lit("taken"))
     out = L.scan_licences(df, "path", keep=["doc_id", "source"])
+    clash = df.withColumns({c: F.lit("taken") for c in L.MADE})
+    both = L.scan_licences(clash, "path", keep=["doc_id", *L.MADE])
+    assert sorted(both.columns) == sorted(["doc_id", *L.MADE])
+    assert both.where("license = 'taken' OR own_license = 'taken'").count() == 0
     assert out.count() == odd.count() and out.where("license IS NOT NULL").count() == 0
     assert L.scan_licences(empty.withColumn("path", F.lit("p")), "path").count() == 0
 

@@ -63,6 +63,19 @@ def test_learns_and_keeps_the_fold_apart(spark, sf, documents):
     np.testing.assert_array_equal(model.log_odds, again.log_odds)
 
 
+def test_held_out_documents(spark):
+    """Accuracy and ranking on labels the fit has not seen, beside those it has."""
+    sf = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scored = Q.classify(documents.join(labels.select("doc_id"), "doc_id", "left_semi"), Q.fit(documents, labels))
+    out = scored.join(labels.where("quality IS NOT NULL"), "doc_id").withColumn("fold", Q.held_out("doc_id")).toPandas()
+    unseen = out[out["fold"]]
+    right = (unseen["predicted"] == unseen["quality"]).mean()
+    ranks, good = unseen["score"].rank(), unseen["quality"] == 1
+    auc = (ranks[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert right > max(0.93, unseen["quality"].mean()) and auc > 0.88, (right, auc)
+
+
 def test_odd_rows(spark, odd, empty, frame):
     labels = frame([(1, 1, 0), (6, 0, 0), (6, 0, 0), (8, None, 0), (None, 1, 0), (7, 5, 0)], "doc_id long, quality int, toxic int")
     model = Q.fit(odd, labels)
