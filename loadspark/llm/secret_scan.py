@@ -72,13 +72,25 @@ def random_strings(spark: SparkSession, rows: int = RANDOM_ROWS, seed: int = SEE
 
 
 def ordinary_identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text", docs_wanted: int = TRAIN_DOCS) -> DataFrame:
-    """Words of 6 or more letters, digits and underscores outside the fixed patterns, of a hashed part of the documents."""
+    """Identifiers of a hashed part of the documents, outside the fixed patterns, over the alphabet of RUN.
+
+    Words of 6 or more letters, digits and underscores as they stand, and every three plain words in a row as people join
+    them: as a path, with hyphens, with underscores, and in camel case.
+    """
     part = min(1.0, docs_wanted / max(1, docs.count()))
     picked = docs.where(F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1 << 20)) < int(part * (1 << 20)))
     rest = clean_text(text)
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, pattern, " ")
-    return picked.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9_]{6,}"), F.lit(0))).alias("run"))
+    alone = F.regexp_extract_all(rest, F.lit("[A-Za-z0-9_]{6,}"), F.lit(0))
+    plain = F.filter(F.split(rest, "[^A-Za-z]+"), lambda w: F.length(w) > 1)
+    threes = F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size("plain") - 2, F.lit(1))), lambda i: i % 3 == 1), lambda i: F.slice("plain", i, 3)
+    )
+    camel = F.transform("threes", lambda w: F.array_join(F.transform(w, F.initcap), ""))
+    joined = [F.expr(f"transform(threes, w -> array_join(w, '{by}'))") for by in "/-_"]
+    rows = picked.select(alone.alias("alone"), plain.alias("plain")).withColumn("threes", threes)
+    return rows.select(F.explode(F.concat("alone", camel, *joined)).alias("run"))
 
 
 def fit(random: DataFrame, ordinary: DataFrame) -> list[float]:

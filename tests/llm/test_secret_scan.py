@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +90,25 @@ def test_many_secrets_in_one_text(frame, model):
     text = " ".join(f"token={i:020d}" for i in range(3000))
     row = S.scan(frame([(1, text)], "doc_id long, text string"), model).first()
     assert [(s["start"], s["kind"], s["end"]) for s in row["spans"] if s["kind"] < 3] == base_spans(text)
+
+
+WORDS = "account balance common release version service handler network storage config build source module client server data model user path file test index cache queue worker".split()
+
+
+def test_error_rates_on_made_strings(spark, documents):
+    """Random strings of several kinds are found, paths and joined names are left alone."""
+    rng = random.Random(4)
+    letters = string.ascii_letters + string.digits
+    secrets = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (24, 32, 40) for alphabet in (letters, letters + "+/", string.ascii_uppercase + string.digits) for _ in range(40)]
+    names = []
+    while len(names) < 360:
+        w = [rng.choice(WORDS) for _ in range(rng.randint(3, 6))]
+        name = rng.choice(["/".join(w), "-".join(w), "_".join(w), "".join(x.title() for x in w), "/" + "/".join(w) + "_v2"])
+        if len(name) >= 20:
+            names.append(name)
+    model = S.train(documents)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(secrets + names)], "doc_id long, run string")
+    flagged = {r["doc_id"] for r in rows.where(S.log_ratio(F.col("run"), model) > S.MIN_RATIO).collect()}
+    recall = len([i for i in flagged if i < len(secrets)]) / len(secrets)
+    false = len([i for i in flagged if i >= len(secrets)]) / len(names)
+    assert recall > 0.95 and false < 0.05, (recall, false)
