@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,11 +45,17 @@ from loadspark.session import materialise, spread_groups
 RANGE = 1 << 16
 LONG = 1 << 17
 FAN = 8
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 23
 #: Groups with more links than this are reduced to distinct ids before their links are listed.
 LINKS = 1 << 12
 SPREAD = 32
+#: How hard packed documents, which are stored once and shuffled once, are compressed.
+LEVEL = 6
 SPACE = "▁"
+#: Characters beyond those scripts and punctuation whose classes are settled.
+RARE = re.compile("[^\\x00-\\u04ff\\u2000-\\u206f]")
+#: Characters of a run that the faster library is spared.
+LONG_RUN = 1000
 
 
 # --- fragments
@@ -138,6 +145,14 @@ def windows(data: bytes, size: int) -> Iterator[tuple[int, int, int, int]]:
 # --- tokens
 
 
+def _rare(text: str) -> bool:
+    """Rare characters, or a long run with or without white space."""
+    if not text.isascii() and RARE.search(text):
+        return True
+    runs = list(map(len, text.split()))
+    return max(runs, default=0) >= LONG_RUN or (len(text) - sum(runs) >= LONG_RUN and bool(re.search(rf"\s{{{LONG_RUN}}}", text)))
+
+
 def byte_values() -> dict[str, int]:
     """Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -151,6 +166,16 @@ class Files:
 
     a: str = field(repr=False)
     b: bytes = field(repr=False)
+    _tokens: Tokens | None = field(default=None, repr=False)
+
+    def tokens(self) -> Tokens:
+        """Made once per worker: broadcast files, and with them the tokenizers, outlive a task."""
+        if self._tokens is None:
+            self._tokens = Tokens(self)
+        return self._tokens
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tokens": None}
 
 
 def load_files(a: str, b: str) -> Files:
@@ -186,13 +211,36 @@ class Tokens:
         ]
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("pieces must have spaces in front only")
+        self.fast = self._fast(file)
         self.length_a = np.array(list(map(len, self.bytes_a)))
         self.length_b = np.array(list(map(len, self.bytes_b)))
 
+    def _fast(self, file: dict):
+        """The same merges in the tiktoken library, which is faster, where ranks are ids and splitting is by the usual pattern."""
+        import public_tokenizers
+        import tiktoken
+
+        model, ranks = file["model"], {}
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        cutter = file["pre_tokenizer"]
+        usual = cutter["type"] == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"]
+        if made != sorted(set(made)) or not usual or file["normalizer"] is not None or model.get("ignore_merges"):
+            return None
+        ranks = {self.bytes_a[i]: i for i in model["vocab"].values()}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _ids_a(self, texts: list[str]) -> list[np.ndarray]:
+        # Character classes that Unicode still adds to, and long runs, are for the library the file belongs to.
+        slow = [i for i, t in enumerate(texts) if self.fast is None or _rare(t)]
+        out: list = [None] * len(texts)
+        for i, e in zip(slow, self.of_a.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.int32)
+        return [np.array(self.fast.encode_ordinary(t), np.int32) if x is None else x for x, t in zip(out, texts, strict=True)]
+
     def encode(self, datas: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
         """A ids and B ids of texts that begin with a space, and whether both give the text's bytes."""
         texts = [d.decode("utf-8", "replace") for d in datas]
-        a = [np.array(e.ids, np.int32) for e in self.of_a.encode_batch_fast(texts, add_special_tokens=False)]
+        a = self._ids_a(texts)
         b = [np.array(i, np.int32) for i in self.of_b.encode([t[1:] for t in texts], num_threads=1)]
         fine = [
             b"".join(map(self.bytes_a.__getitem__, x.tolist())) == d and b"".join(map(self.bytes_b.__getitem__, y.tolist())) == d
@@ -215,6 +263,9 @@ class Tokens:
         return Documents(flat_a, flat_b, f.of_a[1:], f.of_b[1:], *map(np.array, docs), groups)
 
 
+FIELDS = ("a", "b", "of_a", "of_b", "in_a", "in_b", "groups")
+
+
 @dataclass
 class Documents:
     """Documents one behind the other: ids, group sizes, and per document the number of A ids, B ids and groups."""
@@ -227,21 +278,27 @@ class Documents:
     in_b: np.ndarray
     groups: np.ndarray
 
-    def columns(self) -> list[pa.Array]:
-        return [
-            list_column(flat.astype(np.int32), n)
-            for flat, n in ((self.a, self.in_a), (self.b, self.in_b), (self.of_a, self.groups), (self.of_b, self.groups))
-        ]
+    def packed(self) -> bytes:
+        """All numbers in the fewest bytes each, compressed."""
+        arrays = [getattr(self, n) for n in FIELDS]
+        small = [x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0).newbyteorder("<")) for x in arrays]
+        head = np.array([(len(x), x.itemsize) for x in small], "<u8").tobytes()
+        data = head + b"".join(x.tobytes() for x in small)
+        return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
 
     @staticmethod
-    def read(columns: list[pa.ChunkedArray]) -> Documents:
-        flat, n = zip(*((_flat(c), _lengths(c)) for c in columns), strict=True)
-        return Documents(*flat, n[0], n[1], n[2])
+    def unpacked(packed: bytes) -> Documents:
+        data = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+        at, out = 16 * len(FIELDS), []
+        for n, size in np.frombuffer(data, "<u8", 2 * len(FIELDS)).reshape(-1, 2).tolist():
+            out.append(np.frombuffer(data, f"<u{size}", n, at).astype(np.int64))
+            at += n * size
+        return Documents(*out)
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, id pair and multiplicity of links; those of one group and id pair may come in several entries."""
         doc = np.repeat(np.arange(len(self.groups)), self.groups)
-        a, b, of_a, of_b = self.a.astype(np.int64), self.b.astype(np.int64), self.of_a.astype(np.int64), self.of_b.astype(np.int64)
+        a, b, of_a, of_b = (x.astype(np.int64) for x in (self.a, self.b, self.of_a, self.of_b))
         big = np.flatnonzero(of_a * of_b > LINKS)
         first_a, first_b = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
         found = [_pairs(a, b, first_a, first_b, np.where(of_a * of_b > LINKS, 0, of_a), of_b, doc)]
@@ -262,17 +319,17 @@ def _pairs(a, b, first_a, first_b, of_a, of_b, doc) -> tuple[np.ndarray, np.ndar
     return doc[group], pair, np.ones(len(pair), np.int64)
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in column.chunks)])
-
-
-def _lengths(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()).astype(np.int64) for c in column.chunks)])
-
-
 def pair_counts(d: Documents) -> tuple[np.ndarray, np.ndarray]:
     """Linked id pairs and the number of documents that hold each."""
     doc, pair, _ = d.links()
+    a, b, n = pair >> 32, pair & 0xFFFFFFFF, len(d.groups)
+    if len(pair) and max(a.max(), b.max()) < 1 << 20 and n < 1 << 22:
+        # Both ids and the document fit one number: one sort.
+        held = a << 42 | b << 22 | doc
+        held.sort()
+        held = held[np.diff(held, prepend=-1) != 0] >> 22
+        first = np.flatnonzero(np.diff(held, prepend=-1))
+        return held[first] >> 20 << 32 | held[first] & 0xFFFFF, np.diff(first, append=len(held))
     pairs, which = np.unique(pair, return_inverse=True)
     n = max(1, len(d.groups))
     held = np.unique(which * n + doc)
@@ -308,12 +365,12 @@ GROUPED = [T.StructField(n, INTS) for n in ("a", "b", "of_a", "of_b")]
 
 
 def _stored_schema(kind: T.DataType) -> T.StructType:
-    """Rows of three kinds: a document (a is set), the pairs of a block (pair is set), a window (window is set)."""
+    """Rows of three kinds: some documents (packed is set), the pairs of a block (pair is set), a window (window is set)."""
     return T.StructType(
         [
             T.StructField("block", T.LongType()),
-            T.StructField("key", kind),
-            *GROUPED,
+            T.StructField("keys", T.ArrayType(kind)),
+            T.StructField("packed", T.BinaryType()),
             T.StructField("pair", LONGS),
             T.StructField("docs", LONGS),
             T.StructField("part", T.IntegerType()),
@@ -324,8 +381,13 @@ def _stored_schema(kind: T.DataType) -> T.StructType:
     )
 
 
-def _batch(schema: pa.Schema, rows: int, **columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema)
+def _row(schema: pa.Schema, block: int, **columns: pa.Array) -> pa.RecordBatch:
+    columns["block"] = pa.array([block])
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema)
+
+
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def _pair_row(schema: pa.Schema, block: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -333,15 +395,14 @@ def _pair_row(schema: pa.Schema, block: int, held: list[tuple[np.ndarray, np.nda
     pairs, which = np.unique(pairs, return_inverse=True)
     total = np.zeros(len(pairs), np.int64)
     np.add.at(total, which, counts)
-    one = np.array([len(pairs)])
-    return _batch(schema, 1, block=pa.array([block]), pair=list_column(pairs, one), docs=list_column(total, one))
+    return _row(schema, block, pair=_one_list(pa.array(pairs)), docs=_one_list(pa.array(total)))
 
 
 def _first_pass(shared, schema: pa.Schema):
     """Texts to aligned documents and pairs of blocks; of long texts to windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(shared.value)
+        tokens = shared.value.tokens()
         # Blocks are numbered within the task; the rows are stored before they are used, so the numbers stay.
         block = TaskContext.get().partitionId() << 32
         held, size = [], 0
@@ -353,8 +414,8 @@ def _first_pass(shared, schema: pa.Schema):
                 for i in (i for i, d in enumerate(datas) if len(d) > LONG):
                     block += 1
                     for k, (at, stop, start, end) in enumerate(windows(datas[i], RANGE)):
-                        yield _batch(
-                            schema, 1, block=pa.array([block]), key=part.column("key").slice(i, 1),
+                        yield _row(
+                            schema, block, keys=_one_list(part.column("key").take(pa.array([i]))),
                             part=pa.array([k], pa.int32()), window=pa.array([datas[i][start:end]]),
                             first=pa.array([at - start], pa.int32()), last=pa.array([stop - start], pa.int32()),
                         )
@@ -364,11 +425,9 @@ def _first_pass(shared, schema: pa.Schema):
                 a, b, fine = tokens.encode([datas[i] for i in short])
                 none = np.zeros(0, np.int32)
                 docs = tokens.whole(*([x if ok else none for x, ok in zip(y, fine, strict=True)] for y in (a, b)))
-                at, bt, of_a, of_b = docs.columns()
-                yield _batch(
-                    schema, len(short), block=pa.array(np.full(len(short), block)),
-                    key=part.column("key").take(pa.array(short)), a=at, b=bt, of_a=of_a, of_b=of_b,
-                )
+                yield _row(
+                    schema, block, keys=_one_list(part.column("key").take(pa.array(short))), packed=pa.array([docs.packed()])
+                )
                 held.append(pair_counts(docs))
                 held = [h for h in held if len(h[0])]
                 size += sum(len(datas[i]) for i in short)
@@ -386,7 +445,7 @@ def _range_fragments(shared):
     """Windows to the fragments of their ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(shared.value)
+        tokens = shared.value.tokens()
         for batch in batches:
             for i in range(batch.num_rows):
                 (a,), (b,), (fine,) = tokens.encode([batch.column("window")[i].as_py()])
@@ -394,7 +453,7 @@ def _range_fragments(shared):
                 limits = batch.column("first")[i].as_py(), batch.column("last")[i].as_py()
                 (from_a, to_a), (from_b, to_b) = np.searchsorted(starts_a, limits), np.searchsorted(starts_b, limits)
                 f = fragment(a[from_a:to_a], b[from_b:to_b], starts_a[from_a:to_a], starts_b[from_b:to_b]) if fine else EMPTY
-                yield _fragment_row(batch.slice(i, 1).select(["block", "key", "part"]), f, fine)
+                yield _fragment_row(batch.slice(i, 1).select(["block", "keys", "part"]), f, fine)
 
     return run
 
@@ -402,7 +461,7 @@ def _range_fragments(shared):
 def _fragment_row(head: pa.RecordBatch, f: Fragment, fine: bool) -> pa.RecordBatch:
     lists = [list_column(x, np.array([len(x)])) for x in (f.a, f.b, f.of_a, f.of_b)]
     return pa.RecordBatch.from_arrays(
-        [*head.columns, *lists, pa.array([fine])], names=["block", "key", "part", "a", "b", "of_a", "of_b", "fine"]
+        [*head.columns, *lists, pa.array([fine])], names=["block", "keys", "part", "a", "b", "of_a", "of_b", "fine"]
     )
 
 
@@ -411,7 +470,7 @@ def _composed(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("part").combine_chunks()
     lists = [rows.column(n).chunk(0) for n in ("a", "b", "of_a", "of_b")]
     parts = [Fragment(*(c[i].values.to_numpy() for c in lists)) for i in range(rows.num_rows)]
-    head = rows.select(["block", "key", "part"]).slice(0, 1).to_batches()[0]
+    head = rows.select(["block", "keys", "part"]).slice(0, 1).to_batches()[0]
     head = head.set_column(2, "part", pa.array([rows.column("part")[0].as_py() // FAN], pa.int32()))
     return pa.Table.from_batches([_fragment_row(head, compose(parts), all(rows.column("fine").to_pylist()))])
 
@@ -427,18 +486,17 @@ def _closed(schema: pa.Schema):
                 if not batch.column("fine")[i].as_py():
                     a, b, of_a, of_b = (np.zeros(n, np.int32) for n in (0, 0, 1, 1))
                 d = Documents(a, b, of_a[1:], of_b[1:], np.array([len(a)]), np.array([len(b)]), np.array([len(of_a) - 1]))
-                block, key = batch.column("block").slice(i, 1), batch.column("key").slice(i, 1)
-                at, bt, ca, cb = d.columns()
-                yield _batch(schema, 1, block=block, key=key, a=at, b=bt, of_a=ca, of_b=cb)
+                block = batch.column("block")[i].as_py()
+                yield _row(schema, block, keys=batch.column("keys").take(pa.array([i])), packed=pa.array([d.packed()]))
                 held = pair_counts(d)
                 if len(held[0]):
-                    yield _pair_row(schema, block[0].as_py(), [held])
+                    yield _pair_row(schema, block, [held])
 
     return run
 
 
 def align(df: DataFrame, files: Files, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Aligned documents (key, a, b, of_a, of_b: ids and group sizes) and the pairs of their blocks, stored."""
+    """Aligned documents (keys, and their ids and group sizes packed) and the pairs of their blocks, stored."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = df.sparkSession
@@ -447,12 +505,12 @@ def align(df: DataFrame, files: Files, key: str = "doc_id", text: str = "text")
     kind = _stored_schema(docs.schema["key"].dataType)
     schema = to_arrow_schema(kind)
     stored = materialise(docs.mapInArrow(_first_pass(shared, schema), kind))
-    cut = stored.where("window IS NOT NULL").select("block", "key", "part", "window", "first", "last")
+    cut = stored.where("window IS NOT NULL").select("block", "keys", "part", "window", "first", "last")
     longest = cut.agg(F.max("part")).first()[0]
     done = stored.drop("part", "window", "first", "last")
     if longest is None:
         return done
-    state = T.StructType([kind["block"], kind["key"], kind["part"], *GROUPED, T.StructField("fine", T.BooleanType())])
+    state = T.StructType([kind["block"], kind["keys"], kind["part"], *GROUPED, T.StructField("fine", T.BooleanType())])
     parts = spread_groups(cut, "block", "part").mapInArrow(_range_fragments(shared), state)
     left = longest + 1
     while left > 1:
@@ -485,19 +543,22 @@ def _scored(files_sizes: tuple[int, int], schema: pa.Schema):
     def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
         if not names:
             names.extend(written(*files_sizes))
-        d = Documents.read([docs.column(n) for n in ("a", "b", "of_a", "of_b")])
-        doc, pair, times = d.links()
         order = np.argsort(pairs.column("pair").to_numpy())
         known, count, best = (pairs.column(n).to_numpy()[order] for n in ("pair", "documents", "best"))
-        n_links, n_best, total = np.zeros((3, len(d.groups)), np.int64)
-        if len(pair):
-            at = np.searchsorted(known, pair)
-            np.add.at(n_links, doc, times)
-            np.add.at(n_best, doc, times * best[at].astype(np.int64))
-            np.add.at(total, doc, times * count[at])
-        numbers = [pa.array(x) for x in (d.in_a, d.in_b, d.groups, n_links, n_best, total)]
-        out = pa.array(digests(d, names, *files_sizes), pa.string())
-        return pa.Table.from_arrays([docs.column("key"), *numbers, out], schema=schema)
+        found = [pa.Table.from_batches([], schema)]
+        for keys, packed in zip(docs.column("keys"), docs.column("packed"), strict=True):
+            d = Documents.unpacked(packed.as_py())
+            doc, pair, times = d.links()
+            n_links, n_best, total = np.zeros((3, len(d.groups)), np.int64)
+            if len(pair):
+                at = np.searchsorted(known, pair)
+                np.add.at(n_links, doc, times)
+                np.add.at(n_best, doc, times * best[at].astype(np.int64))
+                np.add.at(total, doc, times * count[at])
+            numbers = [pa.array(x) for x in (d.in_a, d.in_b, d.groups, n_links, n_best, total)]
+            text = pa.array(digests(d, names, *files_sizes), pa.string())
+            found.append(pa.Table.from_arrays([keys.values, *numbers, text], schema=schema))
+        return pa.concat_tables(found)
 
     return run
 
@@ -509,10 +570,10 @@ def score(aligned: DataFrame, n_a: int, n_b: int) -> DataFrame:
     cells = _block_pairs(aligned).drop("docs")
     held = cells.select("pair", "slot").distinct().join(link_counts(aligned), "pair")
     counted = cells.join(held, ["pair", "slot"]).select(F.col("block").alias("of"), "pair", "documents", "best")
-    docs = aligned.where("a IS NOT NULL").select("block", "key", *(f.name for f in GROUPED))
+    docs = aligned.where("packed IS NOT NULL").select("block", "keys", "packed")
     longs = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
     kind = T.StructType(
-        [docs.schema["key"], *(T.StructField(n, T.LongType()) for n in longs), T.StructField("groups_sha256", T.StringType())]
+        [T.StructField("key", docs.schema["keys"].dataType.elementType), *(T.StructField(n, T.LongType()) for n in longs), T.StructField("groups_sha256", T.StringType())]
     )
     both = docs.groupBy("block").cogroup(counted.groupBy("of"))
     return both.applyInArrow(_scored((n_a, n_b), to_arrow_schema(kind)), kind)
@@ -520,27 +581,25 @@ def score(aligned: DataFrame, n_a: int, n_b: int) -> DataFrame:
 
 def groups(aligned: DataFrame) -> DataFrame:
     """key and the groups of every document, each with its A ids and its B ids."""
-    docs = aligned.where("a IS NOT NULL").select("key", *(f.name for f in GROUPED))
-    kind = T.StructType([docs.schema["key"], T.StructField("groups", T.ArrayType(T.StructType([T.StructField("a", INTS), T.StructField("b", INTS)])))])
+    docs = aligned.where("packed IS NOT NULL").select("keys", "packed")
+    group = T.ArrayType(T.StructType([T.StructField("a", INTS), T.StructField("b", INTS)]))
+    kind = T.StructType([T.StructField("key", docs.schema["keys"].dataType.elementType), T.StructField("groups", group)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                d = Documents.read([pa.chunked_array([part.column(f.name)]) for f in GROUPED])
-                pair = pa.StructArray.from_arrays(
-                    [list_column(d.a.astype(np.int32), d.of_a), list_column(d.b.astype(np.int32), d.of_b)], names=["a", "b"]
-                )
+            for keys, packed in zip(batch.column("keys"), batch.column("packed"), strict=True):
+                d = Documents.unpacked(packed.as_py())
+                lists = [list_column(x.astype(np.int32), n) for x, n in ((d.a, d.of_a), (d.b, d.of_b))]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(d.groups)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pair)
-                yield pa.RecordBatch.from_arrays([part.column("key"), lists], names=["key", "groups"])
+                column = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(lists, names=["a", "b"]))
+                yield pa.RecordBatch.from_arrays([keys.values, column], names=["key", "groups"])
 
     return docs.mapInArrow(run, kind)
 
 
 def sizes(files: Files) -> tuple[int, int]:
     """How many ids both tokenizers have."""
-    tokens = Tokens(files)
+    tokens = files.tokens()
     return len(tokens.bytes_a), len(tokens.bytes_b)
 
 
