@@ -1,26 +1,29 @@
-"""Removal of repeated byte strings by suffix sorting with a difference cover.
+"""Removal of repeated byte strings, a sample of places standing for all suffixes.
 
 A string of LENGTH bytes is repeated if it starts at two places of the corpus. Sorting all suffixes to depth LENGTH would
-answer that for every place, but needs a row per byte. The difference-cover way sorts a sample of suffixes and merges
-the others through it:
+answer that for every place, but needs a row per byte. As in a difference cover, a sample of places is enough if any two
+equal strings hold sampled places at the same distance. What follows is grouping by hashes, though, not sorting by ranks:
 
 1. Sample: of the TUPLE-byte strings inside a window of LENGTH bytes the one with the smallest hash, leftmost on ties, is
-   sampled. Two equal windows then hold a sampled place at the same distance, which is what a difference cover is for; as
-   the sample depends on content and not on a remainder, about one place in 140 is enough instead of two in three.
-2. Names: sampled tuples are grouped by name. A name found once ends the matter for all windows that lead to it.
-3. Recursion: all windows that lead to a sampled place form one run of bytes, which is named in turn. A run found twice is
-   repeated as a whole. One example of every other run goes on, and only in names that have several runs.
-4. Merge: windows are keyed by the name of their sampled place and their distance to it, that is by the whole window,
-   and equal neighbours in that order are repeated. Names are dealt over groups of about GROUP_RUNS runs; a name with more
-   than MOST_RUNS runs is instead merged window by window over all tasks.
+   sampled. It depends on content and not on a remainder, so about one place in 140 is enough instead of two in three.
+2. Names: sampled tuples are grouped by hash. A name found once ends the matter for all windows that lead to it.
+3. Runs: all windows that lead to a sampled place form one run of bytes, which is named by hash in turn, once and not
+   recursively. A run found twice is repeated as a whole. One example of every other run goes on, and only in names that
+   have several runs.
+4. Windows: those of one name are keyed by the hash of the whole window, and equal ones are repeated. Names are dealt over
+   groups of about GROUP_RUNS runs; a name with more than MOST_RUNS runs is instead compared window by window over all tasks.
+
+The order of unequal suffixes is not needed for that and not computed: no ranks, no recursion on names, no merge of sorted
+suffixes. Sampling two places in three by remainder would shuffle a row for two thirds of all bytes on each level.
 
 Covered bytes are then cut out of the texts. Copies of a text share their rows: texts are known by their md5.
 
-Names and windows are 64-bit hashes (runs 128 bits with their name): two different windows of one name are taken for equal
-with a chance of about 2^-64 a pair.
+Equality is by hashes over two prime fields, 62 bits for the name and 62 for the window or run: two different windows of
+one name are taken for equal with a chance of about 2^-62 a pair.
 
 Defined results: a null text counts as empty; texts under LENGTH bytes are kept whole; a text repeats itself too, overlaps
-included; kept bytes need not be valid UTF-8; long texts are read in pieces of PIECE windows; repeated rows are copies.
+included; kept bytes need not be valid UTF-8; long texts are read in pieces of PIECE windows; repeated rows are copies; an
+empty table gives no rows; extra columns are not returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -257,6 +260,10 @@ def remove_repeats(
 
 @query("op9_repeated_text")
 def op9_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document once strings of 400 bytes that start elsewhere too are cut out."""
+    """What is left of every document once strings of 400 bytes that start elsewhere too are cut out.
+
+    `text` shows the remaining bytes; halves of characters that a cut leaves are replaced.
+    """
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", digest, F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

@@ -90,3 +90,28 @@ def test_odd_rows(odd, empty):
     assert by_key[2]["n_bytes"] == by_key[3]["n_bytes"] == 0 and bytes(by_key[5]["kept"]) == b"one"
     assert by_key[6]["n_removed"] == 5000 and by_key[8]["n_removed"] == 15000
     assert R.remove_repeats(empty).count() == 0
+
+
+def test_structured_strings_have_hashes_of_their_own():
+    """Two Thue-Morse strings, which polynomials modulo a power of two confuse."""
+    from loadspark.llm.hashing import Substrings
+
+    bits = np.array([bin(i).count("1") % 2 for i in range(4096)], np.uint8) + 97
+    hashes = Substrings(8192).read(np.concatenate([bits, 195 - bits]))
+    assert hashes.at(np.array([0]), np.array([4096])) != hashes.at(np.array([4096]), np.array([8192]))
+    assert (hashes.all(100)[:50] == hashes.at(np.arange(50), np.arange(50) + 100)).all()
+
+
+def test_the_text_left_is_shown(spark, tmp_path):
+    """A cut through a character leaves a replacement sign in the text and its bytes in the digest."""
+    same = "x" + "é" * 220 + "y" * 7
+    rows = [(1, "a" * 50 + "à" + same), (2, "b" * 50 + "é" + same), (3, "clean")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in R.op9_repeated_text(spark, str(tmp_path)).collect()}
+    assert got[3]["text"] == "clean" and got[3]["n_removed"] == 0
+    assert got[1]["text"] == "a" * 50 + "à" and got[1]["n_removed"] == len(same.encode())
+    same = "é" * 220
+    rows = [(1, "a" * 50 + "©" + same), (2, "b" * 50 + "é" + same)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/two/documents.parquet")
+    got = {r["doc_id"]: r for r in R.op9_repeated_text(spark, f"{tmp_path}/two").collect()}
+    assert got[1]["text"].startswith("a" * 50) and got[1]["n_bytes"] == 492
