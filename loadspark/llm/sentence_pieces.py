@@ -14,33 +14,36 @@ Characters without a piece are written as UTF-8 byte pieces, and so is U+2581, w
 model: decoding gives back every text exactly.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; texts and single runs of any length are read
-whole; repeated rows give the same ids; ids outside the model are an error.
+whole; repeated rows give the same ids; ids outside the model are an error; an empty table stays empty; columns of the names
+that are added are replaced, other columns stay.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import astuple, dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from loadspark.llm.common import clean_text
+from loadspark.llm.arrow import Memo, list_column, slices, with_columns
+from loadspark.llm.bpe_tokens import model_path
 from loadspark.llm.registry import query, table
 
-MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Runs, and pairs of pieces, that a worker remembers in each of two generations; what is not met again is dropped.
-CACHE_RUNS = 150_000
-CACHE_PAIRS = 300_000
+#: Bytes that each of a worker's two caches of runs may take, and pairs of pieces remembered; full ones start anew.
+CACHE_BYTES = 64 << 20
+CACHE_PAIRS = 500_000
 CACHED_LENGTH = 48
+DECODED_ROWS = 64
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-@dataclass(frozen=True)
+@dataclass
 class Vocabulary:
     """Pieces by id, their scores, the ids of the 256 byte pieces, of ordinary pieces, and of those that merging reaches."""
 
@@ -49,6 +52,16 @@ class Vocabulary:
     byte_ids: list[int]
     ordinary: list[int]
     standing: list[int]
+    _encoder: Encoder | None = field(default=None, repr=False)
+
+    def encoder(self) -> Encoder:
+        """Made once per worker: a broadcast vocabulary, and with it the encoder's caches, outlives a task."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_encoder": None}
 
 
 def merged(text: str, ids: dict[str, int], scores: list[float]) -> list[str]:
@@ -66,11 +79,11 @@ def merged(text: str, ids: dict[str, int], scores: list[float]) -> list[str]:
     return parts
 
 
-def load_vocabulary(path: str = MODEL_PATH) -> Vocabulary:
+def load_vocabulary(path: str | None = None) -> Vocabulary:
     """Read a model file (a BPE model with byte pieces, spaces in front of pieces only)."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=path or model_path(MODEL))
     size = model.vocab_size()
     pieces = [model.id_to_piece(i) for i in range(size)]
     byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -107,8 +120,8 @@ class Encoder:
             for char in self.pieces[i]:
                 node = node[1].setdefault(char, [None, {}])
             node[0] = i
-        self.runs = _Cache(self.ids_of)
-        self.words = _Cache(self.word)
+        self.runs = Memo(self.ids_of, CACHE_BYTES, CACHED_LENGTH)
+        self.words = Memo(self.word, CACHE_BYTES, CACHED_LENGTH)
         as_bytes = [p.replace(SPACE, " ").encode() for p in vocabulary.pieces]
         for b, i in enumerate(vocabulary.byte_ids):
             as_bytes[i] = bytes([b])
@@ -171,6 +184,33 @@ class Encoder:
         if done < length:
             yield from self._path(last, length - done)
 
+    def _short(self, run: str) -> list[int]:
+        """The same pass over a run that fits the window whole, so that nothing is committed before its end."""
+        root, pairs, length = self.root, self.pairs, len(run)
+        last: list[int | None] = [None] * (length + 1)
+        for start in range(length):
+            left = last[start]
+            if left is None and start:
+                continue
+            key = left << 32 if start else 0
+            tree, at = root, start
+            first = root.get(run[start])
+            if last[at + 1] is None and (first is None or first[0] is None):
+                last[at + 1] = self.lone_id(run[start])
+            while at < length:
+                found = tree.get(run[at])
+                if found is None:
+                    break
+                right, tree = found
+                at += 1
+                if right is not None and last[at] is None:
+                    if start:
+                        fits = pairs.get(key | right)
+                        if not (self.follows(left, right) if fits is None else fits):
+                            continue
+                    last[at] = right
+        return self._path(last, length)
+
     def _path(self, last: list[int | None], node: int) -> list[int]:
         out = []
         while node > 0:
@@ -193,7 +233,7 @@ class Encoder:
     def ids_of(self, run: str) -> bytes:
         """Ids of a run between two certain boundaries, as 32-bit integers."""
         out: list[int] = []
-        for i in self.segment(run):
+        for i in self._short(run) if len(run) <= 4 * self.longest else self.segment(run):
             if i < self.size:
                 out.append(i)
             else:
@@ -238,57 +278,47 @@ class Encoder:
         return text.decode("utf-8", "replace")[1:]
 
 
-class _Cache(dict):
-    """Ids of runs, filled on demand; of two generations the older is dropped when the younger is full."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, run: str) -> bytes:
-        data = self.older.get(run)
-        if data is None:
-            data = self.make(run)
-        if len(run) <= CACHED_LENGTH:
-            if len(self) >= CACHE_RUNS:
-                self.older = dict(self)
-                self.clear()
-            self[run] = data
-        return data
+def _with(df: DataFrame, *added: T.StructField) -> T.StructType:
+    names = {f.name for f in added}
+    return T.StructType([f for f in df.schema.fields if f.name not in names] + list(added))
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids", same: str | None = None) -> DataFrame:
     """Add the ids of each text, and in column `same`, if named, whether they decode to the text again.
 
-    Columns of these names are replaced.
+    Columns of these names are replaced. Texts are read and ids handed over in slices of bounded bytes.
     """
-    shared = df.sparkSession.sparkContext.broadcast(astuple(vocabulary))
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    added = [T.StructField(out, T.ArrayType(T.IntegerType()))] + ([T.StructField(same, T.BooleanType())] if same else [])
 
-    @F.pandas_udf("ids array<int>, same boolean")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(Vocabulary(*shared.value))
-        for texts in batches:
-            found = [encoder.encode(t) for t in texts]
-            again = [same is not None and encoder.decode(i.tolist()) == t for i, t in zip(found, texts, strict=True)]
-            yield pd.DataFrame({"ids": pd.Series(found, dtype=object), "same": again})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared.value.encoder()
+        for batch in batches:
+            for part in slices(batch, text):
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                found = [encoder.encode(t) for t in texts]
+                flat = np.concatenate([np.zeros(0, np.int32), *found])
+                new = {out: list_column(flat, np.array(list(map(len, found)), np.int64))}
+                if same:
+                    new[same] = pa.array([encoder.decode(i.tolist()) == t for i, t in zip(found, texts, strict=True)], pa.bool_())
+                yield with_columns(part, new)
 
-    both = df.withColumn("__pieces", ids(clean_text(text)))
-    added = {out: F.col("__pieces.ids")} | ({same: F.col("__pieces.same")} if same else {})
-    return both.withColumns(added).drop("__pieces")
+    return df.mapInArrow(run, _with(df, *added))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of each row's ids; a column of that name is replaced."""
-    shared = df.sparkSession.sparkContext.broadcast(astuple(vocabulary))
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf("string")
-    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(Vocabulary(*shared.value))
-        for rows in batches:
-            yield pd.Series(["" if r is None else encoder.decode(np.asarray(r).tolist()) for r in rows], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared.value.encoder()
+        for batch in batches:
+            for at in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(at, DECODED_ROWS)
+                texts = ["" if r is None else encoder.decode(r) for r in part.column(ids).to_pylist()]
+                yield with_columns(part, {out: pa.array(texts, pa.string())})
 
-    return df.withColumn(out, texts(F.col(ids)))
+    return df.mapInArrow(run, _with(df, T.StructField(out, T.StringType())))
 
 
 @query("op10_sentence_pieces")

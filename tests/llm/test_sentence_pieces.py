@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadspark.llm import sentence_pieces as S
+from loadspark.llm.bpe_tokens import model_path
 from loadspark.llm.queries import QUERIES
 
 spm = pytest.importorskip("sentencepiece")
@@ -16,7 +17,7 @@ def vocabulary():
 
 @pytest.fixture(scope="module")
 def library():
-    return spm.SentencePieceProcessor(model_file=S.MODEL_PATH)
+    return spm.SentencePieceProcessor(model_file=model_path(S.MODEL))
 
 
 def cases():
@@ -64,11 +65,12 @@ def test_streaming_commits_early(vocabulary, library):
 
 
 def test_small_caches_change_nothing(vocabulary, library, monkeypatch):
-    monkeypatch.setattr(S, "CACHE_RUNS", 5)
+    monkeypatch.setattr(S, "CACHE_BYTES", 2000)
     monkeypatch.setattr(S, "CACHE_PAIRS", 5)
     encoder = S.Encoder(vocabulary)
     for text in cases()[-40:]:
         assert encoder.encode(text).tolist() == library.encode(text)
+    assert max(encoder.runs.used, encoder.words.used) <= 2000
 
 
 def test_whole_table(spark, sf, texts, library):
