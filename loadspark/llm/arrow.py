@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 19
 #: Bytes that a remembered entry takes beside its key and value.
 ENTRY_BYTES = 160
+#: Strings put together at once.
+JOINED = 1 << 14
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -37,6 +39,24 @@ def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.Record
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *added.values()], names=[*kept, *added])
 
 
+class Strings:
+    """Byte strings by id in one buffer, to be put one after another."""
+
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+        self.lengths = np.array(list(map(len, strings)), np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The strings of all ids, one after another."""
+        return b"".join([self._some(ids[at : at + JOINED]) for at in range(0, len(ids), JOINED)])
+
+    def _some(self, ids: np.ndarray) -> bytes:
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        return self.data[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1])].tobytes()
+
+
 class Memo(dict):
     """Values made on demand; all are forgotten when keys and values pass `limit` bytes, long keys are never kept."""
 

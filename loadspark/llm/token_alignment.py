@@ -31,13 +31,14 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from loadspark.llm.arrow import list_column, slices
+from loadspark.llm.arrow import Strings, list_column, slices
 from loadspark.llm.bpe_tokens import model_path
 from loadspark.llm.registry import query, table
 from loadspark.session import materialise, spread_groups
@@ -186,6 +187,14 @@ def load_files(a: str, b: str) -> Files:
         return Files(text, f.read())
 
 
+def _spelt(strings: Strings, ids: list[np.ndarray]) -> list[bytes]:
+    """The joined strings of each array of ids."""
+    flat = np.concatenate([np.zeros(0, np.int32), *ids])
+    data, ends = strings.joined(flat), np.concatenate([[0], np.cumsum(strings.lengths[flat])])
+    cuts = ends[np.cumsum([0, *map(len, ids)])].tolist()
+    return [data[i:j] for i, j in pairwise(cuts)]
+
+
 class Tokens:
     """Both tokenizers of one task, and the bytes of their tokens."""
 
@@ -212,8 +221,7 @@ class Tokens:
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("pieces must have spaces in front only")
         self.fast = self._fast(file)
-        self.length_a = np.array(list(map(len, self.bytes_a)))
-        self.length_b = np.array(list(map(len, self.bytes_b)))
+        self.strings_a, self.strings_b = Strings(self.bytes_a), Strings(self.bytes_b)
 
     def _fast(self, file: dict):
         """The same merges in the tiktoken library, which is faster, where ranks are ids and splitting is by the usual pattern."""
@@ -242,14 +250,11 @@ class Tokens:
         texts = [d.decode("utf-8", "replace") for d in datas]
         a = self._ids_a(texts)
         b = [np.array(i, np.int32) for i in self.of_b.encode([t[1:] for t in texts], num_threads=1)]
-        fine = [
-            b"".join(map(self.bytes_a.__getitem__, x.tolist())) == d and b"".join(map(self.bytes_b.__getitem__, y.tolist())) == d
-            for x, y, d in zip(a, b, datas, strict=True)
-        ]
+        fine = [x == d and y == d for x, y, d in zip(_spelt(self.strings_a, a), _spelt(self.strings_b, b), datas, strict=True)]
         return a, b, fine
 
     def starts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, y = self.length_a[a], self.length_b[b]
+        x, y = self.strings_a.lengths[a], self.strings_b.lengths[b]
         return np.cumsum(x) - x, np.cumsum(y) - y
 
     def whole(self, a: list[np.ndarray], b: list[np.ndarray]) -> Documents:
@@ -341,7 +346,7 @@ def written(n_a: int, n_b: int) -> list[str]:
     return [f"{i}{end}" for n in (n_a, n_b) for end in (",", "|", ";") for i in range(n)]
 
 
-def digests(d: Documents, names: list[str], n_a: int, n_b: int) -> list[str]:
+def digests(d: Documents, names: Strings, n_a: int, n_b: int) -> list[str]:
     """Digest of each document's groups as text; an empty text for documents without tokens."""
     code = np.zeros(len(d.a) + len(d.b), np.int64)
     end_a, end_b = np.cumsum(d.of_a), np.cumsum(d.of_b)
@@ -350,12 +355,10 @@ def digests(d: Documents, names: list[str], n_a: int, n_b: int) -> list[str]:
     kind_a[end_a - 1], kind_b[end_b - 1] = 1, 2
     code[np.arange(len(d.a)) + np.repeat(end_b - d.of_b, d.of_a)] = d.a + kind_a * n_a
     code[np.arange(len(d.b)) + np.repeat(end_a, d.of_b)] = 3 * n_a + d.b + kind_b * n_b
-    ends = np.cumsum(d.in_a + d.in_b)
-    out = []
-    for start, end in zip(ends - d.in_a - d.in_b, ends, strict=True):
-        text = "".join(map(names.__getitem__, code[start:end].tolist()))
-        out.append(hashlib.sha256(text[:-1].encode()).hexdigest() if text else "")
-    return out
+    text = memoryview(names.joined(code))
+    ends = np.concatenate([[0], np.cumsum(names.lengths[code])])
+    cuts = ends[np.concatenate([[0], np.cumsum(d.in_a + d.in_b)])].tolist()
+    return [hashlib.sha256(text[i : j - 1]).hexdigest() if j > i else "" for i, j in pairwise(cuts)]
 
 
 # --- jobs
@@ -403,8 +406,9 @@ def _first_pass(shared, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value.tokens()
-        # Blocks are numbered within the task; the rows are stored before they are used, so the numbers stay.
-        block = TaskContext.get().partitionId() << 32
+        # Blocks are numbered within the task; the rows are stored before they are used, so the numbers stay. A long document
+        # takes the next number and leaves the open block its own, whose documents are partly handed over already.
+        block = used = TaskContext.get().partitionId() << 32
         held, size = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -412,14 +416,13 @@ def _first_pass(shared, schema: pa.Schema):
                 datas = [b" " + t.encode("utf-8", "replace") if t else b"" for t in texts]
                 short = [i for i, d in enumerate(datas) if len(d) <= LONG]
                 for i in (i for i, d in enumerate(datas) if len(d) > LONG):
-                    block += 1
+                    used += 1
                     for k, (at, stop, start, end) in enumerate(windows(datas[i], RANGE)):
                         yield _row(
-                            schema, block, keys=_one_list(part.column("key").take(pa.array([i]))),
+                            schema, used, keys=_one_list(part.column("key").take(pa.array([i]))),
                             part=pa.array([k], pa.int32()), window=pa.array([datas[i][start:end]]),
                             first=pa.array([at - start], pa.int32()), last=pa.array([stop - start], pa.int32()),
                         )
-                    block += 1
                 if not short:
                     continue
                 a, b, fine = tokens.encode([datas[i] for i in short])
@@ -434,7 +437,8 @@ def _first_pass(shared, schema: pa.Schema):
                 if size > BLOCK_BYTES:
                     if held:
                         yield _pair_row(schema, block, held)
-                    held, size, block = [], 0, block + 1
+                    used += 1
+                    held, size, block = [], 0, used
         if held:
             yield _pair_row(schema, block, held)
 
@@ -538,11 +542,12 @@ def link_counts(aligned: DataFrame) -> DataFrame:
 
 def _scored(files_sizes: tuple[int, int], schema: pa.Schema):
     """Documents of a block and the counts of its pairs to one row a document."""
-    names: list[str] = []
+    made: list[Strings] = []
 
     def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-        if not names:
-            names.extend(written(*files_sizes))
+        if not made:
+            made.append(Strings([n.encode() for n in written(*files_sizes)]))
+        names = made[0]
         order = np.argsort(pairs.column("pair").to_numpy())
         known, count, best = (pairs.column(n).to_numpy()[order] for n in ("pair", "documents", "best"))
         found = [pa.Table.from_batches([], schema)]

@@ -93,6 +93,17 @@ def test_long_texts_equal_brute_force(frame, files, libraries, small):
     assert run(frame(rows, "doc_id long, text string"), files) == brute(rows, libraries)
 
 
+def test_long_text_between_batches_of_a_block(spark, frame, files, libraries, small):
+    rows = [(1, "a first short text"), (2, "some longer words " * 40), (3, "a last short text"), (4, "more and more words " * 60), (5, "end")]
+    df = frame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert run(df, files) == brute(rows, libraries)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_whole_table(spark, sf, texts, libraries):
     rows = sorted((tuple(r) for r in QUERIES["op13_token_alignment"](spark, sf).collect()), key=str)
     assert rows == brute(texts.items(), libraries)
