@@ -22,14 +22,17 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
+from operator import add, eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from loadspark.llm.arrow import Memo, list_column, slices, with_columns
+from loadspark.llm.arrow import Memo, Strings, list_column, slices, with_columns
 from loadspark.llm.bpe_tokens import model_path
 from loadspark.llm.registry import query, table
 
@@ -103,6 +106,8 @@ class Encoder:
     """Segments texts; holds the caches of one task."""
 
     def __init__(self, vocabulary: Vocabulary):
+        import ahocorasick
+
         self.ids = {vocabulary.pieces[i]: i for i in vocabulary.ordinary}
         #: Pieces by id; characters without a piece get ids of their own behind them.
         self.pieces = list(vocabulary.pieces)
@@ -112,7 +117,9 @@ class Encoder:
         self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = vocabulary.byte_ids
         self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.pairs: dict[int, bool] = {}
+        #: By piece: which pieces may come behind it, as far as known.
+        self.after: dict[int, dict[int, bool]] = defaultdict(dict)
+        self.known = 0
         #: The pieces as a tree: per character the id of a piece that the merge procedure reaches, and what may follow.
         self.root: dict[str, list] = {}
         for i in vocabulary.standing:
@@ -120,21 +127,30 @@ class Encoder:
             for char in self.pieces[i]:
                 node = node[1].setdefault(char, [None, {}])
             node[0] = i
+        #: The same pieces in one automaton, each with its length less one and its id.
+        self.automaton = ahocorasick.Automaton()
+        for i in vocabulary.standing:
+            self.automaton.add_word(self.pieces[i], (len(self.pieces[i]) - 1, i))
+        if len(self.automaton):
+            self.automaton.make_automaton()
         self.runs = Memo(self.ids_of, CACHE_BYTES, CACHED_LENGTH)
         self.words = Memo(self.word, CACHE_BYTES, CACHED_LENGTH)
         as_bytes = [p.replace(SPACE, " ").encode() for p in vocabulary.pieces]
         for b, i in enumerate(vocabulary.byte_ids):
             as_bytes[i] = bytes([b])
         self.as_bytes = as_bytes
+        self.strings = Strings(as_bytes)
 
     def follows(self, left: int, right: int) -> bool:
         """`right` may come after `left`: merging both from scratch gives them again."""
         a, b = self.pieces[left], self.pieces[right]
-        known = merged(a + b, self.ids, self.scores) == [a, b]
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        self.pairs[left << 32 | right] = known
-        return known
+        fits = merged(a + b, self.ids, self.scores) == [a, b]
+        if self.known >= CACHE_PAIRS:
+            self.after.clear()
+            self.known = 0
+        self.known += 1
+        self.after[left][right] = fits
+        return fits
 
     def lone_id(self, char: str) -> int:
         i = self.lone.get(char)
@@ -145,7 +161,7 @@ class Encoder:
 
     def segment(self, run: str) -> Iterator[int]:
         """Ids of pieces (or of lone characters) of a run, committed as soon as they are certain."""
-        root, pairs, pieces, longest = self.root, self.pairs, self.pieces, self.longest
+        root, after, longest = self.root, self.after, self.longest
         length, window = len(run), 4 * longest
         done, tail = 0, None
         # Last piece of the chain to each node from `done` on; None where no chain ends (yet).
@@ -165,7 +181,7 @@ class Encoder:
                 at += 1
                 if right is not None and last[at] is None:
                     if left is not None:
-                        fits = pairs.get(left << 32 | right)
+                        fits = after[left].get(right)
                         if not (self.follows(left, right) if fits is None else fits):
                             continue
                     last[at] = right
@@ -185,31 +201,25 @@ class Encoder:
             yield from self._path(last, length - done)
 
     def _short(self, run: str) -> list[int]:
-        """The same pass over a run that fits the window whole, so that nothing is committed before its end."""
-        root, pairs, length = self.root, self.pairs, len(run)
+        """The same pass over a run that fits the window whole, so that nothing is committed before its end.
+
+        The automaton names the pieces that end at a node. All nodes are reached, unless a character has no piece.
+        """
+        after, length = self.after, len(run)
         last: list[int | None] = [None] * (length + 1)
-        for start in range(length):
-            left = last[start]
-            if left is None and start:
-                continue
-            key = left << 32 if start else 0
-            tree, at = root, start
-            first = root.get(run[start])
-            if last[at + 1] is None and (first is None or first[0] is None):
-                last[at + 1] = self.lone_id(run[start])
-            while at < length:
-                found = tree.get(run[at])
-                if found is None:
-                    break
-                right, tree = found
-                at += 1
-                if right is not None and last[at] is None:
-                    if start:
-                        fits = pairs.get(key | right)
-                        if not (self.follows(left, right) if fits is None else fits):
-                            continue
-                    last[at] = right
-        return self._path(last, length)
+        behind: list[dict[int, bool] | None] = [None] * (length + 1)
+        for end, (before, right) in self.automaton.iter(run):
+            if last[end + 1] is None:
+                start = end - before
+                if start:
+                    known = behind[start]
+                    if known is None:
+                        return list(self.segment(run))
+                    fits = known.get(right)
+                    if not (self.follows(last[start], right) if fits is None else fits):
+                        continue
+                last[end + 1], behind[end + 1] = right, after[right]
+        return self._path(last, length) if None not in last[1:] else list(self.segment(run))
 
     def _path(self, last: list[int | None], node: int) -> list[int]:
         out = []
@@ -232,28 +242,41 @@ class Encoder:
 
     def ids_of(self, run: str) -> bytes:
         """Ids of a run between two certain boundaries, as 32-bit integers."""
+        path = self._short(run) if self.root and len(run) <= 4 * self.longest else self.segment(run)
+        if isinstance(path, list) and max(path, default=0) < self.size:
+            return array("i", path).tobytes()
         out: list[int] = []
-        for i in self._short(run) if len(run) <= 4 * self.longest else self.segment(run):
+        for i in path:
             if i < self.size:
                 out.append(i)
             else:
                 out.extend(self.byte_ids[b] for b in self.pieces[i].encode("utf-8", "replace"))
         return array("i", out).tobytes()
 
+    def _cuts(self, unit: str) -> list[int]:
+        """Places between two characters that stand side by side in no piece."""
+        inner = self.inner
+        return [k for k, pair in enumerate(map(add, unit, unit[1:]), 1) if pair not in inner]
+
     def word(self, word: str) -> bytes:
         """Ids of a word behind one space; it is cut where two characters meet that stand side by side in no piece."""
-        unit, inner = SPACE + word, self.inner
-        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in inner]
+        unit = SPACE + word
+        # Letters stand side by side in most scripts' pieces; a run that could be cut and is not gives the same ids.
+        cuts = [] if word.isascii() and word.isalpha() else self._cuts(unit)
         if not cuts:
             return self.ids_of(unit)
-        first = self.words[unit[1 : cuts[0]]] if cuts[0] > 1 else self.runs[SPACE]
+        head = unit[1 : cuts[0]]
+        first = self.words.get(head) if head else self.runs[SPACE]
+        if first is None:
+            first = self.ids_of(unit[: cuts[0]])
+            if len(head) <= CACHED_LENGTH:
+                self.words.keep(head, first)
         rest = [self.runs[unit[i:k]] for i, k in zip(cuts, [*cuts[1:], len(unit)], strict=True)]
         return b"".join([first, *rest])
 
     def unit(self, unit: str) -> bytes:
         """Ids of spaces and what comes behind them."""
-        inner = self.inner
-        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in inner]
+        cuts = self._cuts(unit)
         return b"".join([self.runs[unit[i:k]] for i, k in zip([0, *cuts], [*cuts, len(unit)], strict=True)])
 
     def encode(self, text: str) -> np.ndarray:
@@ -278,6 +301,13 @@ class Encoder:
         return text.decode("utf-8", "replace")[1:]
 
 
+    def texts(self, flat: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """The texts of arrays of ids that lie one after another."""
+        data, ends = self.strings.joined(flat), np.concatenate([[0], np.cumsum(self.strings.lengths[flat])])
+        cuts = ends[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+        return [data[i:j].decode("utf-8", "replace")[1:] for i, j in pairwise(cuts)]
+
+
 def _with(df: DataFrame, *added: T.StructField) -> T.StructType:
     names = {f.name for f in added}
     return T.StructType([f for f in df.schema.fields if f.name not in names] + list(added))
@@ -298,9 +328,10 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str =
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 found = [encoder.encode(t) for t in texts]
                 flat = np.concatenate([np.zeros(0, np.int32), *found])
-                new = {out: list_column(flat, np.array(list(map(len, found)), np.int64))}
+                lengths = np.array(list(map(len, found)), np.int64)
+                new = {out: list_column(flat, lengths)}
                 if same:
-                    new[same] = pa.array([encoder.decode(i.tolist()) == t for i, t in zip(found, texts, strict=True)], pa.bool_())
+                    new[same] = pa.array(list(map(eq, encoder.texts(flat, lengths), texts)), pa.bool_())
                 yield with_columns(part, new)
 
     return df.mapInArrow(run, _with(df, *added))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,26 @@ def test_ids_equal_the_library(vocabulary, library):
         assert encoder.decode(ids) == text
 
 
+def test_short_runs_through_the_automaton(vocabulary, library):
+    """Both passes give the same chain, with characters that have no piece too; words with an end of signs are cut once."""
+    encoder, rng = S.Encoder(vocabulary), random.Random(5)
+    assert len(encoder.automaton) == len(vocabulary.standing)
+    for _ in range(400):
+        run = "".join(rng.choice("etaoinsrhldcumßé漢😀𐍈") for _ in range(rng.randint(1, 40)))
+        assert encoder._short(run) == list(encoder.segment(run)), run
+    cut = []
+    encoder._cuts, cuts = lambda unit: cut.append(unit) or cuts(unit), encoder._cuts
+    assert encoder.encode("Ndreea, thtionerth").tolist() == library.encode("Ndreea, thtionerth") and cut == ["▁Ndreea,"]
+
+
+def test_texts_of_many_ids_at_once(vocabulary):
+    encoder = S.Encoder(vocabulary)
+    texts = [*cases(), "a ▁ b", ""]
+    found = [encoder.encode(t) for t in texts]
+    flat = np.concatenate(found)
+    assert encoder.texts(flat, np.array(list(map(len, found)))) == [encoder.decode(i.tolist()) for i in found] == texts
+
+
 def test_the_space_sign_itself_comes_back(vocabulary):
     encoder = S.Encoder(vocabulary)
     for text in ("▁", "a▁b ▁▁ c", " ▁ "):
