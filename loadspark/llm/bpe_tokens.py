@@ -39,6 +39,9 @@ CACHE_PAIRS = 1 << 19
 #: White space of Unicode; runs without it are encoded one by one.
 RUN = re.compile("[^\t-\r \x85\xa0  -     　]+")
 END = ""
+#: Rules by which a run of printable ASCII characters can be cut without the library: the file's, and the same for such runs.
+USUAL = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
 NEVER = 1 << 60
 
 
@@ -110,6 +113,18 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(strings, suffix, left, right, rank, special, rules)
 
 
+def _usual(file: dict) -> bool:
+    """Texts are composed, blanks made one space, letters small, then cut by USUAL; nothing of it but the letters' case changes ASCII runs."""
+    normal = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    cut = [
+        {"type": "Split", "pattern": {"Regex": USUAL}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]
+    return (file.get("normalizer"), file.get("pre_tokenizer")) == (
+        {"type": "Sequence", "normalizers": normal}, {"type": "Sequence", "pretokenizers": cut}
+    )
+
+
 class Encoder:
     """Encodes texts; holds the automaton, the tables and the caches of one task."""
 
@@ -133,6 +148,7 @@ class Encoder:
             self.shorter[i] = next((standing[string[:k]] for k in range(len(string) - 1, 0, -1) if string[:k] in standing), -1)
         rules = Tokenizer.from_str(v.rules)
         self.normalizer, self.cutter = rules.normalizer, rules.pre_tokenizer
+        self.usual = _usual(json.loads(v.rules))
         self.special = v.special
         names = sorted(map(re.escape, v.special), key=len, reverse=True)
         self.names = re.compile("(" + "|".join(names) + ")") if names else None
@@ -183,11 +199,13 @@ class Encoder:
         self.pairs[a << 32 | b] = fits
         return fits
 
-    def _longest(self, word: str, at: int) -> int:
-        """The longest token that starts at a place; -1 without one."""
-        for end, (size, i) in self.automaton.iter_long(word, at):
-            return i if end - size + 1 == at else -1
-        return -1
+    def _longest(self, word: str) -> list[int]:
+        """The longest token that starts at each place; -1 without one."""
+        found = [-1] * len(word)
+        # Matches come by their ends, so the longest one of a place comes last.
+        for end, (size, i) in self.automaton.iter(word):
+            found[end - size + 1] = i
+        return found
 
     def word(self, word: str) -> bytes:
         """Ids of one word, as 32-bit integers."""
@@ -215,9 +233,9 @@ class Encoder:
         if self.suffix:
             # The mark belongs to the last character.
             open_[length - 1] = 0
-        left = out[-1] if out else -1
+        left, longest = out[-1] if out else -1, self._longest(word)
         while at < length:
-            right = self._longest(word, at)
+            right = longest[at]
             while right >= 0:
                 end = at + lengths[right]
                 if open_[end]:
@@ -250,7 +268,17 @@ class Encoder:
         return b"".join(array("i", [self.special[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))
 
     def learn(self, runs: list[str]) -> None:
-        """Remember the ids of many short runs; one call of the rules reads them all."""
+        """Remember the ids of many short runs; one call of the rules reads all that are not cut here."""
+        if self.usual:
+            words, keep, others = self.words, self.runs.keep, []
+            for run in runs:
+                if not (run.isascii() and run.isprintable()):
+                    others.append(run)
+                elif run.isalpha():
+                    keep(run, words[run.lower()])
+                else:
+                    keep(run, b"".join([words[w] for w in ASCII_WORDS.findall(run.lower())]))
+            runs = others
         text = " ".join(runs)
         text = self.normalizer.normalize_str(text) if self.normalizer else text
         ends = np.cumsum([len(r) + 1 for r in text.split(" ")]).tolist()

@@ -47,6 +47,24 @@ def test_ids_and_texts_equal_the_library(vocabulary, library):
         assert decoded.to_pylist() == [library.decode(want, skip_special_tokens=False)]
 
 
+def test_ascii_runs_are_cut_without_the_library(vocabulary, library):
+    rng = random.Random(4)
+    signs = [*map(chr, range(33, 127)), *["'"] * 20, *"stvremldSLD"]
+    runs = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    runs += ["I'LL", "'s't're've'm'll'd", "x'S", "''ll", "Word", "no_1'd", "\x00a", "a\x1fb", "<|x|>"]
+    encoder, read = B.Encoder(vocabulary), []
+
+    class Cutter:
+        def pre_tokenize_str(self, text, real=encoder.cutter):
+            read.append(text)
+            return real.pre_tokenize_str(text)
+
+    encoder.cutter = Cutter()
+    got = [np.frombuffer(x, "<i4").tolist() for x in encoder.encode_all([" ".join(runs[:-3]), *runs[-3:], None])]
+    assert len("".join(read)) < 40
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in (" ".join(runs[:-3]), *runs[-3:], "")]
+
+
 def test_small_caches_change_nothing(vocabulary, library, monkeypatch):
     monkeypatch.setattr(B, "CACHE_BYTES", 2000)
     monkeypatch.setattr(B, "CACHE_PAIRS", 5)
