@@ -2,6 +2,7 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -11,10 +12,12 @@ from loadspark.operators.quantiles import group_quantile
 from loadspark.operators.reshape import every_nth
 from loadspark.operators.rolling import (
     Roll,
+    _roll_block,
     _with_halo,
     add_lag,
     add_persistence,
     broadcast_bucket_mean,
+    roll_indexed,
     rolling,
     rolling_many,
     transitions,
@@ -340,3 +343,60 @@ def test_one_wrong_date_costs_one_key(spark):
     assert resample(df, spec, {"x": F.avg("x")}, span="key").count() == 48
     with pytest.raises(ValueError):
         resample(df, spec, {}, span="all")
+
+
+def _short_series(n_keys: int) -> pd.DataFrame:
+    """Series of all lengths from 1 to 40 rows, half of the values missing."""
+    rng = np.random.default_rng(5)
+    pdf = pd.concat([pd.DataFrame({"k": k, "i": np.arange(k % 40 + 1)}) for k in range(n_keys)], ignore_index=True)
+    pdf["x"] = np.where(rng.random(len(pdf)) < 0.5, np.nan, rng.integers(0, 50, len(pdf)) / 4.0)
+    pdf["ts"] = BASE + pd.to_timedelta(pdf["i"], "h")
+    return pdf
+
+
+@pytest.mark.parametrize("shift", [0, 3])
+@pytest.mark.parametrize("batch", [7, 10000])
+def test_blocks_rolled_together_do_not_meet(spark, batch, shift):
+    """Many short series in one batch, and blocks over several batches, have the windows of their own rows only."""
+    pdf = _short_series(300)
+    df = spark.createDataFrame(pdf[["k", "ts", "x"]].sample(frac=1, random_state=2)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    spec = SeriesSpec("ts", ("k",), timedelta(hours=1), 10)
+    rolls = [Roll("x", "med", "median"), Roll("x", "p90", "quantile", 0.9), Roll("x", "m"), Roll("x", "s", "std")]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = rolling_many(df, spec, rolls, 5, 2, shift).toPandas().sort_values(["k", "ts"]).reset_index(drop=True)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    windows = {"med": lambda w: w.median(), "p90": lambda w: w.quantile(0.9), "m": lambda w: w.mean(), "s": lambda w: w.std()}
+    for out, fn in windows.items():
+        want = pdf.groupby("k")["x"].transform(lambda s: fn(s.shift(shift).rolling(5, min_periods=2)))
+        np.testing.assert_allclose(got[out].astype(float), want, atol=1e-9, equal_nan=True)
+
+
+def test_rolling_starts_no_work_per_block(spark):
+    """Blocks are rolled by the batch, and what is rolled is not joined back to the rows."""
+    df, _ = series(spark, n=50)
+    numbered = with_row_index(df, KEYED, "_idx")
+    text = plan(roll_indexed(numbered, KEYED, [Roll("x", "med", "median")], 9, 3))
+    assert "FlatMapGroups" not in text
+    assert text.count("Join") == plan(numbered).count("Join")
+
+
+def test_one_call_rolls_the_blocks_of_a_batch(monkeypatch):
+    rows = pa.RecordBatch.from_pydict({"k": list(range(500)), "_of_x": [1.0] * 500, "_first": [True] * 500, "_own": [True] * 500})
+    calls, rolling_of = [], pd.Series.rolling
+    monkeypatch.setattr(pd.Series, "rolling", lambda *a, **k: calls.append(1) or rolling_of(*a, **k))
+    out = list(_roll_block([Roll("x", "m", "median")], 3, 1, 0, ["k"])(iter([rows, rows])))
+    assert sum(b.num_rows for b in out) == 1000 and len(calls) <= 3
+
+
+def test_rolled_rows_keep_their_other_columns(spark):
+    """Whole numbers beyond 2^53 with nulls beside them, far dates and rows without an instant come through unchanged."""
+    data = [("0001-01-02", 2**60 + 1, 1.0), ("9999-12-30", None, 3.0), (None, 2**60 + 3, 5.0), (None, None, 5.0)]
+    df = rows(spark, data, "ts string, id long, x double", "ts")
+    got = rolling(df, SeriesSpec("ts", (), timedelta(hours=1), 24, ("id",)), "x", 300, "median", min_samples=1, out="m")
+    seen = got.select(F.col("ts").cast("string").alias("ts"), "id", "x", "m").collect()
+    key = lambda r: (r[0] or "", r[1] or 0)
+    want = [("0001-01-02 00:00:00", 2**60 + 1, 1.0, 1.0), ("9999-12-30 00:00:00", None, 3.0, 2.0), (None, 2**60 + 3, 5.0, None), (None, None, 5.0, None)]
+    assert sorted((tuple(r) for r in seen), key=key) == sorted(want, key=key)
